@@ -14,7 +14,7 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 def classification_report(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
     """Per-class precision/recall/F1/support, plus accuracy, macro and
-    weighted averages; 0/0 gives 0.0. Output: row, precision, recall, f1, support.
+    weighted averages; 0/0 gives 0.0. Output: class_name, precision, recall, f1, support.
 
     The only pass over the data is a confusion-count aggregation (partial
     aggregation map side); everything after works on classes x classes rows.
@@ -36,15 +36,15 @@ def classification_report(df: DataFrame, label_col: str = "label", pred_col: str
                      F.sum(F.col("recall") * F.col("support")).alias("wr"),
                      F.sum(F.col("f1") * F.col("support")).alias("wf"))
     r = REPORT_DECIMALS
-    rows = per.select(F.col("cls").cast("string").alias("row"), F.round("precision", r).alias("precision"),
+    rows = per.select(F.col("cls").cast("string").alias("class_name"), F.round("precision", r).alias("precision"),
                       F.round("recall", r).alias("recall"), F.round("f1", r).alias("f1"), "support")
-    acc = totals.select(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
+    acc = totals.select(F.lit("accuracy").alias("class_name"), F.lit(None).cast("double").alias("precision"),
                         F.lit(None).cast("double").alias("recall"),
                         F.round(_safe_div(F.col("tp"), F.col("n")), r).alias("f1"), F.col("n").cast("long").alias("support"))
-    macro = totals.select(F.lit("macro avg").alias("row"), F.round("mp", r).alias("precision"),
+    macro = totals.select(F.lit("macro avg").alias("class_name"), F.round("mp", r).alias("precision"),
                           F.round("mr", r).alias("recall"), F.round("mf", r).alias("f1"),
                           F.col("n").cast("long").alias("support"))
-    weighted = totals.select(F.lit("weighted avg").alias("row"), F.round(_safe_div(F.col("wp"), F.col("n")), r).alias("precision"),
+    weighted = totals.select(F.lit("weighted avg").alias("class_name"), F.round(_safe_div(F.col("wp"), F.col("n")), r).alias("precision"),
                              F.round(_safe_div(F.col("wr"), F.col("n")), r).alias("recall"),
                              F.round(_safe_div(F.col("wf"), F.col("n")), r).alias("f1"),
                              F.col("n").cast("long").alias("support"))
