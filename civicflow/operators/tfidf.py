@@ -5,18 +5,26 @@ Weights follow the common "smooth idf" convention:
 (MLlib's ``IDF`` omits the ``+ 1``, so it is only used inside the MLlib
 classifiers, never for retrieval scores.)
 
-The index is a long table ``(term, doc, w)``. A query is scored by joining
-its own normalised postings on ``term`` and summing products per
-(query, doc): Catalyst plans a shuffle join on ``term`` (AQE splits hot
-terms such as "the" into several tasks) and a two-phase aggregation.
-Top-k per query uses ``row_number() <= k``, which Catalyst cuts per map task
-before the shuffle (WindowGroupLimit).
+The index is a long table ``(term, doc, w)``; queries get postings with the
+same IDF. Scoring is exact and blocked (``search``): queries are hashed into
+``qb`` blocks and documents into ``cb`` blocks, and each (qb, cb) cogroup task
+accumulates the sparse product of its two posting sets into a bounded dense
+score block with numpy, keeping only its local top-k. A join on ``term``
+would instead emit one row per (query, doc, shared term), which for hot
+terms ("the", "de") is every pair in the group; here no pair row is ever
+shuffled, and every task's memory is bounded by the block sizes. A final
+``row_number() <= k`` merges the ``cb`` local lists per query.
+
+``cosine_scores`` keeps the plain join form as a small brute-force reference.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +38,14 @@ ORDER_DECIMALS = 9
 
 @dataclass
 class TfidfIndex:
-    postings: DataFrame   # term, doc_id, w (L2-normalised)
+    postings: DataFrame   # term, doc_id, w = tf * idf (not yet normalised)
     vocab: DataFrame      # term, idf
     n_docs: DataFrame     # one row: n
 
+    def normalised(self) -> DataFrame:
+        """Postings with L2-normalised weights (term, doc_id, w)."""
+        return _normalise(self.postings, "doc_id")
+
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf) from whole texts."""
@@ -56,20 +68,24 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TfidfIndex:
              .select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
                      .alias("idf")))
     weighted = tf.join(vocab, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
-    return TfidfIndex(_normalise(weighted, "doc_id"), vocab, n_docs)
+    # Normalisation happens where the weights are used: the blocked scorer
+    # holds every posting of a document in one task, so it needs no shuffle.
+    return TfidfIndex(weighted, vocab, n_docs)
 
 
 def transform_queries(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Query postings (term, query_id, w) with the index's IDF; unknown terms dropped."""
+    """Query postings (term, query_id, w = tf * idf) with the index's IDF;
+    unknown terms dropped (so the norm covers known terms only)."""
     tf = term_counts(queries, id_col, text_col).withColumnRenamed("doc_id", "query_id")
-    weighted = tf.join(index.vocab, "term").select("term", "query_id", (F.col("tf") * F.col("idf")).alias("w"))
-    return _normalise(weighted, "query_id")
+    return tf.join(index.vocab, "term").select("term", "query_id", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def cosine_scores(index: TfidfIndex, query_postings: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for every pair sharing at least one term."""
-    q = query_postings.select("term", "query_id", F.col("w").alias("wq"))
-    d = index.postings.select("term", "doc_id", F.col("w").alias("wd"))
+    """(query_id, doc_id, score) for every pair sharing at least one term.
+
+    Plain join form, kept as a brute-force reference for small inputs."""
+    q = _normalise(query_postings, "query_id").select("term", "query_id", F.col("w").alias("wq"))
+    d = index.normalised().select("term", "doc_id", F.col("w").alias("wd"))
     return (q.join(d, "term")
             .groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
 
@@ -80,18 +96,102 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
                            [F.round("score", ORDER_DECIMALS).desc(), F.col("doc_id").asc()], k)
 
 
+# Block sizes: a task holds at most ~MAX_QUERY_BLOCK x MAX_DOC_BLOCK scores and
+# expands at most EXPAND_CHUNK (query posting, doc posting) products at once.
+MAX_QUERY_BLOCK = 2_000
+MAX_DOC_BLOCK = 4_000
+EXPAND_CHUNK = 4_000_000
+TARGET_TASKS = 8
+SCORE_SCHEMA = "query_id string, doc_id long, score double"
+
+
+def _block_top_k(k: int):
+    # Self-contained closure (numpy/pandas only): executors need not import us.
+    order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
+
+    def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or dp.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="object"),
+                                 "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        qids, qi = np.unique(qp["query_id"].to_numpy(), return_inverse=True)
+        dids, di = np.unique(dp["doc_id"].to_numpy(np.int64), return_inverse=True)
+        codes, uniq = pd.factorize(pd.concat([qp["term"], dp["term"]], ignore_index=True))
+        nt = len(uniq)
+        qc, dc = codes[:len(qp)], codes[len(qp):]
+        qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
+        qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
+        dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
+        # L2 norms: every posting of a query/doc is in this block
+        qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
+        dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
+        q_cnt, d_cnt = np.bincount(qc, minlength=nt), np.bincount(dc, minlength=nt)
+        q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
+        d_start = np.concatenate([[0], np.cumsum(d_cnt)[:-1]])
+        shared = np.nonzero((q_cnt > 0) & (d_cnt > 0))[0]
+        nq, nd = len(qids), len(dids)
+        scores = np.zeros(nq * nd)
+        sizes = q_cnt[shared] * d_cnt[shared]
+        cum = np.cumsum(sizes)
+        lo = 0
+        while lo < len(shared):
+            base = cum[lo - 1] if lo else 0
+            hi = max(int(np.searchsorted(cum, base + expand_chunk, side="right")), lo + 1)
+            t, sz = shared[lo:hi], sizes[lo:hi]
+            lo = hi
+            off = np.repeat(np.cumsum(sz) - sz, sz)
+            c = np.arange(int(sz.sum()), dtype=np.int64) - off
+            ndt = np.repeat(d_cnt[t], sz)
+            qpost = np.repeat(q_start[t], sz) + c // ndt
+            dpost = np.repeat(d_start[t], sz) + c % ndt
+            scores += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
+        s = scores.reshape(nq, nd)
+        r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
+        kk = min(k, nd)
+        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
+        out_q, out_d, out_s = [], [], []
+        for i in range(nq):
+            cand = np.nonzero((r[i] >= thr[i]) & np.isfinite(r[i]))[0]
+            sel = cand[np.lexsort((dids[cand], -r[i, cand]))[:kk]]
+            out_q.append(np.repeat(qids[i:i + 1], len(sel)))
+            out_d.append(dids[sel])
+            out_s.append(s[i, sel])
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
+                             "score": np.concatenate(out_s)})
+    return fn
+
+
+def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_queries: int,
+                  n_docs: int) -> DataFrame:
+    """Exact top-k cosine per query (pairs sharing no term are not scored)."""
+    c_blocks = max(1, math.ceil(n_docs / MAX_DOC_BLOCK))
+    q_blocks = max(1, math.ceil(n_queries / MAX_QUERY_BLOCK), math.ceil(TARGET_TASKS / c_blocks))
+    qp = (query_postings.select(F.col("query_id").cast("string"), "term", "w")
+          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
+    dp = (index.postings.select(F.col("doc_id").cast("long"), "term", "w")
+          .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k), SCORE_SCHEMA)
+    return top_k(local, k)
+
+
 def search(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str, k: int = 1,
-           dedupe_queries: bool = True) -> DataFrame:
+           n_docs: int | None = None, n_queries: int | None = None) -> DataFrame:
     """Top-k (query_id, doc_id, score, rank) for each query text.
 
-    With ``dedupe_queries`` identical query texts are scored once and the
-    result is joined back: exact, and it removes most of the pair volume when
-    queries repeat (as generated "<place> <practice>" queries do).
+    Identical query texts are scored once (keyed by their SHA-256) and the
+    result is joined back: exact, and it removes repeated work when queries
+    repeat (as "<place> <practice>" queries or short chat turns do). Block
+    counts come from ``n_docs`` / ``n_queries`` (upper bounds are fine; they
+    only size the blocks), or from count jobs when not given.
     """
-    if not dedupe_queries:
-        return top_k(cosine_scores(index, transform_queries(index, queries, id_col, text_col)), k)
+    if n_docs is None:
+        n_docs = index.postings.select("doc_id").distinct().count()
     distinct = (queries.select(F.col(text_col).alias("_qtext")).where(F.col("_qtext").isNotNull())
                 .distinct().withColumn("_qkey", F.sha2(F.col("_qtext"), 256)))
-    ranked = top_k(cosine_scores(index, transform_queries(index, distinct, "_qkey", "_qtext")), k)
+    qp = transform_queries(index, distinct, "_qkey", "_qtext")
+    if n_queries is None:
+        n_queries = distinct.count()
+    ranked = blocked_top_k(index, qp, k, n_queries, n_docs).withColumnRenamed("query_id", "_qkey")
     return (queries.select(F.col(id_col).alias("query_id"), F.sha2(F.col(text_col), 256).alias("_qkey"))
-            .join(ranked.withColumnRenamed("query_id", "_qkey"), "_qkey").drop("_qkey"))
+            .join(ranked, "_qkey").drop("_qkey"))

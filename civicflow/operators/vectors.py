@@ -28,6 +28,9 @@ KNN_SCHEMA = "query_id long, doc_id long, score double"
 
 
 def _local_top_k(k: int, exclude_self: bool):
+    # Self-contained closure (numpy/pandas only): executors need not import us.
+    order_decimals = ORDER_DECIMALS
+
     def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
@@ -44,7 +47,7 @@ def _local_top_k(k: int, exclude_self: bool):
         cid = c["doc_id"].to_numpy(dtype=np.int64)
         if exclude_self:
             s[qid[:, None] == cid[None, :]] = -np.inf
-        r = np.round(s, ORDER_DECIMALS)
+        r = np.round(s, order_decimals)
         kk = min(k, s.shape[1])
         # threshold = k-th best rounded score per row; keep everything >= it (ties)
         thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]

@@ -19,7 +19,7 @@ from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_law_text, with_practice_area
 from civicflow.operators.vectors import cache_delta, knn_top_k
 from civicflow.plans import inputs, triage
-from civicflow.sources.readers import read_table
+from civicflow.sources.readers import read_table, table_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 R6 = 6
@@ -219,7 +219,7 @@ def classification_report_q(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dialogue(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage(spark, inputs.user_turns(spark, sf), inputs.complaint_corpus(spark, sf),
-                         inputs.directory(spark, sf))
+                         inputs.directory(spark, sf), n_docs=table_rows(spark, sf, "documents"))
 
 
 def dialogue_replay(spark: SparkSession, sf: str) -> DataFrame:

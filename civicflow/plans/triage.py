@@ -15,7 +15,6 @@ from civicflow.functions.codes import md5_bucket
 from civicflow.functions.text import (LEGAL_GATE, is_short_message, language_tag, law_key, location_profile,
                                       py_strip, severity_keyword)
 from civicflow.operators import tfidf
-from civicflow.operators.common import row_count_at_most, top_k_per_group
 from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_practice_area
 from civicflow.plans import dialogue
@@ -36,26 +35,29 @@ def session_language(turns: DataFrame) -> DataFrame:
     return first.select("conv_id", language_tag("_first_text").alias("lang"))
 
 
-def nearest_example(turns: DataFrame, corpus: DataFrame, index: tfidf.TfidfIndex | None = None) -> DataFrame:
+def nearest_example(turns: DataFrame, corpus: DataFrame, index: tfidf.TfidfIndex | None = None,
+                    n_docs: int | None = None, n_queries: int | None = None) -> DataFrame:
     """Top-1 corpus row per turn by TF-IDF cosine, and its law.
 
-    Adds score (0.0 when no term is shared), hit_doc, hit_law.
+    Adds score (0.0 when no term is shared, null when the corpus is empty:
+    T6), hit_doc, hit_law. Emptiness is a broadcast one-row scalar, not an
+    action, so the plan stays lazy.
     """
     idx = index or tfidf.build_index(corpus, "doc_id", "text")
     keyed = turns.withColumn("_tkey", F.struct("conv_id", "turn"))
-    top = tfidf.search(idx, keyed, "_tkey", "text", k=1)
+    top = tfidf.search(idx, keyed, "_tkey", "text", k=1, n_docs=n_docs, n_queries=n_queries)
     hits = (top.join(corpus.select(F.col("doc_id"), F.col("law").alias("_law")), "doc_id")
             .select(F.col("query_id").alias("_tkey"), F.col("score"), F.col("doc_id").alias("hit_doc"),
                     law_key("_law").alias("hit_law")))
-    return (keyed.join(hits, "_tkey", "left")
-            .withColumn("score", F.coalesce(F.col("score"), F.lit(0.0))).drop("_tkey"))
+    return (keyed.join(hits, "_tkey", "left").join(F.broadcast(idx.n_docs), how="left")
+            .withColumn("score", F.when(F.col("n") > 0, F.coalesce(F.col("score"), F.lit(0.0))))
+            .drop("_tkey", "n"))
 
 
-def turn_features(turns: DataFrame, corpus: DataFrame, corpus_available: bool = True) -> DataFrame:
+def turn_features(turns: DataFrame, corpus: DataFrame, n_docs: int | None = None,
+                  n_queries: int | None = None) -> DataFrame:
     """Per-turn columns the replay needs: short, legal, severe, hit_law, lang."""
-    scored = nearest_example(turns, corpus) if corpus_available else (
-        turns.withColumn("score", F.lit(None).cast("double")).withColumn("hit_doc", F.lit(None).cast("long"))
-        .withColumn("hit_law", F.lit(None).cast("string")))
+    scored = nearest_example(turns, corpus, n_docs=n_docs, n_queries=n_queries)
     rounded = F.round("score", SCORE_DECIMALS)
     return (scored.join(session_language(turns), "conv_id")
             .withColumn("score", rounded)
@@ -83,7 +85,8 @@ def best_by_location(directory: DataFrame) -> DataFrame:
     return best.select("place", (-F.col("_b.neg_id")).alias("lawyer_id"), F.col("_b.exp").alias("experience_years"))
 
 
-def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: DataFrame) -> DataFrame:
+def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: DataFrame,
+                           n_queries: int | None = None) -> DataFrame:
     """Rules 6-8 for turns in the location stage.
 
     ``located``: conv_id, turn, text, law_in. Adds place, lawyer_id, match_kind.
@@ -96,10 +99,11 @@ def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: D
     q = q.withColumn("_qtext", F.concat(F.coalesce(F.col("place"), py_strip(F.col("text"))), F.lit(" "),
                                         F.col("practice")))
     q = q.withColumn("_tkey", F.struct("conv_id", "turn"))
-    if not row_count_at_most(directory, RECOMMENDER_NEIGHBOURS - 1):
+    n_dir = directory.count()
+    if n_dir >= RECOMMENDER_NEIGHBOURS:
         profiles = directory.select("lawyer_id", location_profile("location", "practice_area").alias("profile"))
         idx = tfidf.build_index(profiles, "lawyer_id", "profile")
-        rec = (tfidf.search(idx, q, "_tkey", "_qtext", k=1)
+        rec = (tfidf.search(idx, q, "_tkey", "_qtext", k=1, n_docs=n_dir, n_queries=n_queries)
                .select(F.col("query_id").alias("_tkey"), F.col("doc_id").alias("_rec_id")))
         q = q.join(rec, "_tkey", "left")
     else:
@@ -113,17 +117,21 @@ def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: D
 
 
 def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory: DataFrame,
-           block: int = dialogue.DEFAULT_BLOCK, levels: int | None = None) -> DataFrame:
+           block: int = dialogue.DEFAULT_BLOCK, levels: int | None = None,
+           n_docs: int | None = None) -> DataFrame:
     """Flagship: one row per user turn with the branch the service takes.
 
     Output: conv_id, turn, lang, stage_in, branch, stage_out, law_key, score,
     hit_doc, place, lawyer_id, match_kind, reply_block, variant_key.
+    ``n_docs`` (an upper bound on the corpus size) only sizes score blocks.
     """
-    corpus_available = not corpus.isEmpty()
-    feats = turn_features(turns, corpus, corpus_available)
+    n_turns, max_turn = turns.agg(F.count(F.lit(1)), F.max("turn")).first()
+    if levels is None:
+        levels = dialogue.levels_needed(int(max_turn or 0), block)
+    feats = turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns)
     replayed = dialogue.replay(feats, ["text", "lang", "score", "hit_doc"], block=block, levels=levels)
     loc = replayed.where(F.col("branch") == dialogue.BRANCH_LOCATION).select("conv_id", "turn", "text", "law_in")
-    resolved = resolve_location_turns(spark, loc, directory)
+    resolved = resolve_location_turns(spark, loc, directory, n_queries=n_turns)
     out = replayed.join(resolved, ["conv_id", "turn"], "left")
     branch = (F.when(F.col("branch") != dialogue.BRANCH_LOCATION, F.col("branch"))
               .when(F.col("lawyer_id").isNotNull(), F.lit("lawyer")).otherwise(F.lit("no_lawyer")))

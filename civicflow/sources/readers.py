@@ -45,10 +45,28 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin to the default parallelism when the scan yields fewer
+    splits (a single-row-group file is one task). A no-op on large inputs,
+    which already have at least that many splits; filters and column pruning
+    still reach the scan below the repartition."""
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               parallel: bool = True) -> DataFrame:
     """A Parquet table; ``columns`` prunes the scan's ReadSchema."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    return spread(df) if parallel else df
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count from Parquet footers (cheap); used only to size blocks."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").count()
 
 
 def normalise_na(df: DataFrame, columns: list[str] | None = None,
