@@ -22,7 +22,7 @@ from civicflow.operators.common import dense_index, first_appearance
 from civicflow.operators.report import argmax_index
 from civicflow.sources.readers import read_table
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 HOLDOUT_BUCKETS = 10  # bucket 0 of 10 = 10 % validation
 
 
@@ -32,7 +32,7 @@ def split(df: DataFrame, id_col: str, seed: str | None = None) -> tuple[DataFram
     return df.where(b != 0), df.where(b == 0)
 
 
-def text_classifier(text_col: str = "text", label_col: str = "label", max_iter: int = 50,
+def text_classifier(text_col: str = "text", label_col: str = "label", max_iter: int = 25,
                     reg: float = 0.01) -> Pipeline:
     """Tokens + bigrams -> hashed TF -> IDF -> logistic regression."""
     return Pipeline(stages=[

@@ -98,16 +98,29 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 # Block sizes: a task holds at most ~MAX_QUERY_BLOCK x MAX_DOC_BLOCK scores and
 # expands at most EXPAND_CHUNK (query posting, doc posting) products at once.
-MAX_QUERY_BLOCK = 2_000
+MAX_QUERY_BLOCK = 4_000
 MAX_DOC_BLOCK = 4_000
 EXPAND_CHUNK = 4_000_000
-TARGET_TASKS = 8
+# A shared term is "hot" when expanding its pairs would cost more than one
+# dense rank-1 update of the block (numpy expansion ~ this many times a flop).
+DENSE_COST_RATIO = 64
+DENSE_COLUMNS = 512
 SCORE_SCHEMA = "query_id string, doc_id long, score double"
 
 
+def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tasks: int) -> tuple[int, int]:
+    """(query blocks, doc blocks). Each doc block is shipped once per query
+    block and each query block once per doc block; documents are the larger
+    side, so extra parallelism comes from splitting documents further."""
+    q_blocks = max(1, math.ceil(n_queries / max_q))
+    c_blocks = max(1, math.ceil(n_docs / max_d), math.ceil(target_tasks / q_blocks))
+    return q_blocks, c_blocks
+
+
 def _block_top_k(k: int):
     # Self-contained closure (numpy/pandas only): executors need not import us.
     order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
+    dense_ratio, dense_cols = DENSE_COST_RATIO, DENSE_COLUMNS
 
     def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or dp.empty:
@@ -131,6 +144,24 @@ def _block_top_k(k: int):
         nq, nd = len(qids), len(dids)
         scores = np.zeros(nq * nd)
         sizes = q_cnt[shared] * d_cnt[shared]
+        scores = scores.reshape(nq, nd)
+        # Hot terms (many postings on both sides) go through a dense BLAS
+        # product: cost nq*nd per term instead of ~100x that per expanded pair.
+        hot = sizes * dense_ratio > nq * nd
+        hot_terms, shared, sizes = shared[hot], shared[~hot], sizes[~hot]
+        if len(hot_terms):
+            col = np.full(nt, -1, dtype=np.int64)
+            for lo in range(0, len(hot_terms), dense_cols):
+                chunk = hot_terms[lo:lo + dense_cols]
+                col[:] = -1
+                col[chunk] = np.arange(len(chunk))
+                qm, dm = col[qc] >= 0, col[dc] >= 0
+                qd = np.zeros((nq, len(chunk)))
+                dd = np.zeros((len(chunk), nd))
+                qd[qi[qm], col[qc[qm]]] = qw[qm]
+                dd[col[dc[dm]], di[dm]] = dw[dm]
+                scores += qd @ dd
+        flat = scores.reshape(-1)
         cum = np.cumsum(sizes)
         lo = 0
         while lo < len(shared):
@@ -143,7 +174,7 @@ def _block_top_k(k: int):
             ndt = np.repeat(d_cnt[t], sz)
             qpost = np.repeat(q_start[t], sz) + c // ndt
             dpost = np.repeat(d_start[t], sz) + c % ndt
-            scores += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
+            flat += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
         s = scores.reshape(nq, nd)
         r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
         kk = min(k, nd)
@@ -163,8 +194,8 @@ def _block_top_k(k: int):
 def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_queries: int,
                   n_docs: int) -> DataFrame:
     """Exact top-k cosine per query (pairs sharing no term are not scored)."""
-    c_blocks = max(1, math.ceil(n_docs / MAX_DOC_BLOCK))
-    q_blocks = max(1, math.ceil(n_queries / MAX_QUERY_BLOCK), math.ceil(TARGET_TASKS / c_blocks))
+    q_blocks, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK,
+                                      query_postings.sparkSession.sparkContext.defaultParallelism)
     qp = (query_postings.select(F.col("query_id").cast("string"), "term", "w")
           .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))

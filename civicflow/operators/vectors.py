@@ -22,7 +22,6 @@ from civicflow.operators.common import top_k_per_group
 ORDER_DECIMALS = 9
 MAX_CORPUS_BLOCK = 50_000
 MAX_QUERY_BLOCK = 20_000
-TARGET_TASKS = 8
 
 KNN_SCHEMA = "query_id long, doc_id long, score double"
 
@@ -69,10 +68,10 @@ def knn_top_k(queries: DataFrame, q_id: str, q_vec: str, corpus: DataFrame, c_id
               c_blocks: int | None = None) -> DataFrame:
     """Exact cosine top-k: (query_id, doc_id, score, rank) ordered by
     score (rounded to 9 places) desc, then doc_id asc."""
-    if c_blocks is None:
-        c_blocks = max(1, math.ceil(corpus.count() / MAX_CORPUS_BLOCK))
-    if q_blocks is None:
-        q_blocks = max(math.ceil(queries.count() / MAX_QUERY_BLOCK), math.ceil(TARGET_TASKS / c_blocks), 1)
+    if q_blocks is None or c_blocks is None:
+        from civicflow.operators.tfidf import block_counts
+        q_blocks, c_blocks = block_counts(queries.count(), corpus.count(), MAX_QUERY_BLOCK, MAX_CORPUS_BLOCK,
+                                          queries.sparkSession.sparkContext.defaultParallelism)
     q = (queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(q_vec).alias("vec"))
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))

@@ -18,6 +18,7 @@ from civicflow.operators import tfidf
 from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_practice_area
 from civicflow.plans import dialogue
+from civicflow.session import cut_lineage
 
 SCORE_DECIMALS = 6
 RECOMMENDER_NEIGHBOURS = 5  # the directory needs at least this many rows
@@ -130,6 +131,9 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
         levels = dialogue.levels_needed(int(max_turn or 0), block)
     feats = turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns)
     replayed = dialogue.replay(feats, ["text", "lang", "score", "hit_doc"], block=block, levels=levels)
+    # Two consumers below (location turns and the final join): materialise the
+    # replay once in the shared checkpoint folder instead of scoring twice.
+    replayed = cut_lineage(replayed)
     loc = replayed.where(F.col("branch") == dialogue.BRANCH_LOCATION).select("conv_id", "turn", "text", "law_in")
     resolved = resolve_location_turns(spark, loc, directory, n_queries=n_turns)
     out = replayed.join(resolved, ["conv_id", "turn"], "left")

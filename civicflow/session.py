@@ -23,6 +23,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # one BLAS thread per Python worker: Spark already runs one task per core
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 
@@ -30,6 +33,8 @@ def get_spark(app_name: str = "civicflow", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
     """Return the active session, creating one with our defaults if needed."""
+    for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+        os.environ.setdefault(var, "1")  # inherited by locally started workers
     builder = SparkSession.builder.appName(app_name)
     master = master or os.environ.get("CIVICFLOW_MASTER")
     if master:
