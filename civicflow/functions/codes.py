@@ -35,8 +35,9 @@ def pick_variant(variants: Column | str, *key_cols: Column | str) -> Column:
     """O3: one element of ``variants`` chosen by a hash of the key columns."""
     arr = _c(variants)
     key = F.concat_ws(":", *[_c(k).cast("string") for k in key_cols])
-    idx = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.size(arr)
-    return F.element_at(arr, (idx + 1).cast("int"))
+    n = F.size(arr)
+    idx = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.greatest(n, F.lit(1))
+    return F.when(n > 0, F.try_element_at(arr, (idx + 1).cast("int")))
 
 
 def parse_options(options_json: Column | str) -> Column:

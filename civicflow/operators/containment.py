@@ -31,8 +31,8 @@ def _pattern_array(patterns: DataFrame, rank_col: str, value_col: str, group: li
 
 
 def _first_hit(text_expr: Column) -> Column:
-    return F.element_at(F.filter(F.col("_cands"),
-                                 lambda c: F.coalesce(text_expr.contains(c["value"]), F.lit(False))), 1)
+    return F.try_element_at(F.filter(F.col("_cands"),
+                                 lambda c: F.coalesce(text_expr.contains(c["value"]), F.lit(False))), F.lit(1))
 
 
 def _n_chunks(df: DataFrame, per_chunk: int) -> int:

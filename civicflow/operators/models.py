@@ -94,4 +94,4 @@ def emotion_job(spark: SparkSession, sf: str) -> DataFrame:
     probs = vector_to_array(F.col("probability"))
     return (model.transform(valid)
             .select("vec_id", F.col("label").cast("int").alias("label"), argmax_index(probs).alias("prediction"),
-                    F.round(F.element_at(probs, F.col("label").cast("int") + 1), 6).alias("p_label")))
+                    F.round(F.try_element_at(probs, F.col("label").cast("int") + 1), 6).alias("p_label")))

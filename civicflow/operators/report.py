@@ -58,5 +58,5 @@ def argmax_index(probs: Column) -> Column:
 
 def mean_log_loss(df: DataFrame, prob_col: str, label_col: str) -> DataFrame:
     """Average of -ln(p[label]) over scored rows (p clipped at 1e-15)."""
-    p = F.element_at(F.col(prob_col), F.col(label_col).cast("int") + 1)
+    p = F.try_element_at(F.col(prob_col), F.col(label_col).cast("int") + 1)
     return df.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"))
