@@ -96,10 +96,12 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
                            [F.round("score", ORDER_DECIMALS).desc(), F.col("doc_id").asc()], k)
 
 
-# Block sizes: a task holds at most ~MAX_QUERY_BLOCK x MAX_DOC_BLOCK scores and
-# expands at most EXPAND_CHUNK (query posting, doc posting) products at once.
+# Block sizes bound the postings a task receives; inside a task the doc block
+# is scored in slices of SLICE_ENTRIES scores, expanding at most EXPAND_CHUNK
+# (query posting, doc posting) products at once.
 MAX_QUERY_BLOCK = 4_000
-MAX_DOC_BLOCK = 4_000
+MAX_DOC_BLOCK = 20_000
+SLICE_ENTRIES = 8_000_000   # score-matrix entries held at once inside a task
 EXPAND_CHUNK = 4_000_000
 # A shared term is "hot" when expanding its pairs would cost more than one
 # dense rank-1 update of the block (numpy expansion ~ this many times a flop).
@@ -120,31 +122,28 @@ def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tas
 def _block_top_k(k: int):
     # Self-contained closure (numpy/pandas only): executors need not import us.
     order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
-    dense_ratio, dense_cols = DENSE_COST_RATIO, DENSE_COLUMNS
+    dense_ratio, dense_cols, slice_entries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES
 
-    def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or dp.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="object"),
-                                 "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        qids, qi = np.unique(qp["query_id"].to_numpy(), return_inverse=True)
-        dids, di = np.unique(dp["doc_id"].to_numpy(np.int64), return_inverse=True)
-        codes, uniq = pd.factorize(pd.concat([qp["term"], dp["term"]], ignore_index=True))
-        nt = len(uniq)
-        qc, dc = codes[:len(qp)], codes[len(qp):]
-        qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
-        qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
-        dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
-        # L2 norms: every posting of a query/doc is in this block
-        qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
-        dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
-        q_cnt, d_cnt = np.bincount(qc, minlength=nt), np.bincount(dc, minlength=nt)
-        q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
+    def top_rows(s, qids, dids, kk):
+        r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
+        kk = min(kk, s.shape[1])
+        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
+        out_q, out_d, out_s = [], [], []
+        for i in range(s.shape[0]):
+            cand = np.nonzero((r[i] >= thr[i]) & np.isfinite(r[i]))[0]
+            sel = cand[np.lexsort((dids[cand], -r[i, cand]))[:kk]]
+            out_q.append(np.full(len(sel), i, dtype=np.int64))
+            out_d.append(dids[sel])
+            out_s.append(s[i, sel])
+        return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
+
+    def slice_scores(nq, nt, qc, qi, qw, q_cnt, q_start, dc, di, dw, nd):
+        """Dense (nq, nd) cosine block; postings sorted by term code."""
+        scores = np.zeros((nq, nd))
+        d_cnt = np.bincount(dc, minlength=nt)
         d_start = np.concatenate([[0], np.cumsum(d_cnt)[:-1]])
         shared = np.nonzero((q_cnt > 0) & (d_cnt > 0))[0]
-        nq, nd = len(qids), len(dids)
-        scores = np.zeros(nq * nd)
         sizes = q_cnt[shared] * d_cnt[shared]
-        scores = scores.reshape(nq, nd)
         # Hot terms (many postings on both sides) go through a dense BLAS
         # product: cost nq*nd per term instead of ~100x that per expanded pair.
         hot = sizes * dense_ratio > nq * nd
@@ -175,19 +174,45 @@ def _block_top_k(k: int):
             qpost = np.repeat(q_start[t], sz) + c // ndt
             dpost = np.repeat(d_start[t], sz) + c % ndt
             flat += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
-        s = scores.reshape(nq, nd)
-        r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
-        kk = min(k, nd)
-        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_d, out_s = [], [], []
-        for i in range(nq):
-            cand = np.nonzero((r[i] >= thr[i]) & np.isfinite(r[i]))[0]
-            sel = cand[np.lexsort((dids[cand], -r[i, cand]))[:kk]]
-            out_q.append(np.repeat(qids[i:i + 1], len(sel)))
-            out_d.append(dids[sel])
-            out_s.append(s[i, sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                             "score": np.concatenate(out_s)})
+        return scores
+
+    def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or dp.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="object"),
+                                 "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        qids, qi = np.unique(qp["query_id"].to_numpy(), return_inverse=True)
+        dids, di = np.unique(dp["doc_id"].to_numpy(np.int64), return_inverse=True)
+        codes, uniq = pd.factorize(pd.concat([qp["term"], dp["term"]], ignore_index=True))
+        nt = len(uniq)
+        qc, dc = codes[:len(qp)], codes[len(qp):]
+        qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
+        qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
+        dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
+        # L2 norms: every posting of a query/doc is in this block
+        qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
+        dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
+        q_cnt = np.bincount(qc, minlength=nt)
+        q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
+        nq, nd = len(qids), len(dids)
+        # Score the doc block in slices so memory stays ~ slice_entries doubles;
+        # each slice keeps its own top-k, merged below (exact).
+        step = max(1, slice_entries // nq)
+        parts = []
+        for s0 in range(0, nd, step):
+            m = (di >= s0) & (di < s0 + step)
+            ns = min(step, nd - s0)
+            sc = slice_scores(nq, nt, qc, qi, qw, q_cnt, q_start, dc[m], di[m] - s0, dw[m], ns)
+            parts.append(top_rows(sc, qids, dids[s0:s0 + ns], k))
+        qrow = np.concatenate([p[0] for p in parts])
+        drow = np.concatenate([p[1] for p in parts])
+        srow = np.concatenate([p[2] for p in parts])
+        if len(parts) > 1:
+            order = np.lexsort((drow, -np.round(srow, order_decimals), qrow))
+            qrow, drow, srow = qrow[order], drow[order], srow[order]
+            rank = np.arange(len(qrow)) - np.searchsorted(qrow, qrow, side="left")
+            keep = rank < k
+            qrow, drow, srow = qrow[keep], drow[keep], srow[keep]
+        return pd.DataFrame({"query_id": qids[qrow], "doc_id": drow, "score": srow})
     return fn
 
 

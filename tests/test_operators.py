@@ -98,13 +98,14 @@ def test_tfidf_blocked_matches_brute_force(spark):
     qdf = spark.createDataFrame(list(enumerate(queries)), "qid long, text string")
     idx = tfidf.build_index(ddf, "doc_id", "text")
     S = _sk_like_tfidf(docs, queries)
+    saved = (tfidf.MAX_DOC_BLOCK, tfidf.MAX_QUERY_BLOCK, tfidf.SLICE_ENTRIES)
     for blocks in (None, 5):
-        if blocks:
-            tfidf.MAX_DOC_BLOCK, tfidf.MAX_QUERY_BLOCK = 13, 7
+        if blocks:  # many blocks, and several slices per block
+            tfidf.MAX_DOC_BLOCK, tfidf.MAX_QUERY_BLOCK, tfidf.SLICE_ENTRIES = 13, 7, 20
         try:
             got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in tfidf.search(idx, qdf, "qid", "text", k=3).collect()}
         finally:
-            tfidf.MAX_DOC_BLOCK, tfidf.MAX_QUERY_BLOCK = 4000, 4000
+            tfidf.MAX_DOC_BLOCK, tfidf.MAX_QUERY_BLOCK, tfidf.SLICE_ENTRIES = saved
         for q in range(len(queries)):
             order = sorted([d for d in range(len(docs)) if S[q, d] > 0], key=lambda d: (-round(S[q, d], 9), d))[:3]
             for r, d in enumerate(order, start=1):
