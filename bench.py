@@ -26,8 +26,10 @@ def main() -> None:
     spark = get_spark(app_name="civicflow-bench", master=f"local[{cpus}]", shuffle_partitions=cpus,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("ERROR")
-    # warm-up: JVM, code generation and Python workers
+    # warm-up: JVM, code generation, the Parquet reader, regex and Python workers
     spark.range(1000).selectExpr("sum(id)").collect()
+    (spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("max(r_name rlike 'a|b')").collect())
+    spark.range(16).repartition(cpus).mapInPandas(lambda it: it, "id long").collect()
     times: dict[str, float] = {}
     errors: dict[str, str] = {}
     for name in names:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.codes import md5_bucket
 from civicflow.functions.text import SEVERITY_GATE, TOKEN_PATTERN
-from civicflow.operators.common import dense_index, first_appearance
+from civicflow.operators.common import broadcast_checked, dense_index, first_appearance
 from civicflow.operators.report import argmax_index
 from civicflow.sources.readers import read_table
 
@@ -72,12 +72,13 @@ def complaint_type_job(spark: SparkSession, sf: str) -> DataFrame:
     tag), labels numbered by first appearance and mapped back for output."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).dropna(subset=["text", "lang"])
     index = dense_index(first_appearance(docs, "lang", "doc_id"), "first_row", "label_id")
-    idx = F.broadcast(index.select("lang", F.col("label_id").cast("double").alias("label")))
+    index = index.cache()  # label-sized; used twice (both directions of the map)
+    idx = broadcast_checked(index.select("lang", F.col("label_id").cast("double").alias("label")))
     data = docs.join(idx, "lang")
     train, valid = split(data, "doc_id")
     model = text_classifier().fit(train)
-    back = F.broadcast(index.select(F.col("label_id").cast("double").alias("prediction"),
-                                    F.col("lang").alias("predicted_lang")))
+    back = broadcast_checked(index.select(F.col("label_id").cast("double").alias("prediction"),
+                                          F.col("lang").alias("predicted_lang")))
     return (model.transform(valid).join(back, "prediction", "left")
             .select("doc_id", "lang", "predicted_lang"))
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from civicflow.functions.codes import md5_bucket
 from civicflow.functions.text import LANGUAGES, LEGAL_GATE, kb_category, language_tag, law_key, severity_keyword
 from civicflow.operators import engagement, knowledge, models, registry, report, tfidf
-from civicflow.operators.common import broadcast_checked, dense_index, drop_null_rows, fill_blank_strings, first_appearance
+from civicflow.operators.common import (dense_index, drop_null_rows, fill_blank_strings, first_appearance,
+                                       top_k_per_group)
 from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_law_text, with_practice_area
 from civicflow.operators.vectors import cache_delta, knn_top_k
@@ -110,7 +111,8 @@ def _customer_queries(spark: SparkSession, sf: str) -> DataFrame:
 def tfidf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     d = directory_fill(spark, sf)
     idx = tfidf.build_index(d, "lawyer_id", "profile_text")
-    top = tfidf.search(idx, _customer_queries(spark, sf), "c_custkey", "query_text", k=5)
+    top = tfidf.search(idx, _customer_queries(spark, sf), "c_custkey", "query_text", k=5,
+                       n_docs=table_rows(spark, sf, "supplier"), n_queries=table_rows(spark, sf, "customer"))
     return top.select(F.col("query_id").alias("c_custkey"), F.col("rank").cast("long").alias("rank"),
                       F.col("doc_id").alias("lawyer_id"), F.round("score", R6).alias("score"))
 
@@ -119,9 +121,20 @@ def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
 
 
+def _self_knn(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Leave-one-out kNN over all stored vectors (block sizes from footers)."""
+    from civicflow.operators.tfidf import block_counts
+    from civicflow.operators.vectors import MAX_CORPUS_BLOCK, MAX_QUERY_BLOCK
+    emb = _embeddings(spark, sf)
+    n = table_rows(spark, sf, "embeddings")
+    qb, cb = block_counts(n, n, MAX_QUERY_BLOCK, MAX_CORPUS_BLOCK, spark.sparkContext.defaultParallelism)
+    return knn_top_k(emb, "vec_id", "embedding", emb, "vec_id", "embedding", k=k, exclude_self=True,
+                     q_blocks=qb, c_blocks=cb)
+
+
 def semantic_top1(spark: SparkSession, sf: str) -> DataFrame:
     emb = _embeddings(spark, sf)
-    top = knn_top_k(emb, "vec_id", "embedding", emb, "vec_id", "embedding", k=1, exclude_self=True)
+    top = _self_knn(spark, sf, 1)
     docs = read_table(spark, sf, "documents", ["doc_id", "lang"])
     labels = emb.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("hit_label"))
     score = F.round("score", R6)
@@ -132,11 +145,10 @@ def semantic_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_topk_label_vote(spark: SparkSession, sf: str) -> DataFrame:
     emb = _embeddings(spark, sf)
-    top = knn_top_k(emb, "vec_id", "embedding", emb, "vec_id", "embedding", k=5, exclude_self=True)
+    top = _self_knn(spark, sf, 5)
     labels = emb.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("hit_label"))
     votes = (top.join(labels, "doc_id").groupBy("query_id", "hit_label")
              .agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("best_rank")))
-    from civicflow.operators.common import top_k_per_group
     win = top_k_per_group(votes, ["query_id"], [F.col("votes").desc(), F.col("best_rank").asc()], 1)
     truth = emb.select(F.col("vec_id").alias("query_id"), "label")
     return (win.join(truth, "query_id")
