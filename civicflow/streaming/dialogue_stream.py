@@ -13,8 +13,6 @@ Checkpoints live under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,48 +27,53 @@ OUTPUT_SCHEMA = ("conv_id long, turn long, lang string, stage_in string, branch
 STATE_SCHEMA = "stage int, law string, lang string, last_turn long"
 
 
-def step(stage: int, short: bool, legal: bool | None, severe: bool, law: str | None):
-    """Python mirror of the transition table (plans.dialogue) for one turn:
-    (branch, next stage, law set or None)."""
-    if stage == START or short:
-        return "greet", INVESTIGATING, None
-    if stage == INVESTIGATING:
-        if legal is None:
-            return "no_corpus", INVESTIGATING, None
-        return ("legal", FOLLOWUP, law) if legal else ("emotional", INVESTIGATING, None)
-    if stage == FOLLOWUP:
-        return ("ask_location", LOCATION, None) if severe else ("actions", INVESTIGATING, None)
-    return "location", INVESTIGATING, None
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    (conv_id,) = key
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-    if state.exists:
-        stage, law, lang, last = state.get
-    else:
-        stage, law, lang, last = START, None, None, -1
-    rows = []
-    for r in pdf.itertuples(index=False):
-        if lang is None:
-            lang = r.lang  # W1: the first message fixes the language
-        if r.turn <= last:
-            rows.append((conv_id, r.turn, lang, None, None, None, None, True))
-            continue
-        legal = None if pd.isna(r.legal) else bool(r.legal)
-        branch, nxt, law_set = step(stage, bool(r.short), legal, bool(r.severe), r.hit_law)
-        law_shown = law_set if law_set is not None else (law if law is not None else "general")
-        rows.append((conv_id, r.turn, lang, STAGE_NAMES[stage], branch, STAGE_NAMES[nxt], law_shown, False))
-        stage, law, last = nxt, (law_set if law_set is not None else law), r.turn
-    state.update((stage, law, lang, last))
-    yield pd.DataFrame(rows, columns=["conv_id", "turn", "lang", "stage_in", "branch", "stage_out", "law_key",
-                                      "late"])
+def make_advance():
+    """The state function as a self-contained closure (pandas only), so Python
+    workers need not import this package."""
+    start_, inv, fol, loc, names = START, INVESTIGATING, FOLLOWUP, LOCATION, list(STAGE_NAMES)
+
+    def step(stage, short, legal, severe, law):
+        """Python mirror of the transition table (plans.dialogue) for one turn:
+        (branch, next stage, law set or None)."""
+        if stage == start_ or short:
+            return "greet", inv, None
+        if stage == inv:
+            if legal is None:
+                return "no_corpus", inv, None
+            return ("legal", fol, law) if legal else ("emotional", inv, None)
+        if stage == fol:
+            return ("ask_location", loc, None) if severe else ("actions", inv, None)
+        return "location", inv, None
+
+    def advance(key, batches, state):
+        (conv_id,) = key
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
+        if state.exists:
+            stage, law, lang, last = state.get
+        else:
+            stage, law, lang, last = start_, None, None, -1
+        rows = []
+        for r in pdf.itertuples(index=False):
+            if lang is None:
+                lang = r.lang  # W1: the first message fixes the language
+            if r.turn <= last:
+                rows.append((conv_id, r.turn, lang, None, None, None, None, True))
+                continue
+            legal = None if pd.isna(r.legal) else bool(r.legal)
+            branch, nxt, law_set = step(stage, bool(r.short), legal, bool(r.severe), r.hit_law)
+            law_shown = law_set if law_set is not None else (law if law is not None else "general")
+            rows.append((conv_id, r.turn, lang, names[stage], branch, names[nxt], law_shown, False))
+            stage, law, last = nxt, (law_set if law_set is not None else law), r.turn
+        state.update((stage, law, lang, last))
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "lang", "stage_in", "branch", "stage_out",
+                                          "law_key", "late"])
+    return advance
 
 
 def dialogue_stream(scored_turns: DataFrame) -> DataFrame:
     """Streaming replay; ``scored_turns`` is a streaming DataFrame."""
     return (scored_turns.groupBy("conv_id")
-            .applyInPandasWithState(_advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+            .applyInPandasWithState(make_advance(), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout))
 
 
