@@ -135,7 +135,11 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
     # replay once in the shared checkpoint folder instead of scoring twice.
     replayed = cut_lineage(replayed)
     loc = replayed.where(F.col("branch") == dialogue.BRANCH_LOCATION).select("conv_id", "turn", "text", "law_in")
-    resolved = resolve_location_turns(spark, loc, directory, n_queries=n_turns)
+    if loc.isEmpty():  # cheap on the checkpoint: skip the directory work
+        resolved = spark.createDataFrame([], "conv_id long, turn long, place string, lawyer_id long, "
+                                             "match_kind string")
+    else:
+        resolved = resolve_location_turns(spark, loc, directory, n_queries=n_turns)
     out = replayed.join(resolved, ["conv_id", "turn"], "left")
     branch = (F.when(F.col("branch") != dialogue.BRANCH_LOCATION, F.col("branch"))
               .when(F.col("lawyer_id").isNotNull(), F.lit("lawyer")).otherwise(F.lit("no_lawyer")))
