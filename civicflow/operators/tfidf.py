@@ -220,7 +220,7 @@ def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_querie
                   n_docs: int) -> DataFrame:
     """Exact top-k cosine per query (pairs sharing no term are not scored)."""
     q_blocks, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK,
-                                      query_postings.sparkSession.sparkContext.defaultParallelism)
+                                      3 * query_postings.sparkSession.sparkContext.defaultParallelism)
     qp = (query_postings.select(F.col("query_id").cast("string"), "term", "w")
           .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
