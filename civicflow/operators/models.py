@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.functions.codes import md5_bucket
-from civicflow.functions.text import SEVERITY_GATE, TOKEN_PATTERN
+from civicflow.functions.text import SEVERITY_GATE, TOKEN_PATTERN_JVM
 from civicflow.operators.common import broadcast_checked, dense_index, first_appearance
 from civicflow.operators.report import argmax_index
 from civicflow.sources.readers import read_table
@@ -36,7 +36,7 @@ def text_classifier(text_col: str = "text", label_col: str = "label", max_iter:
                     reg: float = 0.01) -> Pipeline:
     """Tokens + bigrams -> hashed TF -> IDF -> logistic regression."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN_JVM, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
         HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=NUM_FEATURES),

@@ -63,7 +63,12 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TfidfIndex:
     """Fit the vocabulary/IDF on ``docs`` and return normalised postings."""
     tf = term_counts(docs, id_col, text_col)
     n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    # Documents with tf > 0 (all of them): the predicate keeps tf referenced,
+    # so the (doc, term) aggregate below stays identical to the one the
+    # weights use and its shuffle is reused. With count(1) (or count(tf),
+    # which Catalyst folds to it) the aggregate becomes a distinct and every
+    # text is tokenised twice.
+    vocab = (tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).cast("double").alias("df"))
              .join(F.broadcast(n_docs), how="inner")   # one-row scalar
              .select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
                      .alias("idf")))

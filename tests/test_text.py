@@ -89,6 +89,19 @@ def test_tokens_match_python_word_rule(spark):
     assert got == [re.findall(r"(?u)\b\w\w+\b", v.lower()) for v in vals]
 
 
+
+def test_possessive_token_pattern_same_matches(spark):
+    """The JVM tokenizer pattern finds exactly what TOKEN_PATTERN (and DuckDB's
+    RE2 on the oracle side) finds."""
+    import duckdb
+    from pyspark.sql import functions as F
+    vals = ["a bb ccc d ee", "x_y__z 1 22 333", "மனித உரிமை à", "ab-cd.ef,g h", "", "z"]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    spec = [r[0] for r in df.select(F.regexp_extract_all("t", F.lit(text.TOKEN_PATTERN), 0)).collect()]
+    fast = [r[0] for r in df.select(F.regexp_extract_all("t", F.lit(text.TOKEN_PATTERN_JVM), 0)).collect()]
+    duck = [duckdb.execute("SELECT regexp_extract_all(?, ?)", [v, text.TOKEN_PATTERN]).fetchone()[0] for v in vals]
+    assert fast == spec == duck
+
 def test_bigrams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "t array<string>")
     assert [r[0] for r in df.select(text.word_bigrams("t")).collect()] == [["a b", "b c"], [], []]
