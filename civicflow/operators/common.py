@@ -82,3 +82,18 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w))
             .where(F.col(rank_col) <= k))
+
+
+def block_partitions(left: DataFrame, right: DataFrame, n_blocks: int,
+                     keys: tuple[str, ...] = ("qb", "cb")) -> tuple[DataFrame, DataFrame]:
+    """Hash both sides of a blocked cogroup by its block keys into ``n_blocks``
+    partitions (one block per task on average).
+
+    Score blocks carry little data but much CPU, so AQE, which sizes
+    partitions by bytes, would coalesce the cogroup shuffle into one or two
+    tasks. A repartition with an explicit count is kept as planned, and the
+    cogroup's clustering on the same keys is then satisfied without another
+    shuffle.
+    """
+    n = max(1, n_blocks)
+    return left.repartition(n, *keys), right.repartition(n, *keys)

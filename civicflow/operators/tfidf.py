@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.text import tokens
-from civicflow.operators.common import top_k_per_group
+from civicflow.operators.common import block_partitions, top_k_per_group
 
 # Scores are ordered after rounding to this many places, so two engines (or two
 # summation orders) that differ only in the last bits still break ties by id.
@@ -232,6 +232,7 @@ def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_querie
     dp = (index.postings.select(F.col("doc_id").cast("long"), "term", "w")
           .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int"))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    qp, dp = block_partitions(qp, dp, q_blocks * c_blocks)
     local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k), SCORE_SCHEMA)
     return top_k(local, k)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.operators.common import top_k_per_group
+from civicflow.operators.common import block_partitions, top_k_per_group
 
 ORDER_DECIMALS = 9
 MAX_CORPUS_BLOCK = 50_000
@@ -78,6 +78,7 @@ def knn_top_k(queries: DataFrame, q_id: str, q_vec: str, corpus: DataFrame, c_id
     c = (corpus.select(F.col(c_id).cast("long").alias("doc_id"), F.col(c_vec).alias("vec"))
          .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    q, c = block_partitions(q, c, q_blocks * c_blocks)
     local = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
              .applyInPandas(_local_top_k(k, exclude_self), KNN_SCHEMA))
     return top_k_per_group(local, ["query_id"],

@@ -41,3 +41,25 @@ def test_top_k_is_cut_before_shuffle(spark):
 def test_literal_dims_are_broadcast(spark):
     p = _plan(entry.queries()["law_text_lookup"](spark, SF))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+@pytest.mark.parametrize("name", ["tfidf_recommend", "semantic_top1"])
+def test_score_blocks_keep_their_partitions(spark, name):
+    """Blocked scoring: both cogroup sides are hashed by block with an explicit
+    partition count (AQE keeps it, so CPU-heavy blocks are not coalesced into
+    one task), and the cogroup adds no second shuffle on the same keys."""
+    p = entry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(qb#\d+, cb#\d+, \d+\), REPARTITION_BY_NUM", p)) == 2
+    assert not re.search(r"hashpartitioning\(qb#\d+, cb#\d+, \d+\), ENSURE_REQUIREMENTS", p)
+
+
+def test_document_frequency_reuses_term_counts(spark):
+    """The (doc, term) count feeds both the IDF and the weights; it must stay
+    one aggregate (a count(1) would become a distinct and tokenise twice)."""
+    from civicflow.operators import tfidf
+    from civicflow.plans import inputs
+    idx = tfidf.build_index(inputs.complaint_corpus(spark, SF), "doc_id", "text")
+    p = idx.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [doc_id#" in p and "functions=[]" not in p
+    aggs = re.findall(r"Aggregate \[doc_id#\d+L?, term#\d+\], \[([^\]]*)\]", p)
+    assert len(aggs) == 2 and all("count(1)" in a for a in aggs)
