@@ -13,6 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +33,51 @@ def split(df: DataFrame, id_col: str, seed: str | None = None) -> tuple[DataFram
     return df.where(b != 0), df.where(b == 0)
 
 
-def text_classifier(text_col: str = "text", label_col: str = "label", max_iter: int = 25,
-                    reg: float = 0.01) -> Pipeline:
-    """Tokens + bigrams -> hashed TF -> IDF -> logistic regression."""
-    return Pipeline(stages=[
+def _feature_stages(text_col: str) -> list:
+    return [
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN_JVM, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
         HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=NUM_FEATURES),
+    ]
+
+
+def text_classifier(text_col: str = "text", label_col: str = "label", max_iter: int = 25,
+                    reg: float = 0.01) -> Pipeline:
+    """Tokens + bigrams -> hashed TF -> IDF -> logistic regression."""
+    return Pipeline(stages=_feature_stages(text_col) + [
         IDF(inputCol="_tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
                            family="auto"),
     ])
 
 
+def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
+                        max_iter: int = 25, reg: float = 0.01) -> PipelineModel:
+    """The same model as ``text_classifier().fit(train)``, with each text
+    tokenised once.
+
+    A plain pipeline fit reads and tokenises the training texts for the IDF
+    pass and again for the classifier's own passes. Here the hashed term
+    vectors (label + one sparse vector per row) are persisted once, with
+    MEMORY_AND_DISK so large training sets spill instead of failing; a lost
+    block is recomputed from its lineage. The IDF and the classifier are then
+    fitted from that frame, and the fitted stages are assembled into one
+    PipelineModel for scoring.
+    """
+    stages = _feature_stages(text_col)
+    for st in stages:  # all transformers: no data pass
+        train = st.transform(train)
+    tf = train.select(label_col, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        idf = IDF(inputCol="_tf", outputCol="features").fit(tf)
+        lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
+                                family="auto").fit(idf.transform(tf))
+    finally:
+        tf.unpersist()
+    return PipelineModel(stages + [idf, lr])
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """K3: persist (overwrite)."""
     model.write().overwrite().save(path)
@@ -61,7 +93,7 @@ def severity_job(spark: SparkSession, sf: str) -> DataFrame:
     labels = read_table(spark, sf, "labels", ["doc_id", "toxic"])
     data = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
     train, valid = split(data, "doc_id")
-    model = text_classifier().fit(train)
+    model = fit_text_classifier(train)
     p = F.element_at(vector_to_array(F.col("probability")), 2)
     return (model.transform(valid)
             .select("doc_id", F.round(p, 6).alias("p_severe"), (p > F.lit(SEVERITY_GATE)).alias("is_severe")))
@@ -76,7 +108,7 @@ def complaint_type_job(spark: SparkSession, sf: str) -> DataFrame:
     idx = broadcast_checked(index.select("lang", F.col("label_id").cast("double").alias("label")))
     data = docs.join(idx, "lang")
     train, valid = split(data, "doc_id")
-    model = text_classifier().fit(train)
+    model = fit_text_classifier(train)
     back = broadcast_checked(index.select(F.col("label_id").cast("double").alias("prediction"),
                                           F.col("lang").alias("predicted_lang")))
     return (model.transform(valid).join(back, "prediction", "left")

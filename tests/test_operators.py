@@ -220,3 +220,19 @@ def test_csv_corpus_reader(spark):
     kept = df.dropna(subset=["text", "law", "abuse_type"]).count()
     assert kept == 2
     assert readers.read_csv_corpus(spark, p + ".missing", allow_missing=True).count() == 0
+
+
+def test_single_pass_classifier_equals_pipeline_fit(spark):
+    """fit_text_classifier (texts tokenised once, TF persisted) gives the
+    same probabilities as fitting the plain pipeline."""
+    from pyspark.ml.functions import vector_to_array
+    from civicflow.operators import models
+    docs = readers.read_table(spark, "/root/testdata/sf0.001", "documents", ["doc_id", "text"], parallel=False)
+    labels = readers.read_table(spark, "/root/testdata/sf0.001", "labels", ["doc_id", "toxic"], parallel=False)
+    data = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
+    train, valid = models.split(data, "doc_id")
+
+    def probs(model):
+        out = model.transform(valid).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("p"))
+        return sorted(tuple(r) for r in out.collect())
+    assert probs(models.fit_text_classifier(train, max_iter=10)) == probs(models.text_classifier(max_iter=10).fit(train))
