@@ -64,11 +64,37 @@ def first_appearance(df: DataFrame, value_col: str, order_col: str, out_rank: st
     return df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(*aggs)
 
 
-def dense_index(df: DataFrame, order_col: str, out_col: str) -> DataFrame:
-    """A4: 0-based index by ``order_col``. Only for label-sized inputs (the
-    classes of a classifier): it orders the whole input in one task."""
-    w = Window.orderBy(F.col(order_col).asc())
-    return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("int"))
+# Inputs up to this many rows are numbered by one global window (one task).
+DENSE_INDEX_ONE_TASK_ROWS = 1_000_000
+
+
+def dense_index(df: DataFrame, order_col: str, out_col: str,
+                one_task_rows: int = DENSE_INDEX_ONE_TASK_ROWS) -> DataFrame:
+    """A4: 0-based index by ``order_col`` (values unique, e.g. a first row id).
+
+    Label-sized inputs (proved by a bounded count) use one global window.
+    Larger ones are numbered in parallel: rows are range-partitioned by
+    ``order_col``, numbered inside their partition, and shifted by the number
+    of rows in all earlier partitions, taken from a table with one row per
+    partition (broadcast; its size is the partition count).
+    """
+    if row_count_at_most(df, one_task_rows):
+        w = Window.orderBy(F.col(order_col).asc())
+        return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("int"))
+    spark = df.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Materialise the ranged rows once so both uses below see the same
+    # partition ids (a checkpoint in the shared folder, not a local one).
+    from civicflow.session import cut_lineage
+    ranged = cut_lineage(df.repartitionByRange(n_parts, F.col(order_col).asc())
+                         .withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(F.col(order_col).asc())))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(out_col, (F.col("_off") + F.col("_rn") - 1).cast("int"))
+            .drop("_pid", "_off", "_rn"))
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

@@ -236,3 +236,12 @@ def test_single_pass_classifier_equals_pipeline_fit(spark):
         out = model.transform(valid).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("p"))
         return sorted(tuple(r) for r in out.collect())
     assert probs(models.fit_text_classifier(train, max_iter=10)) == probs(models.text_classifier(max_iter=10).fit(train))
+
+
+def test_dense_index_distributed_path_matches_one_task(spark):
+    from civicflow.operators.common import dense_index
+    df = spark.range(0, 5000).select((F.col("id") * 7 + 3).alias("first_row"), F.col("id").alias("v"))
+    one = sorted(tuple(r) for r in dense_index(df, "first_row", "ix").collect())
+    many = sorted(tuple(r) for r in dense_index(df, "first_row", "ix", one_task_rows=10).collect())
+    assert [r[2] for r in one] == list(range(5000))
+    assert one == many
