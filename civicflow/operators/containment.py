@@ -40,10 +40,14 @@ def _n_chunks(df: DataFrame, per_chunk: int) -> int:
 
 
 def first_contained(texts: DataFrame, text_expr: Column, patterns: DataFrame, value_col: str,
-                    rank_col: str, out_value: str, out_rank: str,
+                    rank_col: str, out_value: str, out_rank: str, key_cols: list[str],
                     max_broadcast: int = DEFAULT_MAX_BROADCAST, salt: int = DEFAULT_SALT) -> DataFrame:
     """For every text row: the lowest-rank pattern that is a substring of
-    ``text_expr`` (left semantics: null when none). Adds two columns."""
+    ``text_expr`` (left semantics: null when none). Adds two columns.
+
+    ``key_cols`` identify a text row; the chunked path joins its per-row
+    minimum back on them (a generated row id could differ between the two
+    reads of ``texts`` when a task is recomputed)."""
     pats = patterns.select(F.col(rank_col), F.col(value_col)).where(F.col(value_col).isNotNull())
     if row_count_at_most(pats, max_broadcast):
         arr = F.broadcast(_pattern_array(pats, rank_col, value_col, []))
@@ -55,14 +59,13 @@ def first_contained(texts: DataFrame, text_expr: Column, patterns: DataFrame, va
     chunks = (_pattern_array(pats.withColumn("_chunk", F.pmod(F.xxhash64(value_col), F.lit(n_chunks))),
                              rank_col, value_col, ["_chunk"])
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-    rows = texts.withColumn("_row", F.monotonically_increasing_id())
-    keyed = (rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salt)).cast("int"))
+    keyed = (texts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(salt)).cast("int"))
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long")))))
-    best = (keyed.join(chunks, ["_chunk", "_salt"]).select("_row", _first_hit(text_expr).alias("_hit"))
-            .groupBy("_row").agg(F.min("_hit").alias("_hit")))
-    return (rows.join(best, "_row", "left")
+    best = (keyed.join(chunks, ["_chunk", "_salt"]).select(*key_cols, _first_hit(text_expr).alias("_hit"))
+            .groupBy(*key_cols).agg(F.min("_hit").alias("_hit")))
+    return (texts.join(best, key_cols, "left")
             .withColumn(out_value, F.col("_hit")["value"]).withColumn(out_rank, F.col("_hit")["rank"])
-            .drop("_hit", "_row"))
+            .drop("_hit"))
 
 
 def like_escape(q: Column) -> Column:

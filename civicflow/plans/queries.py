@@ -90,7 +90,7 @@ def location_detect(spark: SparkSession, sf: str) -> DataFrame:
                                F.col("c_mktsegment")))
     places = triage.directory_places(inputs.directory(spark, sf))
     return first_contained(cust.select("c_custkey", text.alias("t")), F.col("t"), places, "place", "place_rank",
-                           "place", "place_rank").select("c_custkey", "place", "place_rank")
+                           "place", "place_rank", ["c_custkey"]).select("c_custkey", "place", "place_rank")
 
 
 def best_in_location(spark: SparkSession, sf: str) -> DataFrame:

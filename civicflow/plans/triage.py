@@ -94,7 +94,7 @@ def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: D
     """
     places = directory_places(directory)
     with_place = first_contained(located, F.lower(F.col("text")), places, "place", "place_rank",
-                                 "place", "place_rank").drop("place_rank")
+                                 "place", "place_rank", ["conv_id", "turn"]).drop("place_rank")
     q = with_practice_area(with_place.withColumn("_law", F.coalesce(F.col("law_in"), F.lit("general"))),
                            spark, "_law", "practice").drop("_law")
     q = q.withColumn("_qtext", F.concat(F.coalesce(F.col("place"), py_strip(F.col("text"))), F.lit(" "),

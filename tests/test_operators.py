@@ -49,7 +49,7 @@ def test_first_contained_broadcast_and_chunked_agree(spark):
     want = {i: _first_contained_python(t) for i, t in enumerate(TEXTS)}
     for max_b in (100, 1):  # 1 forces the salted, chunked path
         out = containment.first_contained(texts, F.col("t"), places, "place", "rank", "place", "place_rank",
-                                          max_broadcast=max_b, salt=3)
+                                          ["id"], max_broadcast=max_b, salt=3)
         assert {r.id: r.place for r in out.collect()} == want
 
 
