@@ -245,3 +245,22 @@ def test_dense_index_distributed_path_matches_one_task(spark):
     many = sorted(tuple(r) for r in dense_index(df, "first_row", "ix", one_task_rows=10).collect())
     assert [r[2] for r in one] == list(range(5000))
     assert one == many
+
+
+def test_model_persist_and_load_roundtrip(spark, tmp_path):
+    """K3: a saved pipeline model loads back and scores identically."""
+    from pyspark.ml.functions import vector_to_array
+    from civicflow.operators import models
+    rows = [(i, t, float(lbl)) for i, (t, lbl) in enumerate(
+        [("police beat me severe", 1), ("need a lawyer now", 1), ("just a bit sad today", 0),
+         ("help me file a case", 1), ("feeling lonely", 0), ("nice weather", 0)] * 3)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    model = models.fit_text_classifier(data, max_iter=5)
+    path = str(tmp_path / "severity_model")
+    models.save_model(model, path)
+    again = models.load_model(path)
+
+    def probs(m):
+        return sorted(tuple(r) for r in m.transform(data).select(
+            "doc_id", F.round(vector_to_array("probability")[1], 9)).collect())
+    assert probs(again) == probs(model)
