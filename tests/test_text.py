@@ -36,6 +36,22 @@ def test_language_tag_total(spark):
     assert all(g in text.LANGUAGES for g in got)
 
 
+
+def test_language_tag_equals_plain_ordered_chain(spark):
+    """The one-scan form gives the plain rule's answer: Tamil script, then
+    Devanagari, then the two keyword lists, else english."""
+    from pyspark.sql import functions as F
+    def plain(t):
+        low = F.lower(t)
+        return (F.when(t.rlike(text.TAMIL_PATTERN), "tamil").when(t.rlike(text.DEVANAGARI_PATTERN), "hindi")
+                .when(low.rlike(text.any_substring_pattern(text.TANGLISH_WORDS)), "tanglish")
+                .when(low.rlike(text.any_substring_pattern(text.HINGLISH_WORDS)), "hinglish").otherwise("english"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    extra = spark.createDataFrame([(v,) for v, _ in LANG_CASES] + [(None,), ("मदद தமிழ்",), ("कानून enna",)], "text string")
+    df = docs.unionByName(extra)
+    bad = df.where(~F.equal_null(text.language_tag(F.col("text")), plain(F.col("text")))).count()
+    assert bad == 0
+
 LAW_CASES = [
     ("Domestic Violence Act 2005", "domestic_violence"),
     ("IPC 498A", "domestic_violence"),
