@@ -129,10 +129,15 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
     n_turns, max_turn = turns.agg(F.count(F.lit(1)), F.max("turn")).first()
     if levels is None:
         levels = dialogue.levels_needed(int(max_turn or 0), block)
-    feats = turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns)
+    # The scored turns (one row per turn, so bounded by the query side) are
+    # written once to the shared checkpoint folder. This ends the scoring
+    # plan there: AQE re-plans the remaining plan after every stage, and
+    # without the cut each of the scoring stages re-optimised the replay's
+    # large fold expression as well (seconds of driver time per run).
+    feats = cut_lineage(turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns))
     replayed = dialogue.replay(feats, ["text", "lang", "score", "hit_doc"], block=block, levels=levels)
     # Two consumers below (location turns and the final join): materialise the
-    # replay once in the shared checkpoint folder instead of scoring twice.
+    # replay once instead of replaying twice.
     replayed = cut_lineage(replayed)
     loc = replayed.where(F.col("branch") == dialogue.BRANCH_LOCATION).select("conv_id", "turn", "text", "law_in")
     if loc.isEmpty():  # cheap on the checkpoint: skip the directory work
