@@ -55,12 +55,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+# Tables whose rows carry whole texts: per-row work on them (tokenising,
+# regex tests, hashing) is CPU-heavy, so a single-split file is spread.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               parallel: bool = True) -> DataFrame:
-    """A Parquet table; ``columns`` prunes the scan's ReadSchema."""
+               parallel: bool | None = None) -> DataFrame:
+    """A Parquet table; ``columns`` prunes the scan's ReadSchema.
+
+    ``parallel`` (default: text tables only) spreads a scan that yields fewer
+    splits than the default parallelism. For short-row tables the extra
+    round-robin shuffle costs more than the parallel per-row work saves.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
+    if parallel is None:
+        parallel = name in TEXT_TABLES
     return spread(df) if parallel else df
 
 
