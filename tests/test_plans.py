@@ -63,3 +63,12 @@ def test_document_frequency_reuses_term_counts(spark):
     assert "Aggregate [doc_id#" in p and "functions=[]" not in p
     aggs = re.findall(r"Aggregate \[doc_id#\d+L?, term#\d+\], \[([^\]]*)\]", p)
     assert len(aggs) == 2 and all("count(1)" in a for a in aggs)
+
+
+def test_only_text_tables_are_spread(spark):
+    """Single-split scans are round-robin spread only for text tables."""
+    from civicflow.sources.readers import read_table
+    spread = read_table(spark, SF, "documents", ["doc_id", "text"])._jdf.queryExecution().sparkPlan().toString()
+    plain = read_table(spark, SF, "nation", ["n_nationkey"])._jdf.queryExecution().sparkPlan().toString()
+    assert "RoundRobinPartitioning" in spread
+    assert "RoundRobinPartitioning" not in plain
