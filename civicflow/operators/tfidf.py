@@ -133,14 +133,15 @@ def _block_top_k(k: int):
         r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
         kk = min(kk, s.shape[1])
         thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_d, out_s = [], [], []
-        for i in range(s.shape[0]):
-            cand = np.nonzero((r[i] >= thr[i]) & np.isfinite(r[i]))[0]
-            sel = cand[np.lexsort((dids[cand], -r[i, cand]))[:kk]]
-            out_q.append(np.full(len(sel), i, dtype=np.int64))
-            out_d.append(dids[sel])
-            out_s.append(s[i, sel])
-        return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
+        # candidates: at or above the row's k-th best (ties included), scored
+        qi_c, dj_c = np.nonzero((r >= thr[:, None]) & np.isfinite(r))
+        rc = r[qi_c, dj_c]
+        order = np.lexsort((dids[dj_c], -rc, qi_c))    # row, score desc, doc id
+        qi_c, dj_c = qi_c[order], dj_c[order]
+        rank = np.arange(len(qi_c)) - np.searchsorted(qi_c, qi_c, side="left")
+        keep = rank < kk
+        qi_c, dj_c = qi_c[keep], dj_c[keep]
+        return qi_c.astype(np.int64), dids[dj_c], s[qi_c, dj_c]
 
     def slice_scores(nq, nt, qc, qi, qw, q_cnt, q_start, dc, di, dw, nd):
         """Dense (nq, nd) cosine block; postings sorted by term code."""
