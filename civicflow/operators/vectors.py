@@ -50,16 +50,13 @@ def _local_top_k(k: int, exclude_self: bool):
         kk = min(k, s.shape[1])
         # threshold = k-th best rounded score per row; keep everything >= it (ties)
         thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_d, out_s = [], [], []
-        for i in range(s.shape[0]):
-            cand = np.nonzero((r[i] >= thr[i]) & np.isfinite(r[i]))[0]
-            order = np.lexsort((cid[cand], -r[i, cand]))[:kk]
-            sel = cand[order]
-            out_q.append(np.full(len(sel), qid[i], dtype=np.int64))
-            out_d.append(cid[sel])
-            out_s.append(s[i, sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d),
-                             "score": np.concatenate(out_s)})
+        rows, cols = np.nonzero((r >= thr[:, None]) & np.isfinite(r))
+        order = np.lexsort((cid[cols], -r[rows, cols], rows))    # row, score desc, id
+        rows, cols = rows[order], cols[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = rank < kk
+        rows, cols = rows[keep], cols[keep]
+        return pd.DataFrame({"query_id": qid[rows], "doc_id": cid[cols], "score": s[rows, cols]})
     return fn
 
 
