@@ -35,8 +35,8 @@ def _local_top_k(k: int, exclude_self: bool):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
                                  "doc_id": pd.Series([], dtype="int64"),
                                  "score": pd.Series([], dtype="float64")})
-        qm = np.vstack([np.asarray(v, dtype=np.float64) for v in q["vec"].to_numpy()])
-        cm = np.vstack([np.asarray(v, dtype=np.float64) for v in c["vec"].to_numpy()])
+        qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
+        cm = np.stack(c["vec"].to_numpy()).astype(np.float64)
         qn = np.linalg.norm(qm, axis=1)
         cn = np.linalg.norm(cm, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
