@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from civicflow.llm.near_dups import NEAR_DUPS_SQL, op8_near_dups
 from civicflow.llm.sharding import SHARDS_SQL, op5_shards
 from civicflow.llm.topk import TOPK_SQL, op10_exact_topk
 
 LLM_QUERIES = {
     "op5_shards": op5_shards,
+    "op8_near_dups": op8_near_dups,
     "op10_exact_topk": op10_exact_topk,
 }
 
 LLM_ORACLE_SQL = {
     "op5_shards": SHARDS_SQL,
+    "op8_near_dups": NEAR_DUPS_SQL,
     "op10_exact_topk": TOPK_SQL,
 }
