@@ -10,11 +10,12 @@
    sketch inside the task; only pairs that may reach the threshold leave it, and are confirmed.
 So no group is ever expanded into all pairs, pairs inside a component need no test, and every pair of
 texts sharing a bucket is either in one component or was tested. A pair at the threshold shares no bucket
-with probability below 1e-6; the estimate's margin is about six standard errors.
+with probability below 1e-6; the estimate's margin is about 4.5 standard errors. A second bitmap folds
+the whole set: its XOR count is at most the number of differing shingles, so it rules pairs out surely.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are kept;
 fewer than five words form one shingle; rows with a null id take no part and come back as kept singles;
-repeated rows and equal ids are one class; an empty table gives an empty result. Only id and text are
+repeated rows are one class (an id names one text); an empty table gives an empty result. Only id and text are
 read, so other columns' names cannot clash.
 """
 
@@ -32,8 +33,8 @@ from civicflow.llm.words import chunks, mix, odd_constants, run_hashes, text_buf
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 SKETCH_BITS = 512
-MARGIN = 0.19          # an estimate this far below the threshold rules a pair out
-LEADERS = 2            # members of a bucket that all its members are compared with at first
+SET_BITS = 1024        # parity bitmap of the whole set
+MARGIN = 0.11          # a sample estimate this far below the threshold rules a pair out
 GROUP = 256            # members confirmed, or sketches compared, in one task's group
 THRESHOLD = (85, 100)  # linked if 100 * intersection >= 85 * union
 
@@ -60,10 +61,15 @@ def min_hashes(s: np.ndarray, multipliers: np.ndarray, block: int = 256) -> np.n
     return least
 
 
+def parity_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap of hashed values as 64-bit words; equal values of two texts cancel under XOR."""
+    place = (values & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Parity bitmap, as 64-bit words, of the (position, sample) pairs; equal pairs of two texts cancel under XOR."""
-    place = mix(samples.astype(np.uint64) ^ odd_constants(len(samples), 77)) & np.uint64(bits - 1)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+    """The (position, sample) pairs of a MinHash signature folded into a parity bitmap."""
+    return parity_bits(mix(samples.astype(np.uint64) ^ odd_constants(len(samples), 77)), bits)
 
 
 def sketch_similarity(xor_count, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS):
@@ -73,39 +79,54 @@ def sketch_similarity(xor_count, samples: int = BANDS * ROWS, bits: int = SKETCH
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest, bands array, sketch) of each row."""
+    """(id, n_shingles, digest, bands, sketch of the samples, bitmap of the whole set) of each row."""
     multipliers = (odd_constants(BANDS * ROWS, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     row_weights = odd_constants(ROWS, 6)
     band_weights = odd_constants(BANDS, 7)
 
     def sign(batches):
         for batch in batches:
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, sketch, full = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), bands.append(None), sketch.append(None)
+                    for column in (digest, bands, sketch, full):
+                        column.append(None)
                     continue
                 digest.append(mix(s).sum().tobytes() + np.bitwise_xor.reduce(mix(s * row_weights[0])).tobytes())
                 least = min_hashes(s, multipliers)
                 keys = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * row_weights).sum(axis=1) ^ band_weights)
                 bands.append(keys.view(np.int64))
                 sketch.append(odd_sketch(least))
+                full.append(parity_bits(s, SET_BITS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "digest", "bands", "sketch"])
+                 *[pa.array(x, pa.list_(pa.int64())) for x in (bands, sketch, full)]],
+                names=["id", "n_shingles", "digest", "bands", "sketch", "full"])
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(sign, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"))
+            .mapInArrow(sign, "id long, n_shingles long, digest binary, bands array<long>, "
+                        "sketch array<long>, full array<long>"))
+
+
+def _may_link(threshold: tuple[int, int]):
+    """Column test of two classes (columns na, nb, sa, sb, fa, fb): can they be linked?
 
+    Sure bounds: the sets' sizes, and the XOR count of the whole-set bitmaps, which never exceeds the
+    number of differing shingles. Then the estimate from the folded samples, with its margin.
+    """
+    num, den = threshold
+    count = lambda a, b, k: sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, k)),
+                                F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return ((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+            & (count("fa", "fb", SET_BITS // 64) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+            & (count("sa", "sb", SKETCH_BITS // 64) <= _most_differing(threshold)))
 
-def _may_link(a: str, b: str, least: float):
-    """Column test on two sketches: XOR population count within the bound."""
+
+def _most_differing(threshold: tuple[int, int]) -> int:
+    """The largest XOR count of sample sketches whose estimate is within the margin."""
     counts = np.arange(SKETCH_BITS + 1)
-    most = int(counts[sketch_similarity(counts) >= least].max())
-    words = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64)]
-    return sum(words[1:], words[0]) <= most
+    return int(counts[sketch_similarity(counts) >= threshold[0] / threshold[1] - MARGIN].max())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -140,10 +161,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> D
     return rows.groupBy("a", "salt").applyInArrow(check, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
+def _block_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): pairs of one bucket but different components whose sketches may reach the threshold.
 
-    ``rows``: (key, id, comp, sketch, n) with ``n`` members a bucket. A bucket of more than ``GROUP``
+    ``rows``: (key, id, comp, sketch, full, size, n) with ``n`` members a bucket. A bucket of more than ``GROUP``
     members is cut into blocks; every pair of blocks is one task's group.
     """
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
@@ -151,20 +172,24 @@ def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
     placed = (rows.withColumn("own", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
               .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-                      "own", "id", "comp", "sketch"))
+                      "own", "id", "comp", "size", "sketch", "full"))
+    num, den = threshold
+    most = _most_differing(threshold)
 
     def compare(tbl: pa.Table) -> pa.Table:
-        ids, comp, own = (np.array(tbl.column(c)) for c in ("id", "comp", "own"))
-        bits = np.array(tbl.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(ids), -1)
+        ids, comp, own, size = (np.array(tbl.column(c)) for c in ("id", "comp", "own", "size"))
+        sketch, full = (np.array(tbl.column(c).combine_chunks().flatten()).view(np.uint64).reshape(len(ids), -1)
+                        for c in ("sketch", "full"))
         x, y = tbl.column("x")[0].as_py(), tbl.column("y")[0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         a_out, b_out = [], []
         for i in left:
-            differ = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1)
-            near = right[(sketch_similarity(differ) >= least) & (comp[right] != comp[i])
-                         & ((ids[right] > ids[i]) if x == y else True)]
-            a_out.append(np.minimum(ids[i], ids[near]))
-            b_out.append(np.maximum(ids[i], ids[near]))
+            r = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if x == y else True)]
+            r = r[np.minimum(size[r], size[i]) * den >= np.maximum(size[r], size[i]) * num]
+            r = r[np.bitwise_count(full[r] ^ full[i]).sum(axis=1) * (den + num) <= (size[r] + size[i]) * (den - num)]
+            r = r[np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1) <= most]
+            a_out.append(np.minimum(ids[i], ids[r]))
+            b_out.append(np.maximum(ids[i], ids[r]))
         cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(cat(a_out), pa.int64()), "b": pa.array(cat(b_out), pa.int64())})
 
@@ -174,28 +199,26 @@ def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; a component's smallest id is kept."""
-    least = threshold[0] / threshold[1] - MARGIN
     signed = stored(signatures(docs, id_col, text_col))
     # one representative a set: the smallest id
     classes = (signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
                .groupBy("digest").agg(F.min("id").alias("rep")))
     reps = stored(signed.join(classes.select(F.col("digest").alias("d"), "rep"),
                               (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")))
-                  .dropDuplicates(["rep"]).select("rep", "bands", "sketch"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+                  .dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("size"), "bands", "sketch", "full"))
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    by_seed = lambda seed: F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(seed)).alias("h"), "rep"))["rep"]
-    buckets = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[by_seed(i).alias(f"lead{i}") for i in range(LEADERS)])
-               .where(F.col("n") > 1))
-    members = stored(keyed.join(buckets, "key"))  # buckets of at least two classes, with their leaders
-    sketches = reps.select("rep", "sketch")
-    pairs = (members.select(F.explode(F.array(*[f"lead{i}" for i in range(LEADERS)])).alias("l"), "rep")
-             .where(F.col("l") != F.col("rep")).select(F.greatest("l", "rep").alias("b"), F.least("l", "rep").alias("a"))
-             .distinct())
-    near = (pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-            .where(_may_link("sa", "sb", least)).select("a", "b"))
-    near = stored(near)
+    buckets = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead0"),
+                                        F.max("rep").alias("lead1")).where(F.col("n") > 1))
+    members = stored(keyed.join(buckets, "key"))  # buckets of at least two classes, with two leaders
+    # texts of classes that share a bucket: the one shuffle of texts, by merge join at every size
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
+        members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id"))
+    sketches = reps.drop("bands")
+    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("size").alias(f"n{x}"),
+                                     F.col("sketch").alias(f"s{x}"), F.col("full").alias(f"f{x}"))
+    pairs = (members.select(F.explode(F.array("lead0", "lead1")).alias("l"), "rep").where(F.col("l") != F.col("rep"))
+             .select(F.greatest("l", "rep").alias("b"), F.least("l", "rep").alias("a")).distinct())
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(threshold)).select("a", "b"))
     links = stored(confirm(near, texts, threshold))
     # buckets of two were settled by their leader; others are compared on while they hold several components
     comp = components(links).select(F.col("id").alias("c_rep"), "comp")
@@ -204,8 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = (with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
     rows = (with_comp.join(mixed, "key").join(sketches, "rep")
-            .select("key", F.col("rep").alias("id"), "comp", "sketch", "n"))
-    rest = stored(_block_pairs(rows, least).join(near, ["a", "b"], "left_anti"))
+            .select("key", F.col("rep").alias("id"), "comp", "sketch", "full", "size", "n"))
+    rest = stored(_block_pairs(rows, threshold).join(near, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(confirm(rest, texts, threshold)))
     comp = components(links).select(F.col("id").alias("c_rep"), "comp")
     by_class = (classes.join(comp, F.col("rep") == F.col("c_rep"), "left")
