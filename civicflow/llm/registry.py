@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from civicflow.llm.decontaminate import op2_decontaminate
+from civicflow.llm.line_windows import LINES_SQL, op9_line_windows
 from civicflow.llm.near_dups import NEAR_DUPS_SQL, op8_near_dups
 from civicflow.llm.sharding import SHARDS_SQL, op5_shards
 from civicflow.llm.topk import TOPK_SQL, op10_exact_topk
 
 LLM_QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_shards": op5_shards,
     "op8_near_dups": op8_near_dups,
+    "op9_line_windows": op9_line_windows,
     "op10_exact_topk": op10_exact_topk,
 }
 
 LLM_ORACLE_SQL = {
     "op5_shards": SHARDS_SQL,
     "op8_near_dups": NEAR_DUPS_SQL,
+    "op9_line_windows": LINES_SQL,
     "op10_exact_topk": TOPK_SQL,
 }
