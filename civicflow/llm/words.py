@@ -75,9 +75,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word, eight bytes of every word at a time."""
+    """A 64-bit hash of each lower-cased word."""
+    return span_hashes(_LOWER[data], starts, ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, eight bytes of every span at a time."""
     padded = np.zeros(len(data) + 8, np.uint8)
-    padded[:len(data)] = _LOWER[data]
+    padded[:len(data)] = data
     eights = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     length = ends - starts
     out = mix(length.astype(np.uint64))
@@ -103,3 +108,18 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total += words[k:len(words) - n + 1 + k] * weights[k]
     return mix(total)
+
+
+def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): the spans' bytes one after another."""
+    length = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], length)], offsets
+
+
+def cut_spans(starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans longer than ``most`` bytes cut into parts, in order."""
+    parts = np.maximum(1, -(-(ends - starts) // most))
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(starts, parts) + nth * most
+    return begin, np.minimum(begin + most, np.repeat(ends, parts))
