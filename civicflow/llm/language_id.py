@@ -29,7 +29,7 @@ from civicflow.llm.lattice import MAX_UNIT, TOKENIZERS, Vocabulary, backward, bu
 from civicflow.llm.words import chunks, cut_spans, gather_spans, span_hashes, text_buffer
 
 LEARN_MOD, HELD_OUT = 4, 2
-LEARN_DOCS, LEARN_BYTES = 400, 20_000
+LEARN_DOCS, LEARN_BYTES = 200, 20_000
 MAX_LANGS = 500
 STEPS = 4
 SMOOTH = 0.05          # added to every expected count
