@@ -137,7 +137,7 @@ def build_lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Latti
     src.append(bare)
     length.append(one_char[bare])
     piece.append(np.full(len(bare), -1))
-    src, length, piece = map(np.concatenate, (src, length, piece))
+    src, length, piece = (np.concatenate(x[::-1]) for x in (src, length, piece))  # long pieces first
     order = np.argsort(src, kind="stable")
     src, length, piece = src[order], length[order], piece[order]
     numbers = np.arange(len(offsets) - 1)
