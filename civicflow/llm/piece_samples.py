@@ -41,6 +41,7 @@ from civicflow.llm.words import chunks, cut_spans, gather_spans, mix, span_hashe
 
 SAMPLES = 3
 SEED = 17
+OUT_IDS = 2_000_000  # ids in one output batch
 CHUNK = 6 << 20  # text bytes whose distinct units share one lattice
 RANK_OFFSET = 10
 OUTSIDE = np.exp(-13.)  # weight of a character outside the vocabulary
@@ -318,19 +319,23 @@ def sample_segmentations(docs: DataFrame, v: Vocabulary, k: int = SAMPLES, seed:
     weights = piece_weights(v)
     tail = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
 
+    names = ["id", "sample", "n_pieces", "log_prob", "inclusion", *(("ids_crc32", "round_trip") if digest else ("ids",))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(),
+             *((pa.int64(), pa.bool_()) if digest else (pa.list_(pa.int32()),))]
+
     def run(batches):
         for batch in batches:
             row_ids = batch.column(0).to_pylist()
-            columns = [[] for _ in range(7 if digest else 6)]
+            rows, held = [], 0
             for r, s, ids, log_prob, chance, text in sampled_rows(v, weights, batch.column(1), row_ids, k, seed):
                 more = ((zlib.crc32(ids.astype("<i4").tobytes()), decode(v, ids) == text.tobytes()) if digest else (ids,))
-                for c, x in zip(columns, (row_ids[r], s, len(ids), float(log_prob), float(chance), *more)):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(),
-                     *((pa.int64(), pa.bool_()) if digest else (pa.list_(pa.int32()),))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             names=["id", "sample", "n_pieces", "log_prob", "inclusion",
-                                                    *(("ids_crc32", "round_trip") if digest else ("ids",))])
+                rows.append((row_ids[r], s, len(ids), float(log_prob), float(chance), *more))
+                held += len(ids) + 100
+                if held > OUT_IDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"id long, sample int, n_pieces int, log_prob double, inclusion double, {tail}")
