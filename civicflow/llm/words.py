@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Text bytes handled at once; a single longer text is taken whole (its arrays are in proportion to it).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
