@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
+    return F.btrim(line, F.lit("\t\n\x0b\x0c\r "))
 
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
