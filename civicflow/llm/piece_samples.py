@@ -41,8 +41,8 @@ from civicflow.llm.words import chunks, cut_spans, gather_spans, mix, span_hashe
 
 SAMPLES = 3
 SEED = 17
-OUT_IDS = 2_000_000  # ids in one output batch
-CHUNK = 1 << 20  # text bytes whose distinct units share one lattice
+OUT_IDS = 500_000  # ids in one output batch
+CHUNK = 1 << 18  # text bytes whose distinct units share one lattice
 RANK_OFFSET = 10
 OUTSIDE = np.exp(-13.)  # weight of a character outside the vocabulary
 
