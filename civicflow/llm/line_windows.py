@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from civicflow.llm.frames import table
 
 WINDOW = 3
+_ID, _COVERED = "_line_windows_id", "_line_windows_covered"  # names no input column should have
 
 
 def _lines(text: Column) -> Column:
@@ -57,14 +58,14 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with covered lines removed, plus ``_lines`` and ``_removed`` (numbers of lines)."""
-    covered = covered_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), "covered")
+    covered = covered_lines(docs, id_col, text_col).select(F.col("id").alias(_ID), F.col("covered").alias(_COVERED))
     text = F.col(text_col)
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("covered", i)), "\n")
-    return (docs.join(covered, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(_COVERED, i)), "\n")
+    return (docs.join(covered, F.col(id_col).eqNullSafe(F.col(_ID)), "left")
             .withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(_lines(text))))
-            .withColumn("_removed", F.coalesce(F.size("covered"), F.lit(0)))
-            .withColumn(text_col, F.when(F.col("covered").isNull(), text).otherwise(kept))
-            .drop("_id", "covered"))
+            .withColumn("_removed", F.coalesce(F.size(_COVERED), F.lit(0)))
+            .withColumn(text_col, F.when(F.col(_COVERED).isNull(), text).otherwise(kept))
+            .drop(_ID, _COVERED))
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

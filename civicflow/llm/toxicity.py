@@ -8,7 +8,8 @@ counts, shifted from the learning sample's class shares to the label shares.
 
 Learning (on the driver) takes a bounded sample of labelled rows, ``LEARN_DOCS`` a class by hash of the id
 among texts of at most ``LEARN_BYTES`` bytes: a text's highest windows stand for it in each round
-(multiple-instance learning). The first dimension of both vector tables starts from smoothed log odds.
+(multiple-instance learning). The first dimension of both vector tables starts from smoothed log odds; buckets in
+fewer than ``LEAST_DOCS`` learning texts stay zero.
 Runs are seeded, so equal rows give equal models.
 
 Defined results: null texts, and texts without letters, score the share of label 1 times ``EMPTY``; texts of
@@ -36,7 +37,8 @@ WINDOW, STRIDE = 24, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
 WIDTH, HIDDEN = 8, 8
-ROUNDS, BATCH, RATE = 7, 128, 0.01
+ROUNDS, LEAST_STEPS, BATCH, RATE = 7, 250, 128, 0.01
+LEAST_DOCS = 3  # learning texts a bucket must occur in
 CUT = 0.3
 EMPTY = 0.5
 BLOCK = 4096  # windows scored at once
@@ -205,6 +207,7 @@ def _start(units: Units, unit: np.ndarray, row: np.ndarray, label: np.ndarray, r
         of_row, b = np.divmod(np.unique(rows * size + bucket), size)
         n = np.bincount(b, minlength=size)
         pos = np.bincount(b, label[of_row], minlength=size)
+        known.append(n >= LEAST_DOCS)
         rate = label.mean()
         return np.clip(np.log((pos + 4 * rate) / (n + 4)) - np.log((n - pos + 4 * (1 - rate)) / (n + 4))
                        - np.log(rate / (1 - rate)), -3, 3) * n / (n + 8)
@@ -213,10 +216,13 @@ def _start(units: Units, unit: np.ndarray, row: np.ndarray, label: np.ndarray, r
          "w": small(2 * WIDTH, 6 * HIDDEN) * 3, "c": np.zeros(6 * HIDDEN, np.float32),
          "u_f": small(HIDDEN, 3 * HIDDEN) * 3, "u_b": small(HIDDEN, 3 * HIDDEN) * 3,
          "attend": small(2 * HIDDEN), "out": small(2 * HIDDEN) * 3, "bias": np.zeros(1, np.float32)}
+    known = []
     p["word"][:, 0] = odds(units.word[unit], row, WORD_BUCKETS)
     rows, present = np.divmod(np.unique(row * len(units.word) + unit), len(units.word))
     take, nth = _grams_of(units, present)
     p["char"][:, 0] = odds(units.gram[take], rows[nth], CHAR_BUCKETS)
+    for name, often in zip(("word", "char"), known):
+        p[name][~often] = 0  # too rare to tell anything but the texts themselves
     return p
 
 
@@ -237,9 +243,10 @@ def train(texts: list[str], label: np.ndarray, prior: float, rounds: int = ROUND
     at_word = np.minimum(first[:, None] + np.arange(WINDOW), len(unit) - 1)
     hint = model.inputs(units)[:, [0, WIDTH]].max(axis=1)[unit]  # log odds choose the first round's windows
     logit = np.where(np.arange(WINDOW) < size[:, None], hint[at_word], -9).max(axis=1)
+    often = {k: (p[k] != 0).any(axis=1)[:, None] for k in ("word", "char")}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    for turn in range(rounds):
+    step = turn = 0
+    while turn < rounds or step < LEAST_STEPS:
         if turn:
             logit = model.window_logits(model.inputs(units) @ p["w"] + p["c"], unit, first, size)
         order = np.lexsort((-logit, owner))
@@ -250,11 +257,14 @@ def train(texts: list[str], label: np.ndarray, prior: float, rounds: int = ROUND
             pick = chosen[k:k + BATCH]
             step += 1
             grads = _gradients(model, units, unit, first[pick], size[pick], label[owner[pick]])
+            for name in often:
+                grads[name] *= often[name]
             for name, g in grads.items():
                 m, v = moment[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p[name] -= (RATE / (1 + 0.3 * turn) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+                p[name] -= (RATE / (1 + 2 * turn / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+        turn += 1
     share = min(max(prior, 1e-6), 1 - 1e-6)
     model.shift = float(np.log(share / (1 - share)) - np.log(label.mean() / (1 - label.mean())))
     return model

@@ -101,7 +101,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` consecutive words, in order."""
-    if len(words) < n:
+    if len(words) < n or n < 1:
         return np.zeros(0, np.uint64)
     weights = odd_constants(n, 1000 + n)
     total = np.zeros(len(words) - n + 1, np.uint64)

@@ -41,13 +41,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate component."""
     dropped = near_dups.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
     hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    return docs.join(hit.select(F.col("id").alias("_hit")), F.col("doc_id") == F.col("_hit"), "left_anti")
+    hit = hit.select(F.col("id").alias("_hit"))
+    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

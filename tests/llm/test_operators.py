@@ -1,0 +1,440 @@
+"""The ten operators against brute force, and their defined results on awkward rows."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from civicflow.llm import (components, decontaminate, language_id, lattice, line_windows, near_dups, piece_samples,
+                           quality, quotations, sharding, topk, toxicity, words)
+
+WORDS = [f"w{i}x" for i in range(400)]
+AWKWARD = [None, "", " \n\t ", "one", "é" * 3000 + " a\u0000b", "x " * 30000, "same text", "same text", "▁ mark ▁▁", "\U0001f600 ok"]
+
+
+def awkward(spark, *extra):
+    """Null, empty, blank, long, tied and repeated rows, a null id, and columns with clashing names."""
+    rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(7, AWKWARD[7]), (None, "null id"), (None, None), *extra]
+    return (spark.createDataFrame(rows, "doc_id long, text string")
+            .withColumns({c: F.lit(1) for c in ("id", "score", "rep", "a", "b", "hash", "n", "sample", "size", "_id")}))
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def test_word_hashes_follow_the_word_definition():
+    texts = ["A bC\x0bd\x0c\re", "", None, " lead", "tail ", " x\x1cy Z" + "q" * 50, "bc"]
+    data, offsets = words.text_buffer(pa.array(texts))
+    starts, ends, ptr = words.word_spans(data, offsets)
+    hashes = words.word_hashes(data, starts, ends)
+    seen = {}
+    for i, t in enumerate(texts):
+        want = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        assert len(want) == ptr[i + 1] - ptr[i]
+        for w, h in zip(want, hashes[ptr[i]:ptr[i + 1]].tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+# --- 5 sharding
+
+def test_shards_cut_prefix_sums(spark):
+    rng = random.Random(1)
+    rows = [(i, "x" * rng.randrange(400)) for i in range(500)] + [(900, None), (None, "n"), (3, "dup"), (3, "dup")]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    total, before = sum(len(t or "") + 1 for _, t in rows), 0
+    want = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()))):
+        size = len(t or "") + 1
+        want.append((-1 if i is None else i, size, min(7, (2 * before + size) * 8 // (2 * total))))
+        before += size
+    assert sorted(want) == sorted(zip(got["doc_id"].fillna(-1).astype(int), got["size"], got["shard"]))
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+        assert abs(g["size"].sum() - total / 8) <= 401
+    assert sharding.assign_shards(empty(spark)).count() == 0
+    assert sharding.assign_shards(awkward(spark)).count() == len(AWKWARD) + 3
+
+
+# --- 10 exact top-k
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(rng.normal(0, 0.2, 6), 2)]) for i in range(300)]
+    rows += [(1000 + i, rows[5][1]) for i in range(4)]  # ties
+    bad = [(2000, None), (2001, [1.0, None] + [0.0] * 4), (2002, [float("nan")] * 6), (2003, []), (None, [0.1] * 6), (2050, [1.0])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("id", F.lit(9))
+    got = topk.exact_top_k(df, F.col("id") % 50 == 0).collect()
+    v = {i: [int(np.floor(256 * float(np.float32(x)))) for x in e] for i, e in rows}
+    want = []
+    for q in [i for i in v if i % 50 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert topk.exact_top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_large_components_stay_exact():
+    q, c = np.array([[2.0**40, 3.0]]), np.array([[2.0**20, 1.0], [2.0**20, 2.0]])
+    assert topk.best_of_tile(np.array([1]), q, np.array([7, 8]), c, 1).values.tolist() == [[1, 8, 2**60 + 6]]
+
+
+# --- 8 near duplicates
+
+def brute_components(docs):
+    sets = {}
+    for i, t in docs:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(3)
+    docs = []
+    for g in range(12):
+        base = rng.choices(WORDS, k=rng.choice([4, 9, 60, 200]))
+        for _ in range(12):  # chains of edits, so that components have ends that are not linked
+            docs.append((len(docs), " ".join(base)))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                base = list(base)
+                base[rng.randrange(len(base))] = rng.choice(WORDS)
+    docs += [(1000 + i, t) for i, t in enumerate(AWKWARD)]
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(docs)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    got = near_dups.near_duplicates(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD) + 3
+    assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+    assert [r["component_id"] for r in got if r["doc_id"] == 7] == [6, 6]
+    assert near_dups.near_duplicates(empty(spark)).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(4)
+    mult = (words.odd_constants(near_dups.BANDS * near_dups.ROWS, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for j in (0.8, 0.9):
+        errors = []
+        for _ in range(20):
+            x = rng.integers(0, 2**63, 2000).astype(np.uint64)
+            cut = round(2000 * (1 - j) / (1 + j))
+            a, b = (near_dups.odd_sketch(near_dups.min_hashes(np.sort(s), mult)) for s in (x[cut:], x[:2000 - cut]))
+            z = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum()
+            errors.append(near_dups.sketch_similarity(z) - (2000 - 2 * cut) / 2000)
+        assert max(map(abs, errors)) < near_dups.MARGIN and abs(np.mean(errors)) < 0.03
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(30)] + [(None, 1)]
+    got = {r["id"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {}
+    for a, b in links:
+        if a is not None and a != b:
+            root.setdefault(a, a), root.setdefault(b, b)
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
+# --- 9 line windows
+
+def test_line_windows_match_brute_force(spark):
+    rng = random.Random(6)
+    pool = [f"line {i} of text" for i in range(14)]
+    docs = [(i, "\n".join(rng.choice(pool + ["", "  "]) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))) for i in range(80)]
+    seen, want = {}, {}
+    for i, t in docs:
+        lines = [(k, x.strip("\t\n\x0b\x0c\r ")) for k, x in enumerate(t.split("\n"))]
+        lines = [x for x in lines if x[1]]
+        cover = set()
+        for k in range(len(lines) - 2):
+            key = tuple(x[1] for x in lines[k:k + 3])
+            if key in seen:
+                cover |= {x[0] for x in lines[k:k + 3]}
+            seen[key] = 1
+        want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cover)
+    out = line_windows.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    kept = line_windows.remove_repeated_lines(awkward(spark)).collect()
+    assert len(kept) == len(AWKWARD) + 3 and {r["text"] for r in kept} == {*AWKWARD, "null id"}
+    assert line_windows.remove_repeated_lines(empty(spark)).count() == 0
+
+
+# --- 2 decontamination
+
+def brute_tiles(a, b, least):
+    used_a, used_b, total = set(), set(), 0
+    while True:
+        best, found = least - 1, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, j)]
+                elif n == best and n >= least:
+                    found.append((i, j))
+        if not found:
+            return total
+        for i, j in found:
+            if not (used_a & set(range(i, i + best)) or used_b & set(range(j, j + best))):
+                used_a |= set(range(i, i + best))
+                used_b |= set(range(j, j + best))
+                total += best
+
+
+def test_tiling_matches_brute_force():
+    rng = random.Random(7)
+    for _ in range(60):
+        a = [rng.randrange(4) for _ in range(rng.randrange(1, 20))]
+        b = [rng.randrange(4) for _ in range(rng.randrange(40))]
+        got = decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
+        assert sum(n for *_, n in got) == brute_tiles(a, b, min(3, len(a)))
+        assert all(a[i:i + n] == b[j:j + n] for i, j, n in got)
+
+
+def test_contamination_catches_reordered_passages(spark):
+    rng = random.Random(8)
+    item = rng.choices(WORDS, k=40)
+    filler = lambda n: rng.choices([w + "f" for w in WORDS], k=n)
+    docs = [(0, " ".join(filler(50) + item + filler(50))), (1, " ".join(filler(20) + item[20:] + filler(9) + item[:20])),
+            (2, " ".join(w.upper() for w in item)), (3, " ".join(filler(100))), (4, " ".join(item[:12] + filler(30))),
+            (5, "tiny"), (6, None)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "few words only"), (3, ""), (4, None)],
+                                  "item_id long, text string").withColumn("words", F.lit(1))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: (r["item_id"], r["coverage"]) for r in decontaminate.contamination(table, bench).collect()}
+    assert got == {0: (1, 1.0), 1: (1, 1.0), 2: (1, 1.0)}
+    assert decontaminate.contamination(awkward(spark, (50, "few words only")), bench).select("id").collect() == [(50,)]
+    assert decontaminate.contamination(table, bench.limit(0)).count() == 0
+    assert decontaminate.contamination(empty(spark), bench).count() == 0
+    # the shuffled join for a seed table beyond the bound gives the same pairs
+    seeds = decontaminate._item_words(bench, "item_id", "text")
+    pairs = [sorted((r["id"], r["item_id"]) for r in decontaminate.shared_seed_pairs(table, seeds, "doc_id", "text", n).collect())
+             for n in (10**6, 3)]
+    assert pairs[0] == pairs[1]
+
+
+# --- 4 quality
+
+def test_discriminant_scores_are_gaussian_log_odds():
+    rng = np.random.default_rng(9)
+    x = [rng.normal(0, 1, (300, 3)), rng.normal(1, 2, (200, 3))]
+    counts = np.array([300.0, 200.0])
+    m = quality.discriminant(counts, np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x]), 0.1, 0.02)
+    pooled = sum(np.cov(a.T, bias=True) * len(a) for a in x) / 500
+    point, logs = np.array([[0.3, -0.2, 1.0]]), []
+    for a in x:
+        s = 0.9 * np.cov(a.T, bias=True) + 0.1 * pooled
+        s = 0.98 * s + (0.02 * np.trace(s) / 3 + 1e-9) * np.eye(3)
+        d = point[0] - a.mean(0)
+        logs.append(np.log(len(a) / 500) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.solve(s, d))
+    assert np.isclose(m.scores(point)[0], 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
+def test_quality_learns_and_holds_out(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choices(WORDS, k=60)) if i % 2 else " ".join(w + "%%%" for w in rng.choices(WORDS[:9], k=60)))
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels.unionByName(spark.createDataFrame([(None, 1), (5, None), (9, 7)], labels.schema)))
+    got = quality.score(docs, model).toPandas()
+    assert ((got["score"] >= 0.5) == got["doc_id"] % 2).mean() > 0.97
+    lying = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1,
+                                                1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.allclose(quality.fit(docs, lying).means, model.means)  # held-out labels are never read
+    assert quality.score(awkward(spark), model).count() == len(AWKWARD) + 3
+    assert quality.score(empty(spark), model).count() == 0
+    assert quality.fit(docs, labels.limit(0)).prior == 0.5
+    assert quality.fit(empty(spark), labels).prior == 0.5
+
+
+# --- 3 language id and lattices
+
+PIECES = [b"a", b"b", b"ab", b" a", b" ", b"ba"]
+
+
+def tiny_vocabulary():
+    texts = [b"", *PIECES, *(bytes([i]) for i in range(256))]
+    return lattice.build_vocabulary(texts, list(range(1, 7)), np.arange(7, 263))
+
+
+def segmentations(text):
+    if not text:
+        return [()]
+    return [(i + 1, *rest) for i, p in enumerate(PIECES) if text.startswith(p) for rest in segmentations(text[len(p):])]
+
+
+def test_forward_sums_all_segmentations():
+    v = tiny_vocabulary()
+    w = np.random.default_rng(11).random(v.size + 1)
+    units = [b" abab", b" ba", b"b", b" aabba"]
+    lat = lattice.build_lattice(v, np.frombuffer(b"".join(units), np.uint8), np.cumsum([0, *map(len, units)]))
+    for got in (lattice.forward(lat, w[lat.piece])[lat.last_node], lattice.backward(lat, w[lat.piece])[lat.first_node]):
+        assert np.allclose(got, [sum(np.prod(w[list(s)]) for s in segmentations(u)) for u in units])
+
+
+def test_languages_are_told_apart(spark):
+    rng = random.Random(12)
+    syllables = {"xx": ["ka", "to", "mi", "ru"], "yy": ["sch", "ung", "eit", "ver"], "zz": ["eau", "oix", "ent", "que"]}
+    rows = [(i, " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(20)).capitalize() + ". 42", lang)
+            for i, lang in enumerate(rng.choices(list(syllables), k=300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.unionByName(spark.createDataFrame([(900, "abc", None), (901, None, "xx")], docs.schema)),
+                            lattice.load_vocabulary())
+    got = language_id.predict(docs, model)
+    assert got.where(F.col("lang") != F.col("lang_pred")).count() == 0
+    odd = {r["doc_id"]: r for r in language_id.predict(awkward(spark, (60, "123 !?")), model).collect()}
+    assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (0, 1, 2, 60))
+    assert odd[3]["lang_pred"] in syllables and 0 < odd[4]["score"] <= 1
+    assert language_id.predict(empty(spark), model).count() == 0
+    untaught = language_id.fit(docs.limit(0), lattice.load_vocabulary())
+    assert {r["lang_pred"] for r in language_id.predict(docs, untaught).collect()} == {"und"}
+
+
+# --- 1 toxicity
+
+def test_gru_gradients_match_differences():
+    rng = np.random.default_rng(13)
+    gates, u = rng.normal(size=(2, 4, 9)), rng.normal(size=(3, 9))
+    mask, out = np.array([[1, 1, 1, 1], [1, 1, 0, 0]], float), rng.normal(size=(2, 4, 3))
+    loss = lambda g, w: float((toxicity.gru(g, w, mask)[0] * out).sum())
+    _, cache = toxicity.gru(gates, u, mask, keep=True)
+    d_gates, d_u = toxicity.gru_gradient(out, u, mask, cache)
+    for array, grad in ((gates, d_gates), (u, d_u)):
+        for at in list(np.ndindex(array.shape))[::3]:
+            up, down = array.copy(), array.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            change = (loss(up, u) - loss(down, u)) if array is gates else (loss(gates, up) - loss(gates, down))
+            assert np.isclose(change / 2e-5, grad[at], atol=1e-5)
+
+
+def test_windows_cover_every_word():
+    for n in (1, 23, 24, 25, 40, 41, 500):
+        first, size, owner = toxicity.windows(np.repeat([0, 2], [n, 3]), 3)
+        covered = {w for f, s in zip(first, size) for w in range(f, f + s)}
+        assert covered == set(range(n + 3)) and set(owner) == {0, 2} and (size <= toxicity.WINDOW).all()
+
+
+def test_toxic_words_are_found_anywhere(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(500):
+        w = rng.choices(WORDS, k=rng.choice([5, 80, 300]))
+        w = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in x) for x in w]
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = "vilefool" + rng.choice(["", "ish", "er"])
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, model).toPandas()
+    right = (got["score"] >= toxicity.CUT) == (got["toxic"] == 1)
+    assert right.mean() > 0.97, right.groupby(got["toxic"]).mean()
+    odd = toxicity.score(awkward(spark), model).toPandas()
+    assert len(odd) == len(AWKWARD) + 3 and odd["score"].between(0, 1).all()
+    assert toxicity.score(empty(spark), model).count() == 0
+    assert toxicity.fit(docs, docs.select("doc_id", "toxic").limit(0)).prior == 0.0
+
+
+# --- 7 sampled segmentations
+
+def test_samples_are_a_draw_without_replacement():
+    v = tiny_vocabulary()
+    w = piece_samples.piece_weights(v)
+    ways = [a + b for a in segmentations(b" abab") for b in segmentations(b" ba")]
+    weight = np.array([np.prod(w[list(s)]) for s in ways])
+    p = dict(zip(ways, weight / weight.sum()))
+    n, rows = 3000, {}
+    for r, s, ids, log_p, chance, _ in piece_samples.sampled_rows(v, w, pa.array(["abab ba"] * n), list(range(n)), 3, 1):
+        rows.setdefault(r, []).append(tuple(ids.tolist()))
+        assert np.isclose(log_p, np.log(p[rows[r][-1]])) and 0 < chance <= 1
+    assert all(len(set(x)) == 3 for x in rows.values())
+    second = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
+    for place, want in ((0, p), (1, second)):
+        for s in p:
+            assert abs(sum(x[place] == s for x in rows.values()) / n - want[s]) < 0.035
+    few = [tuple(i.tolist()) for _, _, i, _, c, _ in piece_samples.sampled_rows(v, w, pa.array(["ab"]), [1], 20, 1) if c == 1.0]
+    assert sorted(few) == sorted(segmentations(b" ab"))  # all of them, each certain
+
+
+def test_segmentations_decode_to_the_text(spark):
+    v = lattice.load_vocabulary()
+    out = piece_samples.sample_segmentations(awkward(spark), v, 2).toPandas()
+    texts = dict(enumerate(AWKWARD))
+    for _, r in out[out["doc_id"].notna()].iterrows():
+        assert piece_samples.decode(v, np.array(r["ids"], int)) == (texts[int(r["doc_id"])] or "").encode()
+    again = piece_samples.sample_segmentations(awkward(spark).repartition(7), v, 2, digest=True)
+    assert again.where(~F.col("round_trip")).count() == 0
+    crc = sorted(zlib.crc32(np.array(x, "<i4").tobytes()) for x in out["ids"])
+    assert crc == sorted(r["ids_crc32"] for r in again.collect())  # whatever the partitions
+    assert (out[out["doc_id"].isin([0, 1])][["n_pieces", "log_prob", "inclusion"]].values == [0, 0, 1]).all()
+    assert piece_samples.sample_segmentations(empty(spark), v).count() == 0
+
+
+# --- 6 quotations
+
+def test_quotations_are_linked_and_ordered(spark):
+    m = [(1, 0, "Hello   there\nsecond line"), (1, 1, "> hello THERE\n> second line\n\nThanks for that"),
+         (1, 2, "unrelated"), (1, 3, ">> hello there\n>> second line\n> thanks for that\n\nAgreed"),
+         (1, 4, "> unrelated\nsure"), (2, 0, "> unrelated\nfrom afar"), (2, 1, "> never said\nhm"), (3, 0, None), (3, 1, ""),
+         (3, 2, "> only quoted"), (None, 0, "> hello there"), (4, None, "x")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in m], "conv_id long, turn long, role string, text string")
+    got = quotations.reply_ordered(df.withColumn("hash", F.lit(1))).collect()
+    assert len(got) == len(m)
+    by = {(r["conv_id"], r["turn"]): r for r in got}
+    assert by[1, 1]["parent_turn"] == 0 and by[1, 1]["clean"] == "Thanks for that"
+    assert (by[1, 3]["parent_turn"], by[1, 3]["depth"], by[1, 3]["root_turn"], by[1, 3]["n_linked"]) == (1, 2, 0, 2)
+    assert by[1, 4]["parent_turn"] == 2 and by[1, 4]["clean"] == "sure"
+    assert [t for _, t in sorted((r["position"], r["turn"]) for r in got if r["conv_id"] == 1)] == [0, 1, 3, 2, 4]
+    assert (by[2, 0]["parent_turn"], by[2, 0]["source_conv"], by[2, 0]["source_turn"]) == (None, 1, 2)
+    assert by[2, 1]["n_linked"] == 0 and by[2, 1]["n_passages"] == 1
+    assert by[3, 0]["clean"] is None and by[3, 2]["clean"] == "" and by[None, 0]["parent_turn"] is None
+    assert quotations.reply_ordered(df.limit(0)).count() == 0
+
+
+# --- pipeline
+
+@pytest.mark.parametrize("size", ["sf0.001"])
+def test_pipeline_stages_keep_columns_and_decide(spark, size):
+    import corpus_pipeline
+    from civicflow.llm.frames import stored, table
+    folder = f"/root/testdata/{size}"
+    docs = table(spark, folder, "documents").withColumns({c: F.lit(1) for c in ("id", "rep", "covered", "_dropped", "score")})
+    docs = docs.unionByName(docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])).coalesce(2)
+    columns, count = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, folder))
+        assert after.columns == columns and 0 < after.count() <= count, name
+        none = stage(spark, docs.limit(0), folder)
+        assert none.columns == columns and none.count() == 0, name
+        docs, count = after, after.count()
+    ids = [r[0] for r in docs.where(F.col("doc_id").isNotNull()).select("doc_id").collect()]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
+    assert set(out["doc_id"].dropna().astype(int)) == set(ids) and out.groupby("doc_id").size().le(2).all()
