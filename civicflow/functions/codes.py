@@ -36,7 +36,7 @@ def pick_variant(variants: Column | str, *key_cols: Column | str) -> Column:
     arr = _c(variants)
     key = F.concat_ws(":", *[_c(k).cast("string") for k in key_cols])
     n = F.size(arr)
-    idx = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.greatest(n, F.lit(1))
+    idx = md5_bucket(key, 1 << 30) % F.greatest(n, F.lit(1))  # the rule of triage's variant_key
     return F.when(n > 0, F.try_element_at(arr, (idx + 1).cast("int")))
 
 

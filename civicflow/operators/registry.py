@@ -26,8 +26,12 @@ STATUS_EXISTS = "already_exists"
 STATUS_INSERTED = "inserted"
 
 
-def protection_key(spark: SparkSession) -> Column:
+def protection_key(spark: SparkSession, throw_away: bool = False) -> Column:
+    """The configured key. Without one this is an error, unless the caller only needs a key that is
+    forgotten after the job (``throw_away``: checks that store nothing)."""
     conf = spark.conf.get(KEY_CONF, None)
+    if not conf and not throw_away:
+        raise ValueError(f"set {KEY_CONF} (base64 of 16, 24 or 32 bytes): ids encrypted without it cannot be read again")
     raw = base64.b64decode(conf) if conf else os.urandom(32)
     if len(raw) not in (16, 24, 32):
         raise ValueError(f"{KEY_CONF} must decode to 16, 24 or 32 bytes")
@@ -72,10 +76,18 @@ def zero_progress(users: DataFrame) -> DataFrame:
                                      ["articles_viewed", "topics_completed", "chatbot_usage_count", "quiz_score"]])
 
 
+def _tampered(token: Column) -> Column:
+    """The token with the bits of its last byte turned over."""
+    raw = F.unbase64(token)
+    last = F.conv(F.hex(F.substring(raw, -1, 1)), 16, 10).cast("int")
+    return F.base64(F.concat(F.substring(raw, F.lit(1), F.octet_length(raw) - 1),
+                             F.unhex(F.lpad(F.hex(F.lit(255) - last), 2, "0"))))
+
+
 def protect(df: DataFrame, spark: SparkSession, secret_col: str, id_col: str, hash_cols: list[str],
             salt: str = "") -> DataFrame:
     """hash ``hash_cols``, encrypt ``id_col`` and verify both ways."""
-    key = protection_key(spark)
+    key = protection_key(spark, throw_away=True)  # the cipher text itself is not returned
     cipher = encrypt_text(F.col(id_col), key)
     out = df.withColumn("_cipher", cipher)
     cols = [F.col(c) for c in df.columns if c not in hash_cols and c != id_col]
@@ -83,5 +95,5 @@ def protect(df: DataFrame, spark: SparkSession, secret_col: str, id_col: str, ha
                       *[sha256_hex(c, salt).alias(f"{c}_sha256") for c in hash_cols],
                       valid_gov_id(id_col).alias(f"{id_col}_valid"),
                       (decrypt_text(F.col("_cipher"), key) == F.col(id_col)).alias("roundtrip_ok"),
-                      (decrypt_text(F.concat(F.lit("x"), F.col("_cipher")), key) == F.lit("")).alias(
+                      (decrypt_text(_tampered(F.col("_cipher")), key) == F.lit("")).alias(
                           "tamper_rejected"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that are safe on a laptop and on a cluster alike. AQE re-plans joins
@@ -32,14 +33,19 @@ _DEFAULTS = {
 def get_spark(app_name: str = "civicflow", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Return the active session, creating one with our defaults if needed."""
+    """Return the active session as it is, or create one with the arguments and our defaults for unset keys."""
     for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
         os.environ.setdefault(var, "1")  # inherited by locally started workers
+    running = SparkSession.getActiveSession()
+    if running is not None:  # its settings are the launcher's business
+        ensure_checkpoint_dir(running)
+        return running
     builder = SparkSession.builder.appName(app_name)
     master = master or os.environ.get("CIVICFLOW_MASTER")
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    given = SparkConf()  # spark-submit's and spark-defaults' settings
+    conf = {k: v for k, v in _DEFAULTS.items() if not given.contains(k)}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -63,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="civicflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -6,12 +6,12 @@ DataFrame, so Catalyst can prune columns and push filters into the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicflow.operators.common import dense_index
+
 # The strings pandas.read_csv treats as missing by default.
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
@@ -34,11 +34,41 @@ class MissingInput(FileNotFoundError):
     """Raised when a required input is absent and not allowed to be."""
 
 
-def _exists(path: str) -> bool:
-    # Local paths are checked directly; for remote URIs let Spark decide.
-    if "://" in path and not path.startswith("file://"):
-        return True
-    return os.path.exists(path.replace("file://", ""))
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path (or a glob) names anything in the file system Spark reads it from."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType, names: dict[str, str]) -> DataFrame:
+    """The columns of ``schema`` picked from a header CSV by name, cast to their types.
+
+    ``names`` maps other header texts to schema names; case and blanks around a header do not matter, other
+    columns are ignored, and a missing one is an error, as is a file whose header differs from the others'.
+    A file with quoted line breaks is one task: give large inputs as many files.
+    """
+    raw = (spark.read.option("header", "true").option("multiLine", "true").option("enforceSchema", "false")
+           .option("escape", '"').option("quote", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    key = lambda c: " ".join(c.lstrip("\ufeff").lower().split())
+    known = {key(k): v for k, v in names.items()} | {key(f.name): f.name for f in schema.fields}
+    at = {known[key(c)]: c for c in reversed(raw.columns) if key(c) in known}
+    missing = [f.name for f in schema.fields if f.name not in at]
+    if missing:
+        raise MissingInput(f"{path}: no column for {', '.join(missing)} in header {raw.columns}")
+    column = lambda name: F.col("`" + at[name].replace("`", "``") + "`")
+    picked = raw.select(*[column(f.name).alias(f.name) for f in schema.fields], F.struct(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).alias("_place"))
+    clean = normalise_na(picked)
+    return clean.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
+                          for f in schema.fields], "_place")
+
+
+def _file_ordered(df: DataFrame, row_id: str) -> DataFrame:
+    """``row_id`` counts rows by file path, then by their order in the file, whatever sizes the files have."""
+    out = dense_index(df, "_place", row_id)
+    return out.select(F.col(row_id).cast("long").alias(row_id), *[c for c in df.columns if c != "_place"])
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -92,51 +122,50 @@ def normalise_na(df: DataFrame, columns: list[str] | None = None,
 
 def read_csv_corpus(spark: SparkSession, path: str, schema: T.StructType = COMPLAINT_SCHEMA,
                     allow_missing: bool = False, row_id: str = "row_id") -> DataFrame:
-    """Header CSV with quoted multi-line fields; adds an ingest ``row_id``.
+    """Header CSV with quoted multi-line fields, columns by name; adds an ingest ``row_id``.
 
-    ``row_id`` follows file order (partition index in the high bits), so
-    "first row wins" rules stay well defined after any later shuffle. Write
-    the result to Parquet once and use that table from then on.
+    ``row_id`` follows (file path, place in the file), so "first row wins" rules do not depend on file
+    sizes. Write the result to Parquet once and use that table from then on.
     """
-    if not _exists(path):
+    if not _exists(spark, path):
         if allow_missing:
             return empty_frame(spark, T.StructType([T.StructField(row_id, T.LongType(), False)] + schema.fields))
         raise MissingInput(path)
-    raw = (spark.read.schema(schema)
-           .option("header", "true").option("multiLine", "true")
-           .option("escape", '"').option("quote", '"')
-           .option("nullValue", "\u0000").option("emptyValue", "")
-           .csv(path))
-    df = normalise_na(raw)
-    return df.select(F.monotonically_increasing_id().alias(row_id), *df.columns)
+    return _file_ordered(_csv_by_name(spark, path, schema, {}), row_id)
+
+
+# The directory's spreadsheet headers.
+DIRECTORY_HEADERS = {"Name": "name", "Mobile Number": "mobile", "Location": "location",
+                     "Practice Area": "practice_area", "Experience (Years)": "experience_years"}
 
 
 def read_directory(spark: SparkSession, path: str, fmt: str = "parquet",
-                   allow_missing: bool = True) -> DataFrame:
-    """Adviser directory converted from the spreadsheet (Parquet or CSV).
+                   allow_missing: bool = False) -> DataFrame:
+    """Adviser directory converted from the spreadsheet (Parquet or CSV with its headers).
 
-    A missing directory yields an empty table, as the service runs without one.
+    CSV columns are found by header; without an id column rows are numbered in file order. A missing
+    directory is an error unless ``allow_missing``, which gives an empty table.
     """
-    if not _exists(path):
+    if not _exists(spark, path):
         if allow_missing:
             return empty_frame(spark, DIRECTORY_SCHEMA)
         raise MissingInput(path)
-    reader = spark.read.schema(DIRECTORY_SCHEMA)
     if fmt == "csv":
-        return normalise_na(reader.option("header", "true").csv(path))
-    return reader.parquet(path)
+        id_field = DIRECTORY_SCHEMA.fields[0].name
+        rest = T.StructType(DIRECTORY_SCHEMA.fields[1:])
+        return _file_ordered(_csv_by_name(spark, path, rest, DIRECTORY_HEADERS), id_field)
+    return spark.read.schema(DIRECTORY_SCHEMA).parquet(path)
 
 
 def read_labelled_text(spark: SparkSession, path: str, strict_parity: bool = False,
                        allow_missing: bool = False) -> DataFrame:
     """S3: (text, label) CSV. Default drops null texts; ``strict_parity``
     reproduces ``astype(str)`` where a missing text becomes the string 'nan'."""
-    if not _exists(path):
+    if not _exists(spark, path):
         if allow_missing:
             return empty_frame(spark, LABELLED_TEXT_SCHEMA)
         raise MissingInput(path)
-    df = normalise_na(spark.read.schema(LABELLED_TEXT_SCHEMA).option("header", "true")
-                      .option("multiLine", "true").option("escape", '"').csv(path))
+    df = _csv_by_name(spark, path, LABELLED_TEXT_SCHEMA, {}).drop("_place")
     if strict_parity:
         return df.withColumn("text", F.coalesce(F.col("text"), F.lit("nan")))
     return df.dropna(subset=["text"])

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from civicflow.plans.dialogue import FOLLOWUP, INVESTIGATING, LOCATION, START, STAGE_NAMES
+from civicflow.sources.sinks import chat_log_rows
 from civicflow.session import ensure_checkpoint_dir
 
 OUTPUT_SCHEMA = ("conv_id long, turn long, lang string, stage_in string, branch string, stage_out string, "
@@ -93,7 +94,7 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
 
 def chat_log_sink(chats: DataFrame, path: str, name: str = "chat_log", trigger_once: bool = False) -> StreamingQuery:
     """ST-LOG/K1: append answered, non-blank messages as Parquet by day."""
-    out = chats.withColumn("dt", F.to_date(F.col("ts")))
+    out = chat_log_rows(chats)
     w = (out.writeStream.format("parquet").outputMode("append").partitionBy("dt")
          .option("path", path).option("checkpointLocation", checkpoint_location(chats.sparkSession, name)))
     if trigger_once:
