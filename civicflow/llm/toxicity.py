@@ -32,7 +32,7 @@ from civicflow.llm.language_id import distinct_units, letter_runs
 from civicflow.llm.words import chunks, mix, odd_constants, text_buffer
 
 LEARN_MOD, HELD_OUT = 4, 2
-LEARN_DOCS, LEARN_BYTES = 1200, 12_000
+LEARN_DOCS, LEARN_BYTES = 1200, 8_000
 WINDOW, STRIDE = 24, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
@@ -41,7 +41,7 @@ ROUNDS, LEAST_STEPS, BATCH, RATE = 7, 250, 128, 0.01
 LEAST_DOCS = 3  # learning texts a bucket must occur in
 CUT = 0.3
 EMPTY = 0.5
-BLOCK = 4096  # windows scored at once
+BLOCK = 2048  # windows scored at once
 
 
 @dataclass
