@@ -1,7 +1,8 @@
 """Operator 8, MinHash near-dedup with odd sketches.
 
-1. Every text's set of distinct five-word shingles (hashed to 64 bits) gives ``BANDS * ROWS`` MinHash
-   samples, their band keys, and an odd sketch: the samples folded into ``SKETCH_BITS`` parity bits.
+1. Every text's set of distinct five-word shingles (hashed to 64 bits) gives MinHash samples (bands times
+   rows, by the threshold's ``scheme``), their band keys, and an odd sketch: the samples folded into
+   ``SKETCH_BITS`` parity bits.
 2. Texts with the same set (compared by a 128-bit digest) are one class from here on.
 3. Each band bucket names leaders; members are compared with them by XOR population count, which
    estimates high similarities closely, and pairs that may reach the threshold are confirmed on the full
@@ -35,8 +36,17 @@ BANDS, ROWS = 36, 7
 SKETCH_BITS = 512
 SET_BITS = 1024        # parity bitmap of the whole set
 MARGIN = 0.11          # a sample estimate this far below the threshold rules a pair out
+SCHEMES = [(0.85, BANDS, ROWS, MARGIN), (0.8, 48, 6, 0.13)]  # least threshold, bands, rows, margin
 GROUP = 256            # members confirmed, or sketches compared, in one task's group
-THRESHOLD = (85, 100)  # linked if 100 * intersection >= 85 * union
+THRESHOLD = (85, 100)  # op8's: linked if 100 * intersection >= 85 * union
+
+
+def scheme(threshold: tuple[int, int]) -> tuple[int, int, float]:
+    """(bands, rows, margin) for a threshold of 4/5 or more: pairs at it miss all bands with probability below 1e-6."""
+    for least, bands, rows, margin in SCHEMES:
+        if threshold[0] / threshold[1] >= least:
+            return bands, rows, margin
+    raise ValueError(f"no bands for a threshold below {SCHEMES[-1][0]}: {threshold}")
 
 
 def shingle_sets(column, n: int = SHINGLE):
@@ -78,11 +88,12 @@ def sketch_similarity(xor_count, samples: int = BANDS * ROWS, bits: int = SKETCH
     return 1 + bits * np.log1p(-2 * odd) / (4 * samples)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(id, n_shingles, digest, bands, sketch of the samples, bitmap of the whole set) of each row."""
-    multipliers = (odd_constants(BANDS * ROWS, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    row_weights = odd_constants(ROWS, 6)
-    band_weights = odd_constants(BANDS, 7)
+    n_bands, n_rows, _ = scheme(threshold)
+    multipliers = (odd_constants(n_bands * n_rows, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    row_weights = odd_constants(n_rows, 6)
+    band_weights = odd_constants(n_bands, 7)
 
     def sign(batches):
         for batch in batches:
@@ -95,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 digest.append(mix(s).sum().tobytes() + np.bitwise_xor.reduce(mix(s * row_weights[0])).tobytes())
                 least = min_hashes(s, multipliers)
-                keys = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * row_weights).sum(axis=1) ^ band_weights)
+                keys = mix((least.astype(np.uint64).reshape(n_bands, n_rows) * row_weights).sum(axis=1) ^ band_weights)
                 bands.append(keys.view(np.int64))
                 sketch.append(odd_sketch(least))
                 full.append(parity_bits(s, SET_BITS))
@@ -125,8 +136,9 @@ def _may_link(threshold: tuple[int, int]):
 
 def _most_differing(threshold: tuple[int, int]) -> int:
     """The largest XOR count of sample sketches whose estimate is within the margin."""
+    bands, rows, margin = scheme(threshold)
     counts = np.arange(SKETCH_BITS + 1)
-    return int(counts[sketch_similarity(counts) >= threshold[0] / threshold[1] - MARGIN].max())
+    return int(counts[sketch_similarity(counts, bands * rows) >= threshold[0] / threshold[1] - margin].max())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -199,7 +211,7 @@ def _block_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; a component's smallest id is kept."""
-    signed = stored(signatures(docs, id_col, text_col))
+    signed = stored(signatures(docs, id_col, text_col, threshold))
     # one representative a set: the smallest id
     classes = (signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
                .groupBy("digest").agg(F.min("id").alias("rep")))
@@ -241,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), threshold=THRESHOLD)
 
 
 NEAR_DUPS_SQL = r"""

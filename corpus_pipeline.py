@@ -19,6 +19,7 @@ from civicflow.llm.frames import stored, table
 from civicflow.llm.lattice import load_vocabulary
 
 SAMPLES = 2  # segmentations of each document
+NEAR = (4, 5)  # near-duplicates: linked if 5 * intersection >= 4 * union
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate component."""
-    dropped = near_dups.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    dropped = near_dups.near_duplicates(docs, threshold=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
 
 

@@ -123,6 +123,24 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_pipeline_drops_pairs_from_four_fifths(spark):
+    import corpus_pipeline
+    docs, want = [], set()
+    for g in range(60):  # pairs from 0.78 to 0.86, most of them at 0.80 to under 0.85
+        n, lost = 100, [12, 11, 9, 8][g % 4] if g % 3 else 10
+        base = [f"g{g}w{i}" for i in range(n + 4)]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:len(base) - lost] + [f"g{g}v{i}" for i in range(lost)]))]
+        both = n - lost
+        want |= {2 * g} if 5 * both >= 4 * (2 * n - both) else {2 * g, 2 * g + 1}
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    assert 60 < len(want) < 80
+    miss = [(1 - t ** rows) ** bands for t, bands, rows, _ in near_dups.SCHEMES]
+    assert max(miss) < 1e-6
+    with pytest.raises(ValueError):
+        near_dups.scheme((3, 4))
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = near_dups.near_duplicates(awkward(spark)).collect()
     assert len(got) == len(AWKWARD) + 3
