@@ -39,7 +39,7 @@ from civicflow.llm.frames import table
 from civicflow.llm.lattice import MAX_UNIT, TOKENIZERS, Vocabulary, backward, build_lattice, load_vocabulary
 from civicflow.llm.words import chunks, cut_spans, gather_spans, mix, span_hashes, text_buffer
 
-SAMPLES = 2
+SAMPLES = 3
 SEED = 17
 OUT_IDS = 500_000  # ids in one output batch
 CHUNK = 1 << 18  # text bytes whose distinct units share one lattice

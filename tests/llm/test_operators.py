@@ -402,6 +402,11 @@ def test_samples_are_a_draw_without_replacement():
     assert sorted(few) == sorted(segmentations(b" ab"))  # all of them, each certain
 
 
+def test_query_draws_three_samples_a_document(spark):
+    got = piece_samples.op7_piece_samples(spark, "/root/testdata/sf0.001").where(F.col("n_pieces") > 20)
+    assert {r[0] for r in got.groupBy("doc_id").count().select("count").distinct().collect()} == {3}
+
+
 def test_segmentations_decode_to_the_text(spark):
     v = lattice.load_vocabulary()
     out = piece_samples.sample_segmentations(awkward(spark), v, 2).toPandas()
