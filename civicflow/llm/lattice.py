@@ -28,11 +28,18 @@ class Vocabulary:
     piece_of: np.ndarray
     slots: list[np.ndarray]
     longest: int
+    crossed: np.ndarray  # (byte, next byte): do they stand side by side in a piece?
 
     @property
     def size(self) -> int:
         return len(self.offsets) - 1
 
+    def open_cuts(self, data: np.ndarray) -> np.ndarray:
+        """For each byte: does a character start there that no piece can join to the byte before it?"""
+        out = (data & 0xC0) != 0x80
+        out[1:] &= ~self.crossed[data[:-1], data[1:]]
+        return out
+
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The child of each node by its byte, -1 where there is none."""
         key = (node.astype(np.uint64) << np.uint64(8)) | byte.astype(np.uint64)
@@ -72,8 +79,10 @@ def load_vocabulary(folder: str = TOKENIZERS, name: str = PIECE_MODEL) -> Vocabu
 def build_vocabulary(texts: list[bytes], usable: list[int], byte_ids: np.ndarray) -> Vocabulary:
     """A vocabulary from the bytes of every id, the ids that are ordinary pieces, and the ids of single bytes."""
     trie, piece_of = {}, [-1]
+    crossed = np.zeros((256, 256), bool)
     for i in usable:
         node = 0
+        crossed[list(texts[i][:-1]), list(texts[i][1:])] = True
         for byte in texts[i]:
             key = node << 8 | byte
             if key not in trie:
@@ -92,7 +101,7 @@ def build_vocabulary(texts: list[bytes], usable: list[int], byte_ids: np.ndarray
         rest = rest[table[place] != rest]
         size = max(1 << 10, size >> 3)
     return Vocabulary(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]),
-                      byte_ids, keys, children, np.array(piece_of), slots, max(map(len, texts)))
+                      byte_ids, keys, children, np.array(piece_of), slots, max(map(len, texts)), crossed)
 
 
 _CHAR_BYTES = np.ones(256, np.int64)
@@ -170,3 +179,14 @@ def backward(lat: Lattice, weight: np.ndarray) -> np.ndarray:
             starts = np.flatnonzero(np.append(True, lat.src[e][1:] != lat.src[e][:-1]))
             beta[lat.src[e][starts]] = np.add.reduceat(weight[e] * beta[lat.dst[e]], starts, axis=0)
     return beta
+
+
+def log_backward(lat: Lattice, log_weight: np.ndarray) -> np.ndarray:
+    """Logarithms of ``backward``'s sums, for units of any length."""
+    beta = np.full(lat.last_node.max(initial=-1) + 1, -np.inf)
+    beta[lat.last_node] = 0
+    for e in by_step(lat.to_end):
+        if len(e):
+            starts = np.flatnonzero(np.append(True, lat.src[e][1:] != lat.src[e][:-1]))
+            beta[lat.src[e][starts]] = np.logaddexp.reduceat(log_weight[e] + beta[lat.dst[e]], starts)
+    return beta

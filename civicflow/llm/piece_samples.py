@@ -1,8 +1,10 @@
 """Operator 7, sampled piece segmentations: Gumbel top-k without replacement over the segmentation lattice.
 
 Pieces come from a fixed public vocabulary with weights 1 / (rank + RANK_OFFSET) by their rank in it (the
-vocabulary is not trained). A text is cut before blanks, around newlines and every ``MAX_UNIT`` bytes into
-units, whose lattices in a row are the text's lattice; its paths are the segmentations.
+vocabulary is not trained). A text is cut before blanks and around newlines, and where that leaves more than
+``MAX_UNIT`` bytes before any character, into units, but only at places that no piece of the vocabulary can
+cross; so the units' lattices in a row are the text's lattice, and its paths are the segmentations. Units have
+no greatest length (the sums are logarithms); memory grows with the longest.
 
 Perturbed A*: the search keeps regions of paths (a fixed beginning, then a first step unlike a known
 path's) in order of their perturbed log mass. A region's mass is exact, because the sums over all
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.llm.frames import table
-from civicflow.llm.lattice import MAX_UNIT, TOKENIZERS, Vocabulary, backward, build_lattice, load_vocabulary
-from civicflow.llm.words import chunks, cut_spans, gather_spans, mix, span_hashes, text_buffer
+from civicflow.llm.lattice import MAX_UNIT, TOKENIZERS, Vocabulary, build_lattice, log_backward, load_vocabulary
+from civicflow.llm.words import chunks, gather_spans, mix, span_hashes, text_buffer
 
 SAMPLES = 3
 SEED = 17
@@ -117,9 +119,14 @@ class ChunkSampler:
         self.data, self.offsets = data, grown
         cut = (data == 32) | (data == 10)
         cut[1:] |= data[:-1] == 10
+        may = v.open_cuts(data)
+        cut &= may
         cut[grown[full]] = True
         starts = np.flatnonzero(cut)
-        starts, ends = cut_spans(starts, np.append(starts[1:], len(data))[:len(starts)], MAX_UNIT)
+        length = np.diff(np.append(starts, len(data)))
+        cut |= may & np.repeat(length > MAX_UNIT, length)
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))[:len(starts)]
         self.unit_ptr = np.searchsorted(starts, grown)
         self.row = np.repeat(np.arange(len(keys)), np.diff(self.unit_ptr))
         self.begin = starts - grown[self.row]  # of each unit within its row
@@ -128,10 +135,10 @@ class ChunkSampler:
         first[self.unit[::-1]] = np.arange(len(self.unit))[::-1]
         self.bytes, unit_offsets = gather_spans(data, starts[first], ends[first])
         lat = build_lattice(v, self.bytes, unit_offsets)
-        w = weights[lat.piece]
-        beta = backward(lat, w)
-        self.lat, self.chance = lat, w * beta[lat.dst] / beta[lat.src]
-        self.log_chance = np.log(np.minimum(self.chance, 1))
+        log_w = np.log(weights)[lat.piece]
+        beta = log_backward(lat, log_w)
+        self.lat, self.log_chance = lat, np.minimum(log_w + beta[lat.dst] - beta[lat.src], 0)
+        self.chance = np.exp(self.log_chance)
         self.edge_ptr = np.searchsorted(self.lat.src, np.arange(lat.last_node.max(initial=-1) + 2))
         total = np.concatenate([[0], np.cumsum(self.chance)])
         self.upto = total[1:] - total[self.edge_ptr[self.lat.src]]

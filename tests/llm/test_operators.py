@@ -402,6 +402,33 @@ def test_samples_are_a_draw_without_replacement():
     assert sorted(few) == sorted(segmentations(b" ab"))  # all of them, each certain
 
 
+def test_long_units_keep_the_whole_lattice():
+    """Without blanks, and with runs of them, every piece of the vocabulary stays possible wherever it stands."""
+    texts = [b"", "日本".encode(), "日".encode(), "本".encode(), b"  ", b" ", b"x", *(bytes([i]) for i in range(256))]
+    v = lattice.build_vocabulary(texts, list(range(1, 7)), np.arange(7, 263))
+    w = piece_samples.piece_weights(v)
+    text = "日本" * 300 + "      x" * 20 + "語" * 50
+    log_w, sums = np.log(w), [0.0]  # sums[i]: log of the sum over all segmentations of the first i bytes
+    whole = b" " + text.encode()
+    for i in range(1, len(whole) + 1):
+        ends = [sums[i - len(p)] + log_w[n + 1] for n, p in enumerate(texts[1:7]) if whole[:i].endswith(p)]
+        ends += [sums[i - 3] + log_w[-1]] if whole[:i].endswith("語".encode()) else []
+        sums.append(np.logaddexp.reduce(ends) if ends else -np.inf)
+    used, n = set(), 0
+    for _, _, ids, log_p, _, _ in piece_samples.sampled_rows(v, w, pa.array([text] * 40), list(range(40)), 2, 1):
+        bare = 50
+        assert list(ids[-3 * bare:]) == [7 + b for b in "語".encode()] * bare and (ids[:-3 * bare] < 7).all()
+        assert np.isclose(log_p, log_w[ids[:-3 * bare]].sum() + bare * log_w[-1] - sums[-1], atol=1e-6)
+        assert piece_samples.decode(v, ids) == text.encode()
+        used, n = used | set(ids.tolist()), n + 1
+    assert n == 80 and {1, 2, 3, 4, 5, 6} <= used
+    real = lattice.load_vocabulary()
+    run = [i for i in range(real.size) if real.data[real.offsets[i]:real.offsets[i + 1]].tobytes() in (b"  ", b"    ")]
+    drawn = [x for _, _, ids, *_ in piece_samples.sampled_rows(real, piece_samples.piece_weights(real), pa.array(["a\n    b"] * 50),
+                                                             list(range(50)), 2, 1) for x in ids.tolist()]
+    assert set(run) & set(drawn)
+
+
 def test_query_draws_three_samples_a_document(spark):
     got = piece_samples.op7_piece_samples(spark, "/root/testdata/sf0.001").where(F.col("n_pieces") > 20)
     assert {r[0] for r in got.groupBy("doc_id").count().select("count").distinct().collect()} == {3}
