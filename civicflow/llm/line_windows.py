@@ -8,7 +8,8 @@ document's covered lines, the union over its windows, are removed. The rest keep
 Hot windows are pre-aggregated (count and first occurrence) before the shuffle, and the join back is
 an equi-join that can be split. Defined results: a null text stays null, and texts with fewer than three
 lines stay as they are; a document whose lines are all covered becomes the empty text; rows with a null
-id come first in the order; repeated rows (same id) are one document, treated alike; an empty table gives
+id come first in the order; rows equal in id and text are one document, rows that share an id (or have none) but
+not a text are documents of their own, told apart by the text's 128-bit hash; an empty table gives
 an empty result; other columns pass through, whatever their names.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from civicflow.llm.frames import table
 
 WINDOW = 3
-_ID, _COVERED = "_line_windows_id", "_line_windows_covered"  # names no input column should have
+_ID, _KEY, _COVERED = "_line_windows_id", "_line_windows_key", "_line_windows_covered"  # names no input column should have
 
 
 def _lines(text: Column) -> Column:
@@ -31,41 +32,47 @@ def _stripped(line: Column) -> Column:
     return F.btrim(line, F.lit("\t\n\x0b\x0c\r "))
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """(id, start, last, hash) of every window; positions are line numbers of the text."""
+    """(id, key, at, hash) of every window, ``key`` being the text's hash; positions are line numbers of the text."""
     numbered_lines = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(
         i.alias("at"), _stripped(x).alias("line"))), lambda x: x["line"] != "")
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), numbered_lines.alias("lines"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), numbered_lines.alias("lines"))
     runs = F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda i: F.struct(
         F.array(*[F.col("lines")[i + k]["at"] for k in range(window)]).alias("at"),
         F.unhex(F.md5(F.concat_ws("\n", *[F.col("lines")[i + k]["line"] for k in range(window)]).cast("binary")))
         .alias("hash")))
-    return (lines.where(F.size("lines") >= window).select("id", F.explode(runs).alias("w"))
-            .select("id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).distinct())
+    return (lines.where(F.size("lines") >= window).select("id", "key", F.explode(runs).alias("w"))
+            .select("id", "key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).distinct())
 
 
 def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, covered): the sorted line numbers of each document that later occurrences cover."""
+    """(id, key, covered): the sorted line numbers of each document that later occurrences cover."""
     windows = line_windows(docs, id_col, text_col)
-    here = F.struct("id", "at")
+    here = F.struct("id", "at", "key")
     repeated = (windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
                 .where(F.col("n") > 1).select(F.col("hash").alias("h"), "first"))
     later = (windows.join(repeated, F.col("hash") == F.col("h"))
              .where(~here.eqNullSafe(F.col("first"))))
-    return (later.select("id", F.explode("at").alias("line")).distinct()
-            .groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("covered")))
+    return (later.select("id", "key", F.explode("at").alias("line")).distinct()
+            .groupBy("id", "key").agg(F.sort_array(F.collect_list("line")).alias("covered")))
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with covered lines removed, plus ``_lines`` and ``_removed`` (numbers of lines)."""
-    covered = covered_lines(docs, id_col, text_col).select(F.col("id").alias(_ID), F.col("covered").alias(_COVERED))
+    covered = covered_lines(docs, id_col, text_col).select(
+        F.col("id").alias(_ID), F.col("key").alias(_KEY), F.col("covered").alias(_COVERED))
     text = F.col(text_col)
     kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(_COVERED, i)), "\n")
-    return (docs.join(covered, F.col(id_col).eqNullSafe(F.col(_ID)), "left")
+    return (docs.join(covered, F.col(id_col).eqNullSafe(F.col(_ID)) & (_key(text) == F.col(_KEY)), "left")
             .withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(_lines(text))))
             .withColumn("_removed", F.coalesce(F.size(_COVERED), F.lit(0)))
             .withColumn(text_col, F.when(F.col(_COVERED).isNull(), text).otherwise(kept))
-            .drop(_ID, _COVERED))
+            .drop(_ID, _KEY, _COVERED))
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,16 @@ def test_line_windows_match_brute_force(spark):
     assert line_windows.remove_repeated_lines(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_lose_only_their_own_lines(spark):
+    rep = "a b c\nd e f\ng h i"
+    rows = [(None, rep), (None, rep + "\nown tail"), (None, "p\nq\nr\ns"), (5, "1\n2\n3\n4"), (5, "x\n" + rep), (5, "x\n" + rep), (9, rep)]
+    out = line_windows.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in out.collect()))
+    firsts = [t for has, _, t in got if not has]
+    assert "p\nq\nr\ns" in firsts and sorted(map(len, firsts)) in ([7, 8, 17], [0, 7, 26])  # one of the two keeps ``rep``
+    assert [t for has, _, t in got if has] == ["1\n2\n3\n4", "x", "x", ""]
+
+
 # --- 2 decontamination
 
 def brute_tiles(a, b, least):
