@@ -11,21 +11,65 @@ lines stay as they are; a document whose lines are all covered becomes the empty
 id come first in the order; rows equal in id and text are one document, rows that share an id (or have none) but
 not a text are documents of their own, told apart by the text's 128-bit hash; an empty table gives
 an empty result; other columns pass through, whatever their names.
+
+With ``fine`` (the pipeline's stage; the query's lines are fixed by its SQL) lines of more than ``LONG`` words
+are cut further, by their content alone: after sentences of ``LEAST`` words or more, and what is still longer
+than ``LONG`` words at winnowing minima of word hashes, so no part has more. A window is then three such lines
+or parts; shared lines of over 50 words hold at least four, so two windows. Kept parts stand byte for byte.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from civicflow.llm.frames import table
+from civicflow.llm.words import chunks, mix, span_hashes, text_buffer, word_spans
 
 WINDOW = 3
-_ID, _KEY, _COVERED = "_line_windows_id", "_line_windows_key", "_line_windows_covered"  # names no input column should have
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+LONG, LEAST = 16, 8  # most words of a part of a line, fewest of a sentence that ends one
+_ID, _KEY, _COVERED = "_line_windows_id", "_line_windows_key", "_line_windows_covered"
+_RAW = "_line_windows_raw"  # names no input column should have
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sorted byte places where lines of texts, and parts of long lines, start (each text's first byte too)."""
+    line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data[:-1] == 10) + 1]))
+    starts, ends, _ = word_spans(data, offsets)
+    if not len(starts):
+        return line_starts
+    line = np.searchsorted(line_starts, starts, side="right")
+    wide = np.bincount(line)[line] > LONG
+    here = np.arange(len(starts))
+    first = np.append(True, line[1:] != line[:-1])
+    after = np.append(False, np.isin(data[ends[:-1] - 1], [33, 46, 63]))  # the word before ends a sentence
+    begin = np.maximum.accumulate(np.where(first | after, here, 0))
+    cut = first | (after & wide & (here - np.append(0, begin[:-1]) >= LEAST))
+    part = np.cumsum(cut)
+    if len(starts) >= LONG:
+        order = mix(span_hashes(data, starts, ends))
+        runs = np.flatnonzero(part[:len(part) - LONG + 1] == part[LONG - 1:])  # runs of LONG words inside a part
+        runs = runs[~cut[runs]]  # a part's first word is a cut already
+        for at in np.array_split(runs, len(runs) // 100_000 + 1):
+            places = at[:, None] + np.arange(LONG - 1, -1, -1)
+            cut[at + LONG - 1 - order[places].argmin(axis=1)] = True  # the last of equal ones
+    return np.union1d(line_starts, starts[cut & ~first])
+
+
+def parts(text: pa.Array) -> pa.Array:
+    """The lines, with their newlines, and parts of long lines of each text (none of a null one)."""
+    data, offsets = text_buffer(text)
+    found = [offsets[a] + part_starts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in chunks(offsets)]
+    starts = np.concatenate([*found, offsets[-1:]]).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.tobytes()), pa.py_buffer(data.tobytes()))
+    return pa.ListArray.from_arrays(np.searchsorted(starts[:-1], offsets).astype(np.int32), strings)
+
+
+def _lines(text: Column, fine: bool = False) -> Column:
+    return F.arrow_udf(parts, ArrayType(StringType()))(text) if fine else F.split(text, "\n", -1)
 
 
 def _stripped(line: Column) -> Column:
@@ -36,23 +80,24 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
+def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, fine: bool = False) -> DataFrame:
     """(id, key, at, hash) of every window, ``key`` being the text's hash; positions are line numbers of the text."""
-    numbered_lines = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(
+    numbered_lines = F.filter(F.transform("raw", lambda x, i: F.struct(
         i.alias("at"), _stripped(x).alias("line"))), lambda x: x["line"] != "")
-    lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), numbered_lines.alias("lines"))
+    lines = (docs.where(F.col(text_col).isNotNull())
+             .select(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), _lines(F.col(text_col), fine).alias("raw"))
+             .select("id", "key", numbered_lines.alias("lines")))
     runs = F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda i: F.struct(
         F.array(*[F.col("lines")[i + k]["at"] for k in range(window)]).alias("at"),
         F.unhex(F.md5(F.concat_ws("\n", *[F.col("lines")[i + k]["line"] for k in range(window)]).cast("binary")))
         .alias("hash")))
     return (lines.where(F.size("lines") >= window).select("id", "key", F.explode(runs).alias("w"))
-            .select("id", "key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).distinct())
+            .select("id", "key", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")))
 
 
-def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
     """(id, key, covered): the sorted line numbers of each document that later occurrences cover."""
-    windows = line_windows(docs, id_col, text_col)
+    windows = line_windows(docs, id_col, text_col, fine=fine)
     here = F.struct("id", "at", "key")
     repeated = (windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
                 .where(F.col("n") > 1).select(F.col("hash").alias("h"), "first"))
@@ -62,17 +107,18 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .groupBy("id", "key").agg(F.sort_array(F.collect_list("line")).alias("covered")))
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with covered lines removed, plus ``_lines`` and ``_removed`` (numbers of lines)."""
-    covered = covered_lines(docs, id_col, text_col).select(
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
+    """``docs`` with covered lines removed, plus ``_lines`` and ``_removed`` (numbers of lines, or parts)."""
+    covered = covered_lines(docs, id_col, text_col, fine).select(
         F.col("id").alias(_ID), F.col("key").alias(_KEY), F.col("covered").alias(_COVERED))
     text = F.col(text_col)
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(_COVERED, i)), "\n")
+    kept = F.array_join(F.filter(_RAW, lambda x, i: ~F.array_contains(_COVERED, i)), "" if fine else "\n")
     return (docs.join(covered, F.col(id_col).eqNullSafe(F.col(_ID)) & (_key(text) == F.col(_KEY)), "left")
-            .withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(_lines(text))))
+            .withColumn(_RAW, _lines(text, fine))
+            .withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(_RAW)))
             .withColumn("_removed", F.coalesce(F.size(_COVERED), F.lit(0)))
             .withColumn(text_col, F.when(F.col(_COVERED).isNull(), text).otherwise(kept))
-            .drop(_ID, _KEY, _COVERED))
+            .drop(_ID, _KEY, _COVERED, _RAW))
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of repeated windows; a document that loses all its text goes."""
-    out = line_windows.remove_repeated_lines(docs)
+    """Texts without the lines, or parts of long lines, of repeated windows; a document that loses all its text goes."""
+    out = line_windows.remove_repeated_lines(docs, fine=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))

@@ -202,6 +202,25 @@ def test_line_windows_match_brute_force(spark):
     assert line_windows.remove_repeated_lines(empty(spark)).count() == 0
 
 
+def test_pipeline_removes_passages_in_one_or_two_long_lines(spark):
+    import corpus_pipeline
+    rng = random.Random(15)
+    prose = lambda n, stop: " ".join(w + rng.choice(stop) for w in rng.choices(WORDS, k=n))
+    passages = [prose(52, [""]), prose(60, ["", "", "", "", "."]), prose(30, ["", "."]) + "\n" + prose(30, [""])]
+    docs, want = [], {}
+    for i in range(30):
+        own = [prose(rng.choice([3, 40, 90]), ["", "", "", ".", "!"]) for _ in range(2)]
+        p = passages[i % 3]
+        docs.append((i, f"{own[0]}\n{p}\n \t{own[1]}  "))
+        want[i] = docs[-1][1] if i < 3 else f"{own[0]}\n \t{own[1]}  "
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    for text in [*AWKWARD, *(t for _, t in docs)]:
+        parts = line_windows.parts(pa.array([text, None, "a\n\nb"])).to_pylist()
+        assert "".join(parts[0]) == (text or "") and parts[1:] == [[], ["a\n", "\n", "b"]]
+        assert all(len(re.findall(r"[^ \t-\r]+", x)) <= line_windows.LONG for x in parts[0])
+
+
 def test_rows_without_an_id_lose_only_their_own_lines(spark):
     rep = "a b c\nd e f\ng h i"
     rows = [(None, rep), (None, rep + "\nown tail"), (None, "p\nq\nr\ns"), (5, "1\n2\n3\n4"), (5, "x\n" + rep), (5, "x\n" + rep), (9, rep)]
