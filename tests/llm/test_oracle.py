@@ -11,7 +11,7 @@ TABLES = ("documents", "embeddings")
 
 
 def test_all_operators_are_registered():
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*LLM_QUERIES, "pipeline"} <= set(entry.queries())
 
 
