@@ -41,10 +41,11 @@ class TfidfIndex:
     postings: DataFrame   # term, doc_id, w = tf * idf (not yet normalised)
     vocab: DataFrame      # term, idf
     n_docs: DataFrame     # one row: n
+    unit_docs: bool = False  # are the weights divided by the documents' norms already?
 
     def normalised(self) -> DataFrame:
         """Postings with L2-normalised weights (term, doc_id, w)."""
-        return _normalise(self.postings, "doc_id")
+        return self.postings if self.unit_docs else _normalise(self.postings, "doc_id")
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,7 +125,7 @@ def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tas
     return q_blocks, c_blocks
 
 
-def _block_top_k(k: int):
+def _block_top_k(k: int, unit_docs: bool = False):
     # Self-contained closure (numpy/pandas only): executors need not import us.
     order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
     dense_ratio, dense_cols, slice_entries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES
@@ -194,9 +195,10 @@ def _block_top_k(k: int):
         qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
         qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
         dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
-        # L2 norms: every posting of a query/doc is in this block
+        # L2 norms: every posting of a query/doc is in this block (of a doc: unless its weights came divided)
         qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
-        dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
+        if not unit_docs:
+            dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
         q_cnt = np.bincount(qc, minlength=nt)
         q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
         nq, nd = len(qids), len(dids)
@@ -234,7 +236,7 @@ def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_querie
           .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int"))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
     qp, dp = block_partitions(qp, dp, q_blocks * c_blocks)
-    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k), SCORE_SCHEMA)
+    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k, index.unit_docs), SCORE_SCHEMA)
     return top_k(local, k)
 
 

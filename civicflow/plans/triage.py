@@ -56,12 +56,15 @@ def nearest_example(turns: DataFrame, corpus: DataFrame, index: tfidf.TfidfIndex
 
 
 def turn_features(turns: DataFrame, corpus: DataFrame, n_docs: int | None = None,
-                  n_queries: int | None = None) -> DataFrame:
+                  n_queries: int | None = None, index: tfidf.TfidfIndex | None = None) -> DataFrame:
     """Per-turn columns the replay needs: short, legal, severe, hit_law, lang."""
-    scored = nearest_example(turns, corpus, n_docs=n_docs, n_queries=n_queries)
-    rounded = F.round("score", SCORE_DECIMALS)
-    return (scored.join(session_language(turns), "conv_id")
-            .withColumn("score", rounded)
+    scored = nearest_example(turns, corpus, index=index, n_docs=n_docs, n_queries=n_queries)
+    return gated(scored.join(session_language(turns), "conv_id"))
+
+
+def gated(scored: DataFrame) -> DataFrame:
+    """Turns with their nearest example (score, hit_doc, hit_law): adds short, legal (null: no corpus) and severe."""
+    return (scored.withColumn("score", F.round("score", SCORE_DECIMALS))
             .withColumn("short", is_short_message("text"))
             .withColumn("legal", F.when(F.col("score").isNull(), F.lit(None).cast("boolean"))
                         .otherwise(F.col("score") > F.lit(LEGAL_GATE)))
@@ -119,12 +122,15 @@ def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: D
 
 def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory: DataFrame,
            block: int = dialogue.DEFAULT_BLOCK, levels: int | None = None,
-           n_docs: int | None = None) -> DataFrame:
+           n_docs: int | None = None, index: tfidf.TfidfIndex | None = None,
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """Flagship: one row per user turn with the branch the service takes.
 
     Output: conv_id, turn, lang, stage_in, branch, stage_out, law_key, score,
-    hit_doc, place, lawyer_id, match_kind, reply_block, variant_key.
+    hit_doc, place, lawyer_id, match_kind, reply_block, variant_key, and the
+    columns ``keep`` of the turns (the message and its user, for the chat log).
     ``n_docs`` (an upper bound on the corpus size) only sizes score blocks.
+    ``index`` is a loaded index of the corpus; without one it is built here.
     """
     n_turns, max_turn = turns.agg(F.count(F.lit(1)), F.max("turn")).first()
     if levels is None:
@@ -134,11 +140,18 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
     # plan there: AQE re-plans the remaining plan after every stage, and
     # without the cut each of the scoring stages re-optimised the replay's
     # large fold expression as well (seconds of driver time per run).
-    feats = cut_lineage(turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns))
-    replayed = dialogue.replay(feats, ["text", "lang", "score", "hit_doc"], block=block, levels=levels)
+    feats = cut_lineage(turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns, index=index))
+    payload = list(dict.fromkeys(["text", "lang", "score", "hit_doc", *keep]))
+    replayed = dialogue.replay(feats, payload, block=block, levels=levels)
     # Two consumers below (location turns and the final join): materialise the
     # replay once instead of replaying twice.
-    replayed = cut_lineage(replayed)
+    return answered(spark, cut_lineage(replayed), directory, n_turns, keep)
+
+
+def answered(spark: SparkSession, replayed: DataFrame, directory: DataFrame, n_turns: int | None = None,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replayed turns (cut from their plan: they are read twice) with place and adviser looked up for those in
+    the location stage, the final branch, the reply block and the pick key of its variant."""
     loc = replayed.where(F.col("branch") == dialogue.BRANCH_LOCATION).select("conv_id", "turn", "text", "law_in")
     if loc.isEmpty():  # cheap on the checkpoint: skip the directory work
         resolved = spark.createDataFrame([], "conv_id long, turn long, place string, lawyer_id long, "
@@ -158,7 +171,7 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
             .withColumn("variant_key", md5_bucket(F.concat_ws(":", F.col("conv_id").cast("string"),
                                                               F.col("turn").cast("string")), 1 << 30))
             .select("conv_id", "turn", "lang", "stage_in", "branch", "stage_out", "law_key", "score", "hit_doc",
-                    "place", "lawyer_id", "match_kind", "reply_block", "variant_key"))
+                    "place", "lawyer_id", "match_kind", "reply_block", "variant_key", *keep))
 
 
 def branch_counts(triaged: DataFrame) -> DataFrame:

@@ -25,12 +25,16 @@ from civicflow.session import ensure_checkpoint_dir
 
 OUTPUT_SCHEMA = ("conv_id long, turn long, lang string, stage_in string, branch string, stage_out string, "
                  "law_key string, late boolean")
-STATE_SCHEMA = "stage int, law string, lang string, last_turn long"
+STATE_SCHEMA = "stage int, law string, lang string, last_turn long, last_ms long"
 
 
-def make_advance():
+def make_advance(carry: tuple[str, ...] = (), idle_ms: int | None = None):
     """The state function as a self-contained closure (pandas only), so Python
-    workers need not import this package."""
+    workers need not import this package.
+
+    ``carry`` names input columns that are passed on with each turn. With ``idle_ms`` (event times in ``ts``) a
+    turn that comes later than that after the conversation's last one starts it anew, and the state of a
+    conversation that was idle so long is removed once the watermark has passed."""
     start_, inv, fol, loc, names = START, INVESTIGATING, FOLLOWUP, LOCATION, list(STAGE_NAMES)
 
     def step(stage, short, legal, severe, law):
@@ -48,34 +52,54 @@ def make_advance():
 
     def advance(key, batches, state):
         (conv_id,) = key
+        if idle_ms is not None and state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
         if state.exists:
-            stage, law, lang, last = state.get
+            stage, law, lang, last, last_ms = state.get
         else:
-            stage, law, lang, last = start_, None, None, -1
+            stage, law, lang, last, last_ms = start_, None, None, -1, None
         rows = []
         for r in pdf.itertuples(index=False):
+            rest = tuple(getattr(r, c) for c in carry)
+            if idle_ms is not None and r.turn > last:
+                now = int(r.ts.timestamp() * 1000)
+                if last_ms is not None and now - last_ms > idle_ms:
+                    stage, law, lang = start_, None, None
+                last_ms = max(now, last_ms or now)
             if lang is None:
                 lang = r.lang  # W1: the first message fixes the language
             if r.turn <= last:
-                rows.append((conv_id, r.turn, lang, None, None, None, None, True))
+                rows.append((conv_id, r.turn, lang, None, None, None, None, True, *rest))
                 continue
             legal = None if pd.isna(r.legal) else bool(r.legal)
             branch, nxt, law_set = step(stage, bool(r.short), legal, bool(r.severe), r.hit_law)
             law_shown = law_set if law_set is not None else (law if law is not None else "general")
-            rows.append((conv_id, r.turn, lang, names[stage], branch, names[nxt], law_shown, False))
+            rows.append((conv_id, r.turn, lang, names[stage], branch, names[nxt], law_shown, False, *rest))
             stage, law, last = nxt, (law_set if law_set is not None else law), r.turn
-        state.update((stage, law, lang, last))
+        state.update((stage, law, lang, last, last_ms))
+        if idle_ms is not None and last_ms is not None:
+            state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "lang", "stage_in", "branch", "stage_out",
-                                          "law_key", "late"])
+                                          "law_key", "late", *carry])
     return advance
 
 
-def dialogue_stream(scored_turns: DataFrame) -> DataFrame:
-    """Streaming replay; ``scored_turns`` is a streaming DataFrame."""
-    return (scored_turns.groupBy("conv_id")
-            .applyInPandasWithState(make_advance(), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+def dialogue_stream(scored_turns: DataFrame, carry: tuple[str, ...] = (), idle_minutes: float | None = None,
+                    delay: str = "10 minutes") -> DataFrame:
+    """Streaming replay; ``scored_turns`` is a streaming DataFrame. Output: a row a turn, with the columns ``carry``.
+
+    With ``idle_minutes`` conversations expire (see ``make_advance``): turns need an event time ``ts``, and
+    those that come more than ``delay`` behind the newest are dropped."""
+    types = {f.name: f.dataType.simpleString() for f in scored_turns.schema}
+    output = ", ".join([OUTPUT_SCHEMA, *(f"`{c}` {types[c]}" for c in carry)])
+    if idle_minutes is None:
+        advance, timeout = make_advance(carry), GroupStateTimeout.NoTimeout
+    else:
+        scored_turns = scored_turns.withWatermark("ts", delay)
+        advance, timeout = make_advance(carry, int(idle_minutes * 60_000)), GroupStateTimeout.EventTimeTimeout
+    return scored_turns.groupBy("conv_id").applyInPandasWithState(advance, output, STATE_SCHEMA, "append", timeout)
 
 
 def progress_stream(activity: DataFrame) -> DataFrame:
