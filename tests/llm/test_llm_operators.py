@@ -281,8 +281,8 @@ def test_contamination_catches_reordered_passages(spark):
     assert decontaminate.contamination(table, bench.limit(0)).count() == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     # the shuffled join for a seed table beyond the bound gives the same pairs
-    seeds = decontaminate._item_words(bench, "item_id", "text")
-    pairs = [sorted((r["id"], r["item_id"]) for r in decontaminate.shared_seed_pairs(table, seeds, "doc_id", "text", n).collect())
+    seeds = decontaminate._seeds(decontaminate._items(bench, "item_id", "text"))
+    pairs = [sorted((r["id"], r["item"]) for r in decontaminate.shared_seed_pairs(table, seeds, "doc_id", "text", n).collect())
              for n in (10**6, 3)]
     assert pairs[0] == pairs[1]
 
