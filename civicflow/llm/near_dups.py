@@ -10,18 +10,24 @@
 4. Buckets that still hold several components are compared across components in blocks, sketch against
    sketch inside the task; only pairs that may reach the threshold leave it, and are confirmed.
 So no group is ever expanded into all pairs, pairs inside a component need no test, and every pair of
-texts sharing a bucket is either in one component or was tested. A pair at the threshold shares no bucket
-with probability below 1e-6; the estimate's margin is about 4.5 standard errors. A second bitmap folds
+texts sharing a bucket is either in one component or was tested. A pair at the threshold is lost with
+probability below 1e-6: that it shares no bucket, and that its estimate falls short by more than the margin,
+are added up exactly by ``miss_probability`` (9.9e-7 at 0.85, 8.5e-7 at 0.8; less above). A second bitmap folds
 the whole set: its XOR count is at most the number of differing shingles, so it rules pairs out surely.
 
+A class is known by a number of its own, not by an id, and keeps one row (id and text hash) that gives its text.
+
 Defined results: null texts and texts without words have an empty set, link with nothing and are kept;
 fewer than five words form one shingle; rows with a null id take no part and come back as kept singles;
-repeated rows are one class (an id names one text); an empty table gives an empty result. Only id and text are
-read, so other columns' names cannot clash.
+repeated rows are one class; an id with several texts stands in the class of each and links them, so all its
+rows have one component; an empty table gives an empty result. Only id and text are read, so other columns'
+names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +41,8 @@ SHINGLE = 5
 BANDS, ROWS = 36, 7
 SKETCH_BITS = 512
 SET_BITS = 1024        # parity bitmap of the whole set
-MARGIN = 0.11          # a sample estimate this far below the threshold rules a pair out
-SCHEMES = [(0.85, BANDS, ROWS, MARGIN), (0.8, 48, 6, 0.13)]  # least threshold, bands, rows, margin
+MARGIN = 0.16          # a sample estimate this far below the threshold rules a pair out
+SCHEMES = [(0.85, BANDS, ROWS, MARGIN), (0.8, 48, 6, 0.17)]  # least threshold, bands, rows, margin
 GROUP = 256            # members confirmed, or sketches compared, in one task's group
 THRESHOLD = (85, 100)  # op8's: linked if 100 * intersection >= 85 * union
 
@@ -88,8 +94,27 @@ def sketch_similarity(xor_count, samples: int = BANDS * ROWS, bits: int = SKETCH
     return 1 + bits * np.log1p(-2 * odd) / (4 * samples)
 
 
+def miss_probability(threshold: tuple[int, int]) -> tuple[float, float]:
+    """For a pair at the threshold: probabilities that it shares no bucket, and that its estimate is beyond the margin.
+
+    Each of the samples differs with probability 1 - threshold, and a differing one flips two places of the sketch;
+    the chain of the number of odd places gives the distribution of the XOR count.
+    """
+    bands, rows, _ = scheme(threshold)
+    t, k = threshold[0] / threshold[1], bands * rows
+    odd, places = np.zeros(SKETCH_BITS + 1), np.arange(SKETCH_BITS + 1) / SKETCH_BITS
+    odd[0], beyond = 1, 0.0
+    for differing in range(k + 1):
+        log_share = (math.lgamma(k + 1) - math.lgamma(differing + 1) - math.lgamma(k - differing + 1)
+                     + differing * math.log(1 - t) + (k - differing) * math.log(t))
+        beyond += math.exp(log_share) * odd[_most_differing(threshold) + 1:].sum()
+        for _ in range(2):
+            odd = np.append(0, odd[:-1] * (1 - places[:-1])) + np.append(odd[1:] * places[1:], 0)
+    return (1 - t ** rows) ** bands, float(beyond)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, digest, bands, sketch of the samples, bitmap of the whole set) of each row."""
+    """(id, th, n_shingles, digest, bands, sketch of the samples, bitmap of the whole set); ``th`` is a text hash."""
     n_bands, n_rows, _ = scheme(threshold)
     multipliers = (odd_constants(n_bands * n_rows, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     row_weights = odd_constants(n_rows, 6)
@@ -111,12 +136,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int
                 sketch.append(odd_sketch(least))
                 full.append(parity_bits(s, SET_BITS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                  *[pa.array(x, pa.list_(pa.int64())) for x in (bands, sketch, full)]],
-                names=["id", "n_shingles", "digest", "bands", "sketch", "full"])
+                names=["id", "th", "n_shingles", "digest", "bands", "sketch", "full"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(sign, "id long, n_shingles long, digest binary, bands array<long>, "
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+            .mapInArrow(sign, "id long, th long, n_shingles long, digest binary, bands array<long>, "
                         "sketch array<long>, full array<long>"))
 
 
@@ -212,26 +237,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; a component's smallest id is kept."""
     signed = stored(signatures(docs, id_col, text_col, threshold))
-    # one representative a set: the smallest id
+    # a class: all rows with one set; its smallest id, and the text of one row with that id
     classes = (signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-               .groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = stored(signed.join(classes.select(F.col("digest").alias("d"), "rep"),
-                              (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")))
-                  .dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("size"), "bands", "sketch", "full"))
+               .groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.min_by("th", "id").alias("t")))
+    reps = stored(signed.join(classes, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least")) & (F.col("th") == F.col("t")))
+                  .dropDuplicates(["digest"])
+                  .select(F.monotonically_increasing_id().alias("rep"), "digest", "id", "th",
+                          F.col("n_shingles").alias("size"), "bands", "sketch", "full"))
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead0"),
                                         F.max("rep").alias("lead1")).where(F.col("n") > 1))
     members = stored(keyed.join(buckets, "key"))  # buckets of at least two classes, with two leaders
     # texts of classes that share a bucket: the one shuffle of texts, by merge join at every size
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
-        members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id"))
-    sketches = reps.drop("bands")
+    wanted = (reps.select("rep", "id", "th").join(members.select("rep").distinct(), "rep")
+              .select("rep", F.col("id").alias("of_id"), F.col("th").alias("of_th")))
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+                   .join(wanted.hint("merge"), (F.col("doc") == F.col("of_id")) & (F.col("h") == F.col("of_th")))
+                   .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"))
+    sketches = reps.select("rep", "size", "sketch", "full")
     side = lambda x: sketches.select(F.col("rep").alias(x), F.col("size").alias(f"n{x}"),
                                      F.col("sketch").alias(f"s{x}"), F.col("full").alias(f"f{x}"))
     pairs = (members.select(F.explode(F.array("lead0", "lead1")).alias("l"), "rep").where(F.col("l") != F.col("rep"))
              .select(F.greatest("l", "rep").alias("b"), F.least("l", "rep").alias("a")).distinct())
     near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(threshold)).select("a", "b"))
-    links = stored(confirm(near, texts, threshold))
+    links = stored(confirm(near, texts, threshold).unionByName(_shared_ids(signed, reps)))
     # buckets of two were settled by their leader; others are compared on while they hold several components
     comp = components(links).select(F.col("id").alias("c_rep"), "comp")
     with_comp = (members.where(F.col("n") > 2).join(comp, F.col("rep") == F.col("c_rep"), "left")
@@ -242,9 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("key", F.col("rep").alias("id"), "comp", "sketch", "full", "size", "n"))
     rest = stored(_block_pairs(rows, threshold).join(near, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(confirm(rest, texts, threshold)))
-    comp = components(links).select(F.col("id").alias("c_rep"), "comp")
-    by_class = (classes.join(comp, F.col("rep") == F.col("c_rep"), "left")
-                .select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("component")))
+    comp = stored(components(links).select(F.col("id").alias("c_rep"), "comp"))
+    least = (comp.join(reps.select("rep", "id"), F.col("c_rep") == F.col("rep")).groupBy(F.col("comp").alias("c"))
+             .agg(F.min("id").alias("component")))
+    linked = comp.join(least, F.col("comp") == F.col("c")).select("c_rep", "component")
+    by_class = (reps.select("rep", "digest", "id").join(linked, F.col("rep") == F.col("c_rep"), "left")
+                .select(F.col("digest").alias("d"), F.coalesce("component", "id").alias("component")))
     return (signed.select("id", "n_shingles", "digest")
             .join(by_class, F.col("digest") == F.col("d"), "left")
             .select(F.col("id").alias(id_col), "n_shingles",
@@ -252,6 +284,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 
+def _shared_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that rows of one id stand in."""
+    rows = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).select("id", "digest")
+    several = (rows.groupBy(F.col("id").alias("i")).agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+               .where(F.col("lo") != F.col("hi")).select("i", "lo"))
+    number = lambda d, rep: reps.select(F.col("digest").alias(d), F.col("rep").alias(rep))
+    return (rows.join(several, F.col("id") == F.col("i")).where(F.col("digest") != F.col("lo")).select("digest", "lo").distinct()
+            .join(number("digest", "x"), "digest").join(number("lo", "y"), "lo")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), threshold=THRESHOLD)
 
