@@ -79,8 +79,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hashes(_LOWER[data], starts, ends)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, eight bytes of every span at a time."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: np.uint64 = _STEP) -> np.ndarray:
+    """A 64-bit hash of each byte span, eight bytes of every span at a time; another odd ``step`` is another hash."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = data
     eights = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
@@ -95,7 +95,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             left, begin = left[more], begin[more]
         if not len(begin):
             return out
-        out[live] = mix(out[live] * _STEP ^ (eights[begin] & _KEEP[np.minimum(left, 8)]))
+        out[live] = mix(out[live] * step ^ (eights[begin] & _KEEP[np.minimum(left, 8)]))
         at += 8
 
 
