@@ -179,17 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: QuadraticModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the column ``out`` (a column of that name is replaced): the probability of label 1."""
-    docs = docs.drop(out)
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    """``docs`` with the column ``out`` (a column of that name is replaced): the probability of label 1.
 
-    def run(batches):
-        for batch in batches:
-            got = model.scores(text_statistics(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, out])
+    Only the text goes to Python, and only the score comes back.
+    """
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array(model.scores(text_statistics(text)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.drop(out).withColumn(out, F.arrow_udf(run, T.DoubleType())(F.col(text_col)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
