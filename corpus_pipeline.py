@@ -48,8 +48,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
     hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    hit = hit.select(F.col("id").alias("_hit"))
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    hit = hit.select(F.col("id").alias("_hit"), F.col("key").alias("_hit_key"))
+    text_key = F.unhex(F.md5(F.col("text").cast("binary")))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & (text_key == hit["_hit_key"]), "left_anti")
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
