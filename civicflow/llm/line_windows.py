@@ -20,8 +20,13 @@ With ``fine`` (the pipeline's stage; the query's lines are fixed by its SQL) lin
 are cut further, by their content alone: after sentences of ``LEAST`` words or more, and what is still longer
 than ``LONG`` words at winnowing minima of word hashes, so no part has more. A window is then three such lines
 or parts; shared lines of over 50 words hold at least four, so two windows. A run of covered parts counts only
-from ``RUN_WORDS`` words, so that the short shared stretches of near copies do not leave them in fragments.
+from ``RUN_WORDS`` words (a passage of over 50 words inside a line has that many without its first and last part).
 Kept parts stand byte for byte.
+
+With ``groups`` (id, group) documents of one group, such as near copies, do not count against each other: an
+occurrence is a later one if the first is in another group, or if its own document has an earlier one. What repeats
+between them is left to the step that keeps one of the group. What they share with others is cut from each
+where it stands unchanged.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from civicflow.llm.words import chunks, mix, odd_constants, span_hashes, text_bu
 
 WINDOW = 3
 LONG, LEAST = 16, 8  # most words of a part of a line, fewest of a sentence that ends one
-RUN_WORDS = 40       # fewest words of a repeated run of parts that is removed
+RUN_WORDS = 32       # fewest words of a repeated run of parts that is removed
 HOT = 4              # windows that occur more than once in (all windows / HOT / shuffle partitions) are broadcast
 HOT_LEAST = 1000     # but only from so many occurrences
 _ID, _KEY, _COVERED, _CUT = (f"_line_windows_{x}" for x in ("id", "key", "covered", "cut"))  # names no input column should have
@@ -148,26 +153,35 @@ def signed_windows(docs: DataFrame, id_col: str, text_col: str, fine: bool = Fal
             .mapInArrow(sign, f"id {id_type}, key binary, windows array<struct<h:bigint,g:bigint>>"))
 
 
-def covering_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
+def covering_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False,
+                     groups: DataFrame | None = None) -> DataFrame:
     """(id, key, covered): the numbers of each document's windows that are later occurrences."""
-    signed = stored(signed_windows(docs, id_col, text_col, fine))
-    windows = signed.select("id", "key", F.posexplode("windows").alias("at", "w")).select("id", "key", "at", "w.h", "w.g")
+    signed = signed_windows(docs, id_col, text_col, fine)
+    who = F.struct("id", "key")  # one document; or its group, or a number for documents that have none
+    if groups is not None:
+        named = groups.toDF("_of", "group").where(F.col("group").isNotNull()).distinct()
+        signed = signed.join(named, F.col("id") == F.col("_of"), "left").withColumn("group", F.coalesce("group", F.xxhash64("key")))
+        who = F.col("group")
+    signed = stored(signed.select("id", "key", "windows", who.alias("who")))
+    windows = signed.select("id", "key", "who", F.posexplode("windows").alias("at", "w")).select("id", "key", "who", "at", "w.h", "w.g")
     counts = stored(windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     total = signed.agg(F.sum(F.size("windows")).alias("n")).first()["n"] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = max(HOT_LEAST, total // (HOT * partitions))  # fewer than HOT * partitions windows can occur more often
     hot = counts.where(F.col("n") > limit).select("h", "g")
     some_hot = hot.count() > 0
-    place = F.struct("id", "at", "key")
     usual = windows.join(F.broadcast(hot), ["h", "g"], "left_anti") if some_hot else windows
     same = Window.partitionBy("h", "g").orderBy(F.asc_nulls_first("id"), "at", "key")
-    later = (usual.join(counts.where(F.col("n") <= limit).select("h", "g"), ["h", "g"])
-             .withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") > 1).select("id", "key", "at"))
+    inside = Window.partitionBy("h", "g", "id", "key").orderBy("at")
+    again = lambda df: (df.withColumn("nth", F.dense_rank().over(inside))
+                        .where(~F.col("who").eqNullSafe(F.col("first")) | (F.col("nth") > 1)).select("id", "key", "at"))
+    later = again(usual.join(counts.where(F.col("n") <= limit).select("h", "g"), ["h", "g"])
+                  .withColumn("first", F.first("who").over(same)))
     if some_hot:
         mine = windows.join(F.broadcast(hot), ["h", "g"])
-        firsts = stored(mine.groupBy("h", "g").agg(F.min(place).alias("first")))
-        later = later.unionByName(windows.join(F.broadcast(firsts), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-                                  .select("id", "key", "at"))
+        firsts = stored(mine.groupBy("h", "g").agg(F.min(F.struct("id", "at", "key", "who")).alias("f"))
+                        .select("h", "g", F.col("f.who").alias("first")))
+        later = later.unionByName(again(windows.join(F.broadcast(firsts), ["h", "g"])))
     return later.groupBy("id", "key").agg(F.collect_list("at").alias("covered"))
 
 
@@ -200,12 +214,13 @@ def without_covered(text: pa.Array, covered: pa.Array, fine: bool) -> pa.StructA
     return pa.StructArray.from_arrays([texts, pa.array(removed)], ["text", "removed"])
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False,
+                          groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with covered lines removed, plus ``_lines`` (number of lines) and ``_removed`` (of lines, or parts).
 
     Only texts with covered windows go through Python.
     """
-    covered = covering_windows(docs, id_col, text_col, fine).select(
+    covered = covering_windows(docs, id_col, text_col, fine, groups).select(
         F.col("id").alias(_ID), F.col("key").alias(_KEY), F.col("covered").alias(_COVERED))
     text = F.col(text_col)
 
