@@ -30,8 +30,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines, or parts of long lines, of repeated windows; a document that loses all its text goes."""
-    out = line_windows.remove_repeated_lines(docs, fine=True)
+    """Texts without the lines, or parts of long lines, of repeated windows; a document that loses all its text goes.
+
+    What near copies share with each other is not cut here: the next stage drops all of them but one, and could not
+    tell the fragments that cutting would leave.
+    """
+    copies = near_dups.near_duplicates(docs, threshold=NEAR).select("doc_id", "component_id")
+    out = line_windows.remove_repeated_lines(docs, fine=True, groups=stored(copies))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
