@@ -1,23 +1,23 @@
 """User registry jobs: validation split, insert-if-absent, identifier protection.
 
-P12, K5, J12, F12, F13. Keys come from configuration, never from code: set
-``civicflow.protect.key`` (16/24/32 bytes, base64) on the session. Without it a
-random key is used for the job, which is enough for round-trip checks but
-not for data that must be decrypted later.
+P12, K5, J12, F12, F13. Keys are data, kept in a table of versions (``operators.keys``), and no plan or setting
+holds their bytes.
 """
 
 from __future__ import annotations
 
-import base64
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.functions.codes import decrypt_text, encrypt_text, sha256_hex, valid_gov_id
+from civicflow.functions.codes import decrypt_text, sha256_hex, valid_gov_id
 from civicflow.functions.text import py_strip
+from civicflow.operators.keys import KeyTable, encrypted
+from civicflow.session import cut_lineage, ensure_checkpoint_dir
+from civicflow.sources.batch_table import BatchTable
 
-KEY_CONF = "civicflow.protect.key"
+KEYS_CONF = "civicflow.protect.keys"  # path of the table of keys
 SALT_CONF = "civicflow.protect.salt"
 
 STATUS_MISSING = "missing_field"
@@ -26,16 +26,17 @@ STATUS_EXISTS = "already_exists"
 STATUS_INSERTED = "inserted"
 
 
-def protection_key(spark: SparkSession, throw_away: bool = False) -> Column:
-    """The configured key. Without one this is an error, unless the caller only needs a key that is
-    forgotten after the job (``throw_away``: checks that store nothing)."""
-    conf = spark.conf.get(KEY_CONF, None)
-    if not conf and not throw_away:
-        raise ValueError(f"set {KEY_CONF} (base64 of 16, 24 or 32 bytes): ids encrypted without it cannot be read again")
-    raw = base64.b64decode(conf) if conf else os.urandom(32)
-    if len(raw) not in (16, 24, 32):
-        raise ValueError(f"{KEY_CONF} must decode to 16, 24 or 32 bytes")
-    return F.lit(bytearray(raw))
+def protection_keys(spark: SparkSession, throw_away: bool = False) -> KeyTable:
+    """The configured table of keys. Without one this is an error, unless the caller only needs a key that
+    nobody looks for after the job (``throw_away``: checks that store nothing)."""
+    path = spark.conf.get(KEYS_CONF, None)
+    if path:
+        return KeyTable(spark, path)
+    if not throw_away:
+        raise ValueError(f"set {KEYS_CONF} to a table of keys: ids encrypted without it cannot be read again")
+    keys = KeyTable(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/keys-{uuid.uuid4().hex}")
+    keys.add_version(1)
+    return keys
 
 
 def registration_status(requests: DataFrame, existing: DataFrame) -> DataFrame:
@@ -61,14 +62,43 @@ def registration_status(requests: DataFrame, existing: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_pre", "_known", "_first_event")
 
 
-def new_users(status: DataFrame, spark: SparkSession, salt: str | None = None) -> DataFrame:
-    """K5: rows to append for inserted requests, with protected fields and a
-    zeroed progress row built alongside (see ``zero_progress``)."""
-    key = protection_key(spark)
+def new_users(status: DataFrame, spark: SparkSession, keys: KeyTable, salt: str | None = None) -> DataFrame:
+    """The user rows of inserted requests: protected fields, the request's address, age and created_at where
+    it has them (a missing time is now, UTC), and the event that they come from."""
     salt = salt if salt is not None else (spark.conf.get(SALT_CONF, "") or "")
-    ins = status.where(F.col("status") == STATUS_INSERTED)
-    return ins.select("user_id", "mobile", sha256_hex("password", salt).alias("password_hash"),
-                      encrypt_text(py_strip(F.col("gov_id")), key).alias("gov_id_cipher"))
+    ins = encrypted(status.where(F.col("status") == STATUS_INSERTED), keys, py_strip(F.col("gov_id")), "gov_id_cipher")
+    given = lambda c, t: F.col(c).cast(t) if c in status.columns else F.lit(None).cast(t)
+    return ins.select("user_id", "mobile", sha256_hex("password", salt).alias("password_hash"), "gov_id_cipher", "key_version",
+                      given("address", "string").alias("address"), given("age", "int").alias("age"),
+                      F.coalesce(given("created_at", "timestamp"), F.current_timestamp()).alias("created_at"),
+                      given("event_id", "long").alias("event_id"))
+
+
+USERS = ("user_id long, mobile string, password_hash string, gov_id_cipher string, key_version int, address string, age int, "
+         "created_at timestamp, event_id long")
+PROGRESS = ("user_id long, articles_viewed long, topics_completed long, chatbot_usage_count long, quiz_score long")
+
+
+class UserStore:
+    """Users and their progress rows as tables of committed batches.
+
+    A batch of requests is registered as one step: users first, then the zeroed progress of the users that this
+    batch added. A retry after a stop between the two finds the users' batch and writes the missing progress only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: KeyTable):
+        self.spark, self.keys = spark, keys
+        self.users = BatchTable(spark, f"{path}/users", USERS)
+        self.progress = BatchTable(spark, f"{path}/progress", PROGRESS)
+
+    def register(self, requests: DataFrame, batch: str) -> DataFrame:
+        """Add the valid requests with a new mobile; returns the status of every request, as of this batch."""
+        earlier = {b: m for b, m in self.users.snapshot().items() if b != batch}
+        status = cut_lineage(registration_status(requests, self.users.read(earlier)))
+        self.users.append(new_users(status, self.spark, self.keys), batch)
+        added = self.users.read({batch: self.users.snapshot()[batch]})
+        self.progress.append(zero_progress(added), batch)
+        return status
 
 
 def zero_progress(users: DataFrame) -> DataFrame:
@@ -87,9 +117,9 @@ def _tampered(token: Column) -> Column:
 def protect(df: DataFrame, spark: SparkSession, secret_col: str, id_col: str, hash_cols: list[str],
             salt: str = "") -> DataFrame:
     """hash ``hash_cols``, encrypt ``id_col`` and verify both ways."""
-    key = protection_key(spark, throw_away=True)  # the cipher text itself is not returned
-    cipher = encrypt_text(F.col(id_col), key)
-    out = df.withColumn("_cipher", cipher)
+    keys = protection_keys(spark, throw_away=True)  # the cipher text itself is not returned
+    out = encrypted(df, keys, F.col(id_col), "_cipher", "_used").join(keys.rows(), F.col("_used") == F.col("_version"), "left")
+    key = F.col("_key")
     cols = [F.col(c) for c in df.columns if c not in hash_cols and c != id_col]
     return out.select(*cols,
                       *[sha256_hex(c, salt).alias(f"{c}_sha256") for c in hash_cols],

@@ -132,6 +132,33 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
                     .otherwise(F.concat(F.lit(" "), F.lpad(eid, 12, "0"), F.lit(" "))).alias("gov_id")))
 
 
+def part_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled examples from parts: the words of name, type and brand, and a law title by type (see ``part_laws``)."""
+    part = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_type", "p_brand"])
+    return part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
+                       F.concat(_act_expr(F.col("p_type")), F.lit(" "), F.col("p_partkey").cast("string")).alias("law"))
+
+
+def case_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """A scripted conversation for every customer, so that each rule of the dialogue is met: a greeting, an example's
+    own words (or, for every fifth customer, none), an answer to the follow-up question (severe for two of three), the
+    customer's nation (or, for every seventh, no place), a short message, and an example again."""
+    cust = customers_with_nation(spark, sf)
+    parts = part_corpus(spark, sf).select(F.col("doc_id").alias("_part"), F.col("text").alias("_example"))
+    parts = cust.join(parts, cust["c_custkey"] == parts["_part"], "left")
+    key = F.col("c_custkey")
+    unknown = F.lit("zzqx yyqx wwqx nothing known")
+    example = F.coalesce(F.col("_example"), unknown)
+    script = F.array(
+        F.lit("good morning to you"),
+        F.when(F.pmod(key, F.lit(5)) == 0, unknown).otherwise(example),
+        F.when(F.pmod(key, F.lit(3)) == 0, F.lit("what may I do now")).otherwise(F.lit("they hurt me please send the police")),
+        F.when(F.pmod(key, F.lit(7)) == 0, F.lit("I would rather not tell")).otherwise(
+            F.concat(F.lit("I live in "), F.coalesce("n_name", F.lit("nowhere")), F.lit(" at the moment"))),
+        F.lit("ok thanks"), example)
+    return parts.select(key.alias("conv_id"), F.posexplode(script).alias("turn", "text")).withColumn("turn", F.col("turn").cast("long"))
+
+
 def existing_users(spark: SparkSession, sf: str) -> DataFrame:
     cust = read_table(spark, sf, "customer", ["c_custkey", "c_mktsegment"])
     return (cust.where(F.col("c_mktsegment") == EXISTING_USER_SEGMENT)

@@ -105,7 +105,18 @@ def _values(rows: list[tuple], cols: str) -> str:
     return f"(VALUES {body}) AS v({cols})"
 
 
-def _dialogue_sql() -> str:
+CASE_TURNS = ("pc AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand) AS text FROM part), "
+              "cs AS (SELECT c.c_custkey AS k, n.n_name, coalesce(pc.text, 'zzqx yyqx wwqx nothing known') AS example FROM customer c "
+              "LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN pc ON pc.p_partkey = c.c_custkey), "
+              "ut AS (SELECT k AS conv_id, 0 AS turn, 'good morning to you' AS text FROM cs "
+              "UNION ALL SELECT k, 1, CASE WHEN k % 5 = 0 THEN 'zzqx yyqx wwqx nothing known' ELSE example END FROM cs "
+              "UNION ALL SELECT k, 2, CASE WHEN k % 3 = 0 THEN 'what may I do now' ELSE 'they hurt me please send the police' END FROM cs "
+              "UNION ALL SELECT k, 3, CASE WHEN k % 7 = 0 THEN 'I would rather not tell' ELSE 'I live in ' || "
+              "coalesce(n_name, 'nowhere') || ' at the moment' END FROM cs UNION ALL SELECT k, 4, 'ok thanks' FROM cs "
+              "UNION ALL SELECT k, 5, example FROM cs)")
+
+
+def _dialogue_sql(turns: str = USER_TURNS, corpus: str = "", law: str = "'IPC ' || CAST(t.hit_doc AS VARCHAR)") -> str:
     w_short = f"len(regexp_extract_all(f.text, {q(WORD_PATTERN)})) <= 2"
     nxt_stage = ("(CASE WHEN s = 3 OR short THEN 0 WHEN s = 0 THEN (CASE WHEN legal THEN 1 ELSE 0 END) "
                  "WHEN s = 1 THEN (CASE WHEN severe THEN 2 ELSE 0 END) ELSE 0 END)")
@@ -115,13 +126,13 @@ def _dialogue_sql() -> str:
                       [("greet", "greeting"), ("emotional", "empathy_pure"), ("legal", "empathy_legal"),
                        ("ask_location", "ask_location"), ("actions", "actions"), ("lawyer", "lawyer_title"),
                        ("no_lawyer", "no_lawyer_found"), ("no_corpus", "share_more")])
-    return f"""WITH RECURSIVE {USER_TURNS}, {CORPUS}, {DIRECTORY}, {PLACES}, {BEST},
+    return f"""WITH RECURSIVE {turns}, {corpus or CORPUS}, {DIRECTORY}, {PLACES}, {BEST},
 uq AS (SELECT conv_id * 1000003 + turn AS qid, text FROM ut),
 {tfidf('i_', 'corpus', 'doc_id', 'text', 'uq', 'qid', 'text')},
 top1 AS (SELECT query_id, doc_id AS hit_doc, score FROM i_ranked WHERE rank = 1),
 sess AS (SELECT conv_id, {tag('arg_min(text, turn)')} AS lang FROM ut GROUP BY conv_id),
 feat AS (SELECT f.conv_id, f.turn, f.text, round(coalesce(t.score, 0.0), 6) AS score, t.hit_doc,
-         CASE WHEN t.hit_doc IS NULL THEN NULL ELSE {lawkey("'IPC ' || CAST(t.hit_doc AS VARCHAR)")} END AS hit_law,
+         CASE WHEN t.hit_doc IS NULL THEN NULL ELSE {lawkey(law)} END AS hit_law,
          {w_short} AS short, round(coalesce(t.score, 0.0), 6) > 0.45 AS legal,
          coalesce(regexp_matches(lower(f.text), {alt(SEVERITY_WORDS)}), false) AS severe,
          row_number() OVER (PARTITION BY f.conv_id ORDER BY f.turn) AS rn
@@ -209,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
              "b.label AS hit_label FROM e a JOIN e b ON a.vec_id <> b.vec_id), "
              "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, hit_id) AS rk "
              "FROM p)")
-    return {
+    sql = {
         "language_tag_counts": f"SELECT {tag('text')} AS language_tag, lang, CAST(count(*) AS BIGINT) AS n_docs "
                                f"FROM documents GROUP BY 1, 2",
         "session_language": f"WITH {USER_TURNS}, f AS (SELECT conv_id, arg_min(text, turn) AS ft FROM ut "
@@ -337,7 +348,28 @@ def oracle_sql() -> dict[str, str]:
             "UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM tot "
             "UNION ALL SELECT 'weighted avg', round(wp / n, 6), round(wr / n, 6), round(wf / n, 6), "
             "CAST(n AS BIGINT) FROM tot"),
+        "saved_index_growth": (
+            f"WITH {CORPUS}, nq AS (SELECT 0 AS qid, '' AS text), {tfidf('t_', 'corpus', 'doc_id', 'text', 'nq', 'qid', 'text')} "
+            f"SELECT term, CAST(count(*) AS BIGINT) AS n_docs, round(any_value(idf), 9) AS idf, round(sum(w), 4) AS weight "
+            f"FROM t_dw JOIN t_vocab USING (term) GROUP BY term"),
+        "stream_triage": _dialogue_sql() + _dialogue_select(),
+        "registered_users": (
+            f"WITH {reg}, ok AS (SELECT * FROM r WHERE NOT ({blank('mobile')} OR {blank('password')} OR {blank('gov_id')}) "
+            f"AND coalesce(regexp_matches({strip('gov_id')}, '^\\p{{Nd}}{{12}}$'), false)), known AS (SELECT DISTINCT '9' || "
+            f"lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS mobile FROM customer WHERE c_mktsegment = {q(inputs.EXISTING_USER_SEGMENT)}), "
+            f"firsts AS (SELECT mobile, min(event_id) AS event_id FROM ok WHERE mobile NOT IN (SELECT mobile FROM known) GROUP BY mobile) "
+            f"SELECT ok.user_id, ok.mobile, ok.event_id, sha256(password) AS password_hash, {strip('gov_id')} AS gov_id, 3 AS key_version, "
+            f"'Street ' || CAST(ok.user_id AS VARCHAR) AS address, CAST(ok.user_id % 60 + 18 AS INTEGER) AS age, "
+            f"strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS created_at, 0::BIGINT AS articles_viewed, 0::BIGINT AS topics_completed, "
+            f"0::BIGINT AS chatbot_usage_count, 0::BIGINT AS quiz_score FROM ok JOIN firsts USING (event_id) "
+            f"JOIN events e ON e.event_id = ok.event_id"),
+        "dialogue_cases": _dialogue_sql(
+            CASE_TURNS, f"corpus AS (SELECT p_partkey AS doc_id, text FROM pc), laws AS (SELECT p_partkey, {act('p_type')} || ' ' || "
+            f"CAST(p_partkey AS VARCHAR) AS law FROM part)", "(SELECT law FROM laws WHERE p_partkey = t.hit_doc)") + _dialogue_select(),
         "dialogue_replay": _dialogue_sql() + _dialogue_select(),
         "dialogue_branch_counts": (_dialogue_sql() + "SELECT branch, lang, CAST(count(*) AS BIGINT) AS n_turns "
                                    "FROM fin GROUP BY branch, lang"),
     }
+    sql["stream_progress"] = sql["progress_counters"]  # the same counters, whichever way they are kept
+    sql["knowledge_seed"] = sql["knowledge_base_build"]
+    return sql

@@ -20,6 +20,7 @@ from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_law_text, with_practice_area
 from civicflow.operators.vectors import cache_delta, knn_top_k
 from civicflow.plans import inputs, triage
+from civicflow.plans.stored import STORED_QUERIES
 from civicflow.sources.readers import read_table, table_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,4 +287,5 @@ QUERIES: dict[str, Query] = {
     "severity_model": severity_model,
     "complaint_classifier": complaint_classifier,
     "emotion_classifier": emotion_classifier,
+    **STORED_QUERIES,
 }

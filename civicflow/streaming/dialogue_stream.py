@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from civicflow.plans.dialogue import FOLLOWUP, INVESTIGATING, LOCATION, START, STAGE_NAMES
 from civicflow.sources.sinks import chat_log_rows
 from civicflow.session import ensure_checkpoint_dir
+from civicflow.sources.batch_table import BatchTable
 
 OUTPUT_SCHEMA = ("conv_id long, turn long, lang string, stage_in string, branch string, stage_out string, "
                  "law_key string, late boolean")
@@ -112,6 +113,39 @@ def progress_stream(activity: DataFrame) -> DataFrame:
         F.sum(F.coalesce(F.col("points"), F.lit(0))).cast("long").alias("quiz_score"))
 
 
+COUNTERS = ["articles_viewed", "topics_completed", "chatbot_usage_count", "quiz_score"]
+COUNTER_TABLE = "user_id long, " + ", ".join(f"{c} long" for c in COUNTERS)
+
+
+class ProgressTable:
+    """ST-CNT/A5: running counters in a table, each micro-batch counted once.
+
+    A micro-batch adds its own sums a user as a batch of the table (map-side combined, so a user with a third of all
+    events is one row a task); a replayed batch is found committed and adds nothing. Counters are the sums over
+    batches; ``compact`` merges the batches so far.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = BatchTable(spark, path, COUNTER_TABLE)
+
+    def merge_batch(self, activity: DataFrame, batch_id: int) -> None:
+        self.table.append(progress_stream(activity), batch_id)
+
+    def counters(self) -> DataFrame:
+        return self.table.read().groupBy("user_id").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTERS])
+
+    def compact(self) -> None:
+        known = self.table.snapshot()
+        live = [b for b in known if not any(b in m["replaces"] for m in known.values())]
+        if len(live) > 1:
+            self.table.commit(self.table.stage(self.counters()), f"merged-{known[live[-1]]['order']}", replaces=live)
+
+    def start(self, activity: DataFrame, name: str, **trigger) -> StreamingQuery:
+        return (activity.writeStream.foreachBatch(self.merge_batch).outputMode("update")
+                .trigger(**(trigger or {"availableNow": True}))
+                .option("checkpointLocation", checkpoint_location(activity.sparkSession, name)).start())
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 

@@ -1,11 +1,12 @@
 """Real input layouts: headers by name, file order, missing inputs, log filter, keys."""
 
-import base64
 
 import pytest
 from pyspark.sql import functions as F
 
-from civicflow.operators.registry import KEY_CONF, protect, protection_key
+from civicflow.operators import keys as keys_of
+from civicflow.operators.keys import KeyTable
+from civicflow.operators.registry import KEYS_CONF, protect, protection_keys
 from civicflow.session import get_spark
 from civicflow.sources.readers import MissingInput, read_csv_corpus, read_directory, read_labelled_text
 from civicflow.streaming.dialogue_stream import chat_log_sink
@@ -54,13 +55,45 @@ def test_stream_logs_answered_messages_only(spark, tmp_path):
     assert [r["message"] for r in spark.read.parquet(str(tmp_path / "log")).collect()] == ["hi"]
 
 
-def test_key_is_required(spark):
-    spark.conf.unset(KEY_CONF)
+def test_key_is_required(spark, tmp_path):
+    spark.conf.unset(KEYS_CONF)
     with pytest.raises(ValueError):
-        protection_key(spark)
-    spark.conf.set(KEY_CONF, base64.b64encode(b"k" * 16).decode())
-    protection_key(spark)
-    spark.conf.unset(KEY_CONF)
+        protection_keys(spark)
+    spark.conf.set(KEYS_CONF, str(tmp_path / "keys"))
+    with pytest.raises(ValueError):
+        protection_keys(spark).newest()  # no version yet
+    assert protection_keys(spark).add_version(1) and not protection_keys(spark).add_version(1)
+    assert protection_keys(spark).newest() == 1
+    spark.conf.unset(KEYS_CONF)
+
+
+def test_keys_stay_out_of_plans_and_rotate(spark, tmp_path):
+    keys = KeyTable(spark, str(tmp_path / "k"))
+    keys.add_version(1)
+    ids = spark.createDataFrame([(1, "123456789012"), (2, None), (3, "987654321098")], "u long, gov string")
+    first = keys_of.encrypted(ids, keys, F.col("gov"), "cipher").select("u", "cipher", "key_version")
+    first.write.parquet(str(tmp_path / "first"))
+    keys.add_version(2)
+    mixed = spark.read.parquet(str(tmp_path / "first")).unionByName(
+        keys_of.encrypted(ids.withColumn("u", F.col("u") + 10), keys, F.col("gov"), "cipher").select("u", "cipher", "key_version"))
+    mixed = mixed.unionByName(spark.createDataFrame([(20, "bm90IGEgdG9rZW4=", 1), (21, "eA==", 9)], mixed.schema))
+    moved = keys_of.rotated(mixed, keys, "cipher")
+    moved.write.parquet(str(tmp_path / "moved"))
+    got = {r["u"]: (r["text"], r["key_version"]) for r in keys_of.decrypted(spark.read.parquet(str(tmp_path / "moved")), keys, "cipher", "text").collect()}
+    assert got[1] == ("123456789012", 2) and got[13] == ("987654321098", 2) and got[2][0] == "" and got[20] == ("", 1) and got[21] == ("", 9)
+    plan = moved._jdf.queryExecution().toString()
+    for r in keys.table.read().collect():
+        raw = bytes(r["key"])
+        assert raw.hex() not in plan.lower() and str(raw[:4]) not in plan and len(raw) == 32
+
+
+def test_hash_match(spark):
+    users = spark.createDataFrame([("a", "pw1"), ("b", "pw2")], "mobile string, password string").select(
+        "mobile", F.sha2(F.concat(F.lit("salt"), "password"), 256).alias("password_hash"))
+    attempts = spark.createDataFrame([("a", "pw1"), ("a", "pw2"), ("b", "pw2"), ("c", "pw1"), (None, "pw1"), ("a", None)],
+                                     "mobile string, password string")
+    got = keys_of.hash_match(attempts, users, "mobile", "password", "password_hash", salt="salt")
+    assert [r["matches"] for r in got.collect()].count(True) == 2 and got.count() == 6 and "password" not in got.columns
 
 
 def test_tampered_token_is_rejected(spark):
