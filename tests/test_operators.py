@@ -47,7 +47,7 @@ def test_first_contained_broadcast_and_chunked_agree(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, t string")
     places = spark.createDataFrame(PLACES, "rank long, place string")
     want = {i: _first_contained_python(t) for i, t in enumerate(TEXTS)}
-    for max_b in (100, 1):  # 1 forces the salted, chunked path
+    for max_b in (100, 1):  # 1 forces the path by q-gram index
         out = containment.first_contained(texts, F.col("t"), places, "place", "rank", "place", "place_rank",
                                           ["id"], max_broadcast=max_b, salt=3)
         assert {r.id: r.place for r in out.collect()} == want
@@ -62,10 +62,36 @@ def test_search_wildcards_nulls_and_chunks(spark):
     want = {("article", 1), ("ipc 3_4", 2), ("100%", 2), ("back\\s", 3)}
     for max_b in (100, 1):
         got = knowledge.search(kb.where("true"), qs) if max_b == 100 else \
-            containment.search_hits(kb, ["title", "description", "keywords"], qs, "query", max_broadcast=1, salt=2)
+            containment.search_hits(kb, ["title", "description", "keywords"], qs, "query", salt=2)
         assert {(r.query, r.kb_id) for r in got.collect()} == want
 
 
+def test_containment_matches_brute_force_on_random_texts(spark):
+    import random
+    rng = random.Random(3)
+    letters = "abAB é\U0001f600_%\\."
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    texts = [(i, None if i % 17 == 0 else word(30), None if i % 5 else word(12)) for i in range(150)]
+    pats = sorted({word(4) for _ in range(60)} | {"", "a", "%", "_", "%%", "a%b", "é", "\U0001f600"})
+    df = spark.createDataFrame(texts, "id long, t string, u string")
+    ranks = spark.createDataFrame([(k * 7 % 61, p) for k, p in enumerate(pats)], "rank int, place string")
+    for chosen in (pats, [p for p in pats if len(p) > 1]):
+        some = ranks.where(F.col("place").isin(chosen))
+        known = [(r["rank"], r["place"]) for r in some.collect()]
+        want = {i: min(((r, p) for r, p in known if t is not None and p in t), default=(None, None)) for i, t, _ in texts}
+        for bound in (1000, 1):
+            out = containment.first_contained(df, F.col("t"), some, "place", "rank", "p", "r", ["id"], max_broadcast=bound, salt=2)
+            assert {x["id"]: (x["r"], x["p"]) for x in out.collect()} == want
+            assert out.schema["r"].dataType == some.schema["rank"].dataType
+    qs = spark.createDataFrame([(p,) for p in pats], "q string")
+    like = lambda q: re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in q.lower()), re.S)
+    got = containment.search_hits(df, ["t", "u"], qs, "q", salt=3)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    want = {(q.lower(), i) for q in pats if q for i, t, u in texts if any(x is not None and like(q).search(x.lower()) for x in (t, u))}
+    assert {(x["query"], x["id"]) for x in got.collect()} == want
+    assert containment.search_hits(df, ["t"], qs.limit(0), "q").count() == 0 and containment.search_hits(df.limit(0), ["t"], qs, "q").count() == 0
+
+
 def _sk_like_tfidf(docs, queries):
     tok = lambda s: re.findall(r"(?u)\b\w\w+\b", s.lower())
     vocab = sorted({t for d in docs for t in tok(d)})
