@@ -60,3 +60,14 @@ def mean_log_loss(df: DataFrame, prob_col: str, label_col: str) -> DataFrame:
     """Average of -ln(p[label]) over scored rows (p clipped at 1e-15)."""
     p = F.try_element_at(F.col(prob_col), F.col(label_col).cast("int") + 1)
     return df.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"))
+
+
+def evaluation(predictions: DataFrame, prob_col: str = "probabilities", label_col: str = "label") -> DataFrame:
+    """M6: the report of A9 on stored predictions (a probability for each class 0, 1, ... and the true class), with the
+    class taken by A11, and A12 as a row ``log loss`` (its value in ``f1``). Rows without a label are left out."""
+    rows = predictions.where(F.col(label_col).isNotNull()).withColumn("_class", argmax_index(F.col(prob_col)))
+    loss = mean_log_loss(rows, prob_col, label_col).select(
+        F.lit("log loss").alias("class_name"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
+        F.round("log_loss", REPORT_DECIMALS).alias("f1"))
+    n = rows.agg(F.count(F.lit(1)).alias("support"))
+    return classification_report(rows, label_col, "_class").unionByName(loss.join(F.broadcast(n)))

@@ -116,6 +116,25 @@ CASE_TURNS = ("pc AS (SELECT p_partkey, concat_ws(' ', p_name, p_type, p_brand)
               "UNION ALL SELECT k, 5, example FROM cs)")
 
 
+REPORT = (
+    "bl AS (SELECT l AS cls, sum(n) AS support, sum(CASE WHEN l = p THEN n ELSE 0 END) AS tp FROM conf "
+    "GROUP BY l), bp AS (SELECT p AS cls, sum(n) AS predicted FROM conf GROUP BY p), "
+    "c AS (SELECT coalesce(bl.cls, bp.cls) AS cls, coalesce(support, 0)::DOUBLE AS support, "
+    "coalesce(tp, 0)::DOUBLE AS tp, coalesce(predicted, 0)::DOUBLE AS predicted FROM bl "
+    "FULL OUTER JOIN bp ON bl.cls = bp.cls), "
+    "per AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS pr, "
+    "CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rc FROM c), "
+    "per2 AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END AS f FROM per), "
+    "tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(pr) AS mp, avg(rc) AS mr, avg(f) AS mf, "
+    "sum(pr * support) AS wp, sum(rc * support) AS wr, sum(f * support) AS wf FROM per2) "
+    "SELECT CAST(cls AS VARCHAR) AS class_name, round(pr, 6) AS precision, round(rc, 6) AS recall, "
+    "round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM per2 "
+    "UNION ALL SELECT 'accuracy', NULL, NULL, round(tp / n, 6), CAST(n AS BIGINT) FROM tot "
+    "UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM tot "
+    "UNION ALL SELECT 'weighted avg', round(wp / n, 6), round(wr / n, 6), round(wf / n, 6), "
+    "CAST(n AS BIGINT) FROM tot")
+
+
 def _dialogue_sql(turns: str = USER_TURNS, corpus: str = "", law: str = "'IPC ' || CAST(t.hit_doc AS VARCHAR)") -> str:
     w_short = f"len(regexp_extract_all(f.text, {q(WORD_PATTERN)})) <= 2"
     nxt_stage = ("(CASE WHEN s = 3 OR short THEN 0 WHEN s = 0 THEN (CASE WHEN legal THEN 1 ELSE 0 END) "
@@ -330,24 +349,19 @@ def oracle_sql() -> dict[str, str]:
         "chat_history_join": (
             "SELECT e.event_id, e.user_id, c.c_name AS user_name, CAST(e.ts AS DATE) AS dt FROM events e "
             "LEFT JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'click'"),
-        "classification_report": (
-            "WITH conf AS (SELECT quality AS l, toxic AS p, count(*) AS n FROM labels GROUP BY ALL), "
-            "bl AS (SELECT l AS cls, sum(n) AS support, sum(CASE WHEN l = p THEN n ELSE 0 END) AS tp FROM conf "
-            "GROUP BY l), bp AS (SELECT p AS cls, sum(n) AS predicted FROM conf GROUP BY p), "
-            "c AS (SELECT coalesce(bl.cls, bp.cls) AS cls, coalesce(support, 0)::DOUBLE AS support, "
-            "coalesce(tp, 0)::DOUBLE AS tp, coalesce(predicted, 0)::DOUBLE AS predicted FROM bl "
-            "FULL OUTER JOIN bp ON bl.cls = bp.cls), "
-            "per AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS pr, "
-            "CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rc FROM c), "
-            "per2 AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END AS f FROM per), "
-            "tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(pr) AS mp, avg(rc) AS mr, avg(f) AS mf, "
-            "sum(pr * support) AS wp, sum(rc * support) AS wr, sum(f * support) AS wf FROM per2) "
-            "SELECT CAST(cls AS VARCHAR) AS class_name, round(pr, 6) AS precision, round(rc, 6) AS recall, "
-            "round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM per2 "
-            "UNION ALL SELECT 'accuracy', NULL, NULL, round(tp / n, 6), CAST(n AS BIGINT) FROM tot "
-            "UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM tot "
-            "UNION ALL SELECT 'weighted avg', round(wp / n, 6), round(wr / n, 6), round(wf / n, 6), "
-            "CAST(n AS BIGINT) FROM tot"),
+        "classification_report": "WITH conf AS (SELECT quality AS l, toxic AS p, count(*) AS n FROM labels GROUP BY ALL), " + REPORT,
+        "prediction_report": (
+            f"WITH {emb}, {pairs}, v AS (SELECT vec_id, hit_label, count(*) AS votes FROM r WHERE rk <= 5 GROUP BY vec_id, hit_label), "
+            f"w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, hit_label) AS o, "
+            f"sum(votes) OVER (PARTITION BY vec_id) AS total FROM v), "
+            f"pr AS (SELECT e.vec_id, e.label, w.hit_label AS p, coalesce(o.votes, 0) / w.total AS share FROM e JOIN w ON w.vec_id = e.vec_id "
+            f"AND w.o = 1 LEFT JOIN v o ON o.vec_id = e.vec_id AND o.hit_label = e.label WHERE e.label IS NOT NULL), "
+            f"conf AS (SELECT label AS l, p, count(*) AS n FROM pr GROUP BY ALL), " + REPORT + " UNION ALL SELECT 'log loss', NULL, NULL, "
+            f"round(avg(-ln(greatest(share, 1e-15))), 6), CAST(count(*) AS BIGINT) FROM pr"),
+        "vector_cache_growth": (
+            "WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) SELECT sha256(text) AS text_sha256, "
+            f"1::BIGINT AS n_rows, CASE WHEN len(regexp_extract_all(lower(text), {q(TOKEN_PATTERN)})) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE "
+            "AS norm FROM t"),
         "saved_index_growth": (
             f"WITH {CORPUS}, nq AS (SELECT 0 AS qid, '' AS text), {tfidf('t_', 'corpus', 'doc_id', 'text', 'nq', 'qid', 'text')} "
             f"SELECT term, CAST(count(*) AS BIGINT) AS n_docs, round(any_value(idf), 9) AS idf, round(sum(w), 4) AS weight "

@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.operators import knowledge
+from civicflow.operators import knowledge, report
 from civicflow.operators.common import drop_null_rows
 from civicflow.operators.keys import KeyTable, decrypted, rotated
 from civicflow.operators.registry import UserStore
 from civicflow.operators.saved_index import SavedIndex
+from civicflow.operators.vector_cache import VectorCache
 from civicflow.plans import inputs, triage
 from civicflow.session import ensure_checkpoint_dir
 from civicflow.sources.batch_table import BatchTable, insert_new
@@ -138,7 +139,41 @@ def dialogue_cases(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage(spark, turns, inputs.part_corpus(spark, sf), inputs.directory(spark, sf))
 
 
+PREDICTIONS = "vec_id long, label int, probabilities array<double>"
+
+
+def stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Class probabilities of every vector, its five nearest others' shares by class, written and read back."""
+    from civicflow.plans.queries import _embeddings, _self_knn
+    emb = _embeddings(spark, sf).select("vec_id", "label")
+    classes = emb.agg(F.max("label")).first()[0] or 0
+    near = _self_knn(spark, sf, 5).join(emb.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("near_label")), "doc_id")
+    shares = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.array(*[
+        F.sum(F.when(F.col("near_label") == c, 1).otherwise(0)) / F.count(F.lit(1)) for c in range(classes + 1)]).alias("probabilities"))
+    table = BatchTable(spark, _folder(spark, "predictions"), PREDICTIONS)
+    table.append(shares.join(emb, "vec_id"), "all")
+    return table.read()
+
+
+def prediction_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Report and log loss of the stored predictions."""
+    return report.evaluation(stored_predictions(spark, sf))
+
+
+def vector_cache_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """K2/M5: a bucketed cache of vectors that holds a third of the texts, then gets what it misses, twice."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).where(F.col("text").isNotNull())
+    cache = VectorCache(spark, _folder(spark, "vectors"))
+    cache.add(docs.where(F.pmod("doc_id", F.lit(PARTS)) == 1), "text")
+    cache.add(docs, "text")
+    cache.add(docs, "text")
+    unit = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3)
+    return cache.rows().groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n_rows"), F.min(unit).alias("norm"))
+
+
 STORED_QUERIES = {
+    "prediction_report": prediction_report,
+    "vector_cache_growth": vector_cache_growth,
     "saved_index_growth": saved_index_growth,
     "stream_triage": stream_replies,
     "stream_progress": stream_progress,

@@ -8,18 +8,22 @@ the turns that reach the location stage are matched against the directory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.functions.codes import md5_bucket
-from civicflow.functions.text import (LEGAL_GATE, is_short_message, language_tag, law_key, location_profile,
+from civicflow.functions.text import (LEGAL_GATE, SEVERITY_GATE, is_short_message, language_tag, law_key, location_profile,
                                       py_strip, severity_keyword)
 from civicflow.operators import tfidf
+from civicflow.operators.calibrated import CalibratedSVC
 from civicflow.operators.containment import first_contained
 from civicflow.operators.lookup import with_practice_area
 from civicflow.plans import dialogue
 from civicflow.session import cut_lineage
 
+Matcher = Callable[[DataFrame], DataFrame]
 SCORE_DECIMALS = 6
 RECOMMENDER_NEIGHBOURS = 5  # the directory needs at least this many rows
 # Block whose variant list a branch draws from (None: no variant choice).
@@ -56,19 +60,45 @@ def nearest_example(turns: DataFrame, corpus: DataFrame, index: tfidf.TfidfIndex
 
 
 def turn_features(turns: DataFrame, corpus: DataFrame, n_docs: int | None = None,
-                  n_queries: int | None = None, index: tfidf.TfidfIndex | None = None) -> DataFrame:
+                  n_queries: int | None = None, index: tfidf.TfidfIndex | None = None,
+                  severity: CalibratedSVC | None = None, matcher: Matcher | None = None) -> DataFrame:
     """Per-turn columns the replay needs: short, legal, severe, hit_law, lang."""
-    scored = nearest_example(turns, corpus, index=index, n_docs=n_docs, n_queries=n_queries)
-    return gated(scored.join(session_language(turns), "conv_id"))
+    scored = (nearest_example(turns, corpus, index=index, n_docs=n_docs, n_queries=n_queries) if matcher is None
+              else matched(turns, corpus, matcher))
+    return gated(scored.join(session_language(turns), "conv_id"), severity)
+
+
+def matched(turns: DataFrame, corpus: DataFrame, matcher: Matcher) -> DataFrame:
+    """``nearest_example`` by another search: ``matcher`` takes (query_id, text) of the distinct texts and gives
+    (query_id, doc_id, score), at most one row a text."""
+    distinct = turns.select(F.col("text").alias("_qtext")).distinct().withColumn("query_id", F.sha2("_qtext", 256))
+    found = matcher(distinct.select("query_id", F.col("_qtext").alias("text")))
+    hits = (found.join(corpus.select("doc_id", F.col("law").alias("_law")), "doc_id")
+            .select(F.col("query_id").alias("_qkey"), F.col("score").cast("double").alias("score"), F.col("doc_id").alias("hit_doc"),
+                    law_key("_law").alias("hit_law")))
+    n = corpus.agg(F.count(F.lit(1)).alias("n"))
+    return (turns.withColumn("_qkey", F.sha2("text", 256)).join(hits, "_qkey", "left").join(F.broadcast(n), how="left")
+            .withColumn("score", F.when(F.col("n") > 0, F.coalesce(F.col("score"), F.lit(0.0)))).drop("_qkey", "n"))
+
+
+def gated(scored: DataFrame, severity: CalibratedSVC | None = None) -> DataFrame:
+    """Turns with their nearest example (score, hit_doc, hit_law): adds short, legal (null: no corpus) and severe.
+
+    Severe is the model's gate (P6), or without a model the keyword rule (P7)."""
+    if severity is None:
+        severe = severity_keyword("text")
+    else:
+        scored = severity.score(scored, "_p_severe")
+        severe = F.coalesce(F.col("_p_severe") > F.lit(SEVERITY_GATE), F.lit(False))
+    return _with_rules(scored, severe).drop("_p_severe")
 
 
-def gated(scored: DataFrame) -> DataFrame:
-    """Turns with their nearest example (score, hit_doc, hit_law): adds short, legal (null: no corpus) and severe."""
+def _with_rules(scored: DataFrame, severe: Column) -> DataFrame:
     return (scored.withColumn("score", F.round("score", SCORE_DECIMALS))
             .withColumn("short", is_short_message("text"))
             .withColumn("legal", F.when(F.col("score").isNull(), F.lit(None).cast("boolean"))
                         .otherwise(F.col("score") > F.lit(LEGAL_GATE)))
-            .withColumn("severe", severity_keyword("text")))
+            .withColumn("severe", severe))
 
 
 def directory_places(directory: DataFrame) -> DataFrame:
@@ -123,14 +153,16 @@ def resolve_location_turns(spark: SparkSession, located: DataFrame, directory: D
 def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory: DataFrame,
            block: int = dialogue.DEFAULT_BLOCK, levels: int | None = None,
            n_docs: int | None = None, index: tfidf.TfidfIndex | None = None,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), severity: CalibratedSVC | None = None,
+           matcher: Matcher | None = None) -> DataFrame:
     """Flagship: one row per user turn with the branch the service takes.
 
     Output: conv_id, turn, lang, stage_in, branch, stage_out, law_key, score,
     hit_doc, place, lawyer_id, match_kind, reply_block, variant_key, and the
     columns ``keep`` of the turns (the message and its user, for the chat log).
     ``n_docs`` (an upper bound on the corpus size) only sizes score blocks.
-    ``index`` is a loaded index of the corpus; without one it is built here.
+    ``index`` is a loaded index of the corpus; without one it is built here. ``severity`` is a trained model for
+    the follow-up stage (without one: keywords), ``matcher`` another search for the nearest example (see ``matched``).
     """
     n_turns, max_turn = turns.agg(F.count(F.lit(1)), F.max("turn")).first()
     if levels is None:
@@ -140,7 +172,8 @@ def triage(spark: SparkSession, turns: DataFrame, corpus: DataFrame, directory:
     # plan there: AQE re-plans the remaining plan after every stage, and
     # without the cut each of the scoring stages re-optimised the replay's
     # large fold expression as well (seconds of driver time per run).
-    feats = cut_lineage(turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns, index=index))
+    feats = cut_lineage(turn_features(turns, corpus, n_docs=n_docs, n_queries=n_turns, index=index,
+                                      severity=severity, matcher=matcher))
     payload = list(dict.fromkeys(["text", "lang", "score", "hit_doc", *keep]))
     replayed = dialogue.replay(feats, payload, block=block, levels=levels)
     # Two consumers below (location turns and the final join): materialise the
