@@ -8,7 +8,8 @@ counts, shifted from the learning sample's class shares to the label shares.
 
 Learning (on the driver) takes a bounded sample of labelled rows, ``LEARN_DOCS`` a class by hash of the id
 among texts of at most ``LEARN_BYTES`` bytes: a text's highest windows stand for it in each round
-(multiple-instance learning). The first dimension of both vector tables starts from smoothed log odds; buckets in
+(multiple-instance learning). The first dimension of both vector tables starts from smoothed log odds and the others
+from zero, so that few learning texts are not told apart by random marks of their words; buckets in
 fewer than ``LEAST_DOCS`` learning texts stay zero.
 Runs are seeded, so equal rows give equal models.
 
@@ -217,6 +218,7 @@ def _start(units: Units, unit: np.ndarray, row: np.ndarray, label: np.ndarray, r
          "u_f": small(HIDDEN, 3 * HIDDEN) * 3, "u_b": small(HIDDEN, 3 * HIDDEN) * 3,
          "attend": small(2 * HIDDEN), "out": small(2 * HIDDEN) * 3, "bias": np.zeros(1, np.float32)}
     known = []
+    p["word"][:], p["char"][:] = 0, 0
     p["word"][:, 0] = odds(units.word[unit], row, WORD_BUCKETS)
     rows, present = np.divmod(np.unique(row * len(units.word) + unit), len(units.word))
     take, nth = _grams_of(units, present)
