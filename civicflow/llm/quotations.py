@@ -11,7 +11,7 @@ ordered by their first message, then by reply depth and turn, and texts come bac
 Hashes are pre-aggregated to their first message before joining, so a phrase that many messages share
 is one row. Numbering cuts a conversation larger than a partition into several (``frames.numbered``).
 
-Defined results: a null text has no passages and stays null; blank passages are not linked; rows with a
+Defined results: a null text has no passages and stays null; blank passages are counted and not linked; rows with a
 null conversation or turn link with nothing and are their own thread; a message that holds only quotes
 has the empty text; repeated rows stay separate rows of one message; an empty table gives an empty
 result; other columns are not read.
@@ -62,7 +62,7 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
     """Messages with clean text, own units and quoted units (passage, level, part, hash, words)."""
     def run(frames):
         for df in frames:
-            clean, units, quotes = [], [], []
+            clean, units, quotes, number = [], [], [], []
             for t in df["text"]:
                 own, passages = parse_quotes(t) if isinstance(t, str) else (None, [])
                 clean.append(own)
@@ -73,9 +73,9 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
                     parts = ["\n".join(lines), *(lines if len(lines) > 1 else ())]
                     found += [(nth, level, k, h, n) for k, h in enumerate(map(passage_hash, parts)) if h]
                 quotes.append(found)
+                number.append(len(passages))
             yield pd.DataFrame({"conv_id": df["conv_id"], "turn": df["turn"], "role": df["role"], "clean": clean,
-                                "n_passages": [max((q[0] + 1 for q in x), default=0) for x in quotes],
-                                "units": units, "quotes": quotes})
+                                "n_passages": number, "units": units, "quotes": quotes})
 
     return (messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                             F.col(role).alias("role"), F.col(text).alias("text"))
