@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.llm.frames import stored, table
-from civicflow.llm.words import chunks, mix, odd_constants, span_hashes, text_buffer, word_spans
+from civicflow.llm.words import block_hashes, chunks, mix, odd_constants, span_hashes, text_buffer, word_spans
 
 WINDOW = 3
 LONG, LEAST = 16, 8  # most words of a part of a line, fewest of a sentence that ends one
@@ -85,7 +85,9 @@ class Segments:
         self.data = data
         self.lines = part_starts(data, offsets) if fine else line_starts(data, offsets)
         starts, ends, _ = word_spans(data, offsets)
-        line = np.searchsorted(self.lines, starts, side="right") - 1
+        head = np.zeros(len(data), np.int32)
+        head[self.lines] = 1
+        line = np.cumsum(head)[starts] - 1
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         self.words = np.diff(np.append(first, len(line)))
         self.line, self.begin = line[first], starts[first]
@@ -99,7 +101,7 @@ class Segments:
         inside = np.flatnonzero(self.row[:n] == self.row[len(self.row) - n:])
         out = [self.row[inside]]
         for steps in odd_constants(2 * (window + 1), 9).reshape(2, -1):
-            h = span_hashes(self.data, self.begin, self.end, steps[0])
+            h = block_hashes(self.data, self.begin, self.end, steps[0])
             total = np.zeros(len(inside), np.uint64)
             for k in range(window):
                 total += h[inside + k] * steps[k + 1]

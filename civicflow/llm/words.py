@@ -99,6 +99,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: np
         at += 8
 
 
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: np.uint64, most: int = 512) -> np.ndarray:
+    """``span_hashes``, but spans of more than ``most`` bytes are hashed in blocks side by side and then together."""
+    number = np.maximum(1, -(-(ends - starts) // most))
+    if (number == 1).all():
+        return span_hashes(data, starts, ends, step)
+    h = span_hashes(data, *cut_spans(starts, ends, most), step)
+    first = np.cumsum(number) - number
+    nth = (np.arange(len(h)) - np.repeat(first, number)).astype(np.uint64)
+    return np.where(number == 1, h[first], mix(np.add.reduceat(mix(h + (nth + np.uint64(1)) * step), first)))
+
+
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` consecutive words, in order."""
     if len(words) < n or n < 1:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from civicflow.llm import decontaminate, line_windows, near_dups, topk
+from civicflow.llm import decontaminate, line_windows, near_dups, topk, words
 
 WORDS = [f"w{i}x" for i in range(3000)]
 DOCS = "doc_id long, text string"
@@ -68,6 +68,19 @@ def test_repeated_text_of_many_lines(spark):
     assert out == [{"text": "last", "removed": 100_000}, {"text": "a\nb", "removed": 0}, {"text": "p", "removed": 3}]
 
 
+def test_block_hashes_depend_on_the_span_alone():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab cd") for _ in range(n)) for n in (1, 511, 512, 513, 1024, 1500, 70_000)]
+
+    def hashes(some):
+        data, offsets = words.text_buffer(pa.array(some))
+        return words.block_hashes(data, offsets[:-1], offsets[1:], np.uint64(12345)).tolist()
+    alone = [hashes([t])[0] for t in texts]
+    assert hashes(texts) == alone and len(set(alone)) == len(texts)
+    long = texts[-1]
+    assert len({*hashes([long, long[512:] + long[:512], long[:-1] + "x", "x" + long[1:]])}) == 4
+
+
 def test_probability_of_lost_pairs_is_as_stated():
     for threshold, stated in (((85, 100), 9.91e-7), ((4, 5), 8.6e-7)):
         assert 0.9 * stated < sum(near_dups.miss_probability(threshold)) < 1e-6
@@ -124,10 +137,10 @@ def test_long_items_and_documents_are_tiled_in_proportion(spark):
     rng.shuffle(parts)
     doc = sum((p + ["between"] * 3 for p in parts), [])
     started = time.time()
-    words = lambda w: next(iter(decontaminate.texts_as_words(pa.array([" ".join(w)]))))
-    got = decontaminate.tiles(words(item), words(doc))
+    hashed = lambda w: next(iter(decontaminate.texts_as_words(pa.array([" ".join(w)]))))
+    got = decontaminate.tiles(hashed(item), hashed(doc))
     assert sum(n for *_, n in got) == 20_000 and len(got) <= 45 and time.time() - started < 20
-    same = decontaminate.tiles(words(["a"] * 3000), words(["a"] * 5000))
+    same = decontaminate.tiles(hashed(["a"] * 3000), hashed(["a"] * 5000))
     assert [n for *_, n in same] == [3000]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:100]))], "item_id long, text string")
     table = spark.createDataFrame([(9, " ".join(doc)), (None, " ".join(item[:100])), (None, "clean text of no item at all"),
