@@ -125,7 +125,7 @@ def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tas
     return q_blocks, c_blocks
 
 
-def _block_top_k(k: int, unit_docs: bool = False):
+def _block_top_k(k: int, unit_docs: bool = False, unit_queries: bool = False):
     # Self-contained closure (numpy/pandas only): executors need not import us.
     order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
     dense_ratio, dense_cols, slice_entries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES
@@ -195,8 +195,9 @@ def _block_top_k(k: int, unit_docs: bool = False):
         qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
         qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
         dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
-        # L2 norms: every posting of a query/doc is in this block (of a doc: unless its weights came divided)
-        qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
+        # L2 norms: every posting of a query/doc is in this block, unless its weights came divided
+        if not unit_queries:
+            qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
         if not unit_docs:
             dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
         q_cnt = np.bincount(qc, minlength=nt)
@@ -224,19 +225,40 @@ def _block_top_k(k: int, unit_docs: bool = False):
     return fn
 
 
+def block_sides(index: TfidfIndex, query_postings: DataFrame, q_blocks: int, c_blocks: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(query postings, document postings, are both normalised?) with the blocks (qb, cb) that each is sent to.
+
+    With one query block every posting goes to one block pair a side anyway, and norms are taken in the task. With
+    more, a posting is sent only where its term is met: a document's posting to the query blocks that have the
+    term, a query's posting to the document blocks that have it. A product needs both, so no score changes; norms,
+    for which a task then lacks postings, are divided out before.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    whole = q_blocks == 1
+    queries = query_postings if whole else _normalise(query_postings, "query_id")
+    documents = index.postings if whole else index.normalised()
+    qp = queries.select(F.col("query_id").cast("string"), "term", "w").withColumn("qb", block("query_id", q_blocks))
+    dp = documents.select(F.col("doc_id").cast("long"), "term", "w").withColumn("cb", block("doc_id", c_blocks))
+    if whole:
+        return qp.withColumn("cb", every(c_blocks)), dp.withColumn("qb", every(q_blocks)), False
+    def meet(side, keep, other, b):  # renamed throughout: each side's blocks come from the other
+        there = other.select(F.col("term").alias("_term"), F.col(b).alias("_block")).distinct()
+        return (side.join(there, F.col("term") == F.col("_term"))
+                .select(F.col(keep[0]).alias(keep[0]), F.col("term").alias("term"), F.col("w").alias("w"),
+                        F.col(keep[1]).alias(keep[1]), F.col("_block").alias(b)))
+    return meet(qp, ("query_id", "qb"), dp, "cb"), meet(dp, ("doc_id", "cb"), qp, "qb"), True
+
+
 def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_queries: int,
                   n_docs: int) -> DataFrame:
     """Exact top-k cosine per query (pairs sharing no term are not scored)."""
     q_blocks, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK,
                                       3 * query_postings.sparkSession.sparkContext.defaultParallelism)
-    qp = (query_postings.select(F.col("query_id").cast("string"), "term", "w")
-          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
-    dp = (index.postings.select(F.col("doc_id").cast("long"), "term", "w")
-          .withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    qp, dp, normalised = block_sides(index, query_postings, q_blocks, c_blocks)
     qp, dp = block_partitions(qp, dp, q_blocks * c_blocks)
-    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k, index.unit_docs), SCORE_SCHEMA)
+    score = _block_top_k(k, index.unit_docs or normalised, normalised)
+    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(score, SCORE_SCHEMA)
     return top_k(local, k)
 
 

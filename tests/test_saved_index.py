@@ -85,6 +85,26 @@ def test_index_grows_like_a_rebuild(spark):
     assert index.version().n_docs == 61
 
 
+def test_many_query_blocks_send_postings_where_their_terms_are(spark, monkeypatch):
+    import random
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    text = lambda n: " ".join(words[min(int(rng.expovariate(0.05)), 119)] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(1, 14))) for i in range(80)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, text(rng.randrange(1, 7))) for i in range(60)], "q long, t string")
+    index = tfidf.build_index(docs, "doc_id", "text")
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 8), r["rank"]) for r in df.collect())
+    want = rows(tfidf.search(index, queries, "q", "t", k=4))
+    monkeypatch.setattr(tfidf, "MAX_QUERY_BLOCK", 8)
+    monkeypatch.setattr(tfidf, "MAX_DOC_BLOCK", 10)
+    assert rows(tfidf.search(index, queries, "q", "t", k=4)) == want and len(want) > 100
+    brute = tfidf.top_k(tfidf.cosine_scores(index, tfidf.transform_queries(index, queries, "q", "t")), 4)
+    assert rows(brute) == want
+    q, d, _ = tfidf.block_sides(index, tfidf.transform_queries(index, queries, "q", "t"), 8, 8)
+    assert d.count() < 0.7 * 8 * index.postings.count()  # sent to all query blocks before
+    assert q.count() < 8 * tfidf.transform_queries(index, queries, "q", "t").count()
+
+
 def directory(spark):
     rows = [(i, f"N{i}", f"98{i}", ["Chennai", "Madurai", "Delhi"][i % 3], ["Criminal", "Civil"][i % 2], float(i)) for i in range(9)]
     return spark.createDataFrame(rows, "lawyer_id long, name string, mobile string, location string, practice_area string, "
