@@ -7,7 +7,7 @@ states of a window to one logit. All overlapping windows of the whole text are s
 counts, shifted from the learning sample's class shares to the label shares.
 
 Learning (on the driver) takes a bounded sample of labelled rows, about ``LEARN_DOCS`` a class by hash of the id,
-whatever their length; of a text of more than ``LEARN_BYTES`` bytes a stretch of that size, its place by hash of
+whatever their length; of a text of more than ``LEARN_BYTES`` bytes a stretch of ``STRETCH``, its place by hash of
 the id, is learnt from: a text's highest windows stand for it in each round
 (multiple-instance learning). The first dimension of both vector tables starts from smoothed log odds and the others
 from zero, so that few learning texts are not told apart by random marks of their words; buckets in
@@ -34,7 +34,7 @@ from civicflow.llm.language_id import distinct_units, letter_runs
 from civicflow.llm.words import chunks, mix, odd_constants, text_buffer
 
 LEARN_MOD, HELD_OUT = 4, 2
-LEARN_DOCS, LEARN_BYTES = 1200, 8_000
+LEARN_DOCS, LEARN_BYTES, STRETCH = 1200, 8_000, 4_000
 WINDOW, STRIDE = 24, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chance = F.pmod(F.xxhash64("l_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     ids = rows.where(chance < F.when(F.col("label") == 1, min(1.0, LEARN_DOCS / counts[1]))
                      .otherwise(min(1.0, LEARN_DOCS / counts[0])))
-    size = F.floor(F.length("text") * float(LEARN_BYTES) / F.octet_length("text")).cast("int")  # characters of a stretch
+    size = F.floor(F.length("text") * float(STRETCH) / F.octet_length("text")).cast("int")  # characters of a stretch
     start = F.pmod(F.xxhash64("id", F.lit(31)), F.greatest(F.length("text") - size, F.lit(1))).cast("int") + 1
     sample = (docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where(F.col("text").isNotNull())
               .withColumn("text", F.when(F.octet_length("text") <= LEARN_BYTES, F.col("text")).otherwise(F.substring("text", start, size)))
