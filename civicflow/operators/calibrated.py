@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.functions.codes import md5_bucket
-from civicflow.operators.models import NUM_FEATURES, _feature_stages
+from civicflow.operators.models import NUM_FEATURES, _feature_stages, without_summary
 from civicflow.session import cut_lineage
 
 FOLDS = 5
@@ -121,7 +121,7 @@ def fit_calibrated_svc(train: DataFrame, id_col: str, text_col: str = "text", la
         parts = []
         for fold in range(folds):
             idf = IDF(inputCol="_tf", outputCol="features").fit(tf.where(F.col("fold") != fold))
-            one = svc.fit(idf.transform(tf.where(F.col("fold") != fold)))
+            one = without_summary(svc.fit(idf.transform(tf.where(F.col("fold") != fold))))
             scored = one.transform(idf.transform(tf.where(F.col("fold") == fold)))
             parts.append(cut_lineage(scored.select(F.element_at(vector_to_array(F.col("rawPrediction")), 2).alias("margin"), "label")))
         margins = parts[0]
@@ -131,6 +131,7 @@ def fit_calibrated_svc(train: DataFrame, id_col: str, text_col: str = "text", la
         idf = IDF(inputCol="_tf", outputCol="features").fit(tf)
         model = svc.fit(idf.transform(tf))
         history = [float(x) for x in model.summary().objectiveHistory]
+        model = without_summary(model)
     finally:
         tf.unpersist()
     return CalibratedSVC(PipelineModel(stages + [idf, model]), sigmoid, history)

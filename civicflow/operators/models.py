@@ -9,6 +9,8 @@ Splits are md5 buckets of the row id (O4), stable under retries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
@@ -21,6 +23,7 @@ from civicflow.functions.codes import md5_bucket
 from civicflow.functions.text import SEVERITY_GATE, TOKEN_PATTERN_JVM
 from civicflow.operators.common import broadcast_checked, dense_index, first_appearance
 from civicflow.operators.report import argmax_index
+from civicflow.session import ensure_checkpoint_dir
 from civicflow.sources.readers import read_table
 
 NUM_FEATURES = 1 << 16
@@ -33,6 +36,22 @@ def split(df: DataFrame, id_col: str, seed: str | None = None) -> tuple[DataFram
     return df.where(b != 0), df.where(b == 0)
 
 
+def without_summary(model):
+    """A fitted classifier as it is read back from the shared checkpoint folder: the same model without its training
+    summary. The summary of a binary classifier holds the session, which goes to the tasks with the model and cannot
+    once the session has run an ``Observation``."""
+    path = f"{ensure_checkpoint_dir(SparkSession.active()).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
+class ScoringLogisticRegression(LogisticRegression):
+    """Logistic regression whose models carry no training summary (see ``without_summary``)."""
+
+    def _fit(self, dataset: DataFrame):
+        return without_summary(super()._fit(dataset))
+
+
 def _feature_stages(text_col: str) -> list:
     return [
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN_JVM, gaps=False, toLowercase=True),
@@ -47,8 +66,8 @@ def text_classifier(text_col: str = "text", label_col: str = "label", max_iter:
     """Tokens + bigrams -> hashed TF -> IDF -> logistic regression."""
     return Pipeline(stages=_feature_stages(text_col) + [
         IDF(inputCol="_tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
-                           family="auto"),
+        ScoringLogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
+                                  family="auto"),
     ])
 
 
@@ -71,8 +90,8 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str
     tf = train.select(label_col, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         idf = IDF(inputCol="_tf", outputCol="features").fit(tf)
-        lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
-                                family="auto").fit(idf.transform(tf))
+        lr = ScoringLogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg,
+                                       family="auto").fit(idf.transform(tf))
     finally:
         tf.unpersist()
     return PipelineModel(stages + [idf, lr])
@@ -122,7 +141,7 @@ def emotion_job(spark: SparkSession, sf: str) -> DataFrame:
     data = emb.select("vec_id", array_to_vector(F.col("embedding")).alias("features"),
                       F.col("label").cast("double").alias("label"))
     train, valid = split(data, "vec_id", seed="42")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100, regParam=0.001)
+    lr = ScoringLogisticRegression(featuresCol="features", labelCol="label", maxIter=100, regParam=0.001)
     model = lr.fit(train)
     probs = vector_to_array(F.col("probability"))
     return (model.transform(valid)

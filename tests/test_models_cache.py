@@ -56,6 +56,19 @@ def test_calibrated_probabilities(spark, severe, tmp_path):
     assert len(history) > 2 and history[-1] < history[0] and again.history == model.history
 
 
+def test_classifiers_score_after_an_observation(spark):
+    """The session cannot be serialised once it has observed a query; models must not bring it to the tasks."""
+    from pyspark.sql import Observation
+    from civicflow.operators import models
+    spark.range(5).observe(Observation("seen"), F.count(F.lit(1))).collect()
+    rows = [(i, f"{'knife' if i % 2 else 'rent'} my case {i % 3}", float(i % 2)) for i in range(20)]
+    data = spark.createDataFrame(rows, "id long, text string, label double")
+    for fitted in (models.fit_text_classifier(data, max_iter=5), models.text_classifier(max_iter=5).fit(data)):
+        assert [r["prediction"] for r in fitted.transform(data).orderBy("id").collect()] == [r[2] for r in rows]
+    calibrated_model = calibrated.fit_calibrated_svc(data, "id", folds=2, max_iter=5, num_features=1 << 8)
+    assert all((r["p"] > 0.5) == (r["label"] > 0) for r in calibrated_model.score(data).collect())
+
+
 def test_dialogue_uses_the_model_and_another_matcher(spark, severe):
     _, model = severe
     corpus = spark.createDataFrame([(1, "landlord keeps the deposit money", "IPC 354"), (2, "salary was not paid at all", "IT Act 66E")],
