@@ -4,8 +4,10 @@ Exact cosine top-k as a blocked all-pairs product: queries are hashed into
 ``qb`` blocks and the corpus into ``cb`` blocks; each (qb, cb) pair is one
 cogroup task that multiplies the two blocks with numpy (Arrow batches in and
 out) and keeps its local top-k per query. A final ``row_number() <= k``
-merges the ``cb`` local lists. Block sizes bound the memory of every task,
+merges the ``cb`` local lists. Block sizes bound the rows of every task,
 whatever the table sizes; the number of blocks is derived from row counts.
+Inside a task the product is taken in slices of at most ``SLICE_ENTRIES``
+scores, so the scores held at once do not grow with the blocks.
 """
 
 from __future__ import annotations
@@ -22,41 +24,59 @@ from civicflow.operators.common import block_partitions, top_k_per_group
 ORDER_DECIMALS = 9
 MAX_CORPUS_BLOCK = 50_000
 MAX_QUERY_BLOCK = 20_000
+SLICE_ENTRIES = 2_000_000  # scores held at once inside a task
+SLICE_COLUMNS = 10_000     # of them, for one query
 
 KNN_SCHEMA = "query_id long, doc_id long, score double"
 
 
 def _local_top_k(k: int, exclude_self: bool):
     # Self-contained closure (numpy/pandas only): executors need not import us.
-    order_decimals = ORDER_DECIMALS
+    order_decimals, slice_entries, slice_columns = ORDER_DECIMALS, SLICE_ENTRIES, SLICE_COLUMNS
 
-    def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "doc_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        cm = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(qm, axis=1)
-        cn = np.linalg.norm(cm, axis=1)
+    def with_norms(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        m = np.stack(vecs.to_numpy()).astype(np.float64)
+        return m, np.linalg.norm(m, axis=1)
+
+    def best(rows, ids, scores):
+        """The ``k`` best of each row: score desc, id."""
+        order = np.lexsort((ids, -np.round(scores, order_decimals), rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        return rows[keep], ids[keep], scores[keep]
+
+    def slice_top(qm, qn, qid, cm, cn, cid):
         with np.errstate(divide="ignore", invalid="ignore"):
             s = (qm @ cm.T) / np.outer(qn, cn)
-        s = np.where(np.isfinite(s), s, -np.inf)
-        qid = q["query_id"].to_numpy(dtype=np.int64)
-        cid = c["doc_id"].to_numpy(dtype=np.int64)
+        s[~np.isfinite(s)] = -np.inf
         if exclude_self:
             s[qid[:, None] == cid[None, :]] = -np.inf
         r = np.round(s, order_decimals)
         kk = min(k, s.shape[1])
         # threshold = k-th best rounded score per row; keep everything >= it (ties)
-        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
+        thr = np.partition(r, r.shape[1] - kk, axis=1)[:, r.shape[1] - kk]
         rows, cols = np.nonzero((r >= thr[:, None]) & np.isfinite(r))
-        order = np.lexsort((cid[cols], -r[rows, cols], rows))    # row, score desc, id
-        rows, cols = rows[order], cols[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = rank < kk
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"query_id": qid[rows], "doc_id": cid[cols], "score": s[rows, cols]})
+        return best(rows, cid[cols], s[rows, cols])
+
+    def fn(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "doc_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        (qm, qn), (cm, cn) = with_norms(q["vec"]), with_norms(c["vec"])
+        qid = q["query_id"].to_numpy(dtype=np.int64)
+        cid = c["doc_id"].to_numpy(dtype=np.int64)
+        wide = min(len(cid), slice_columns)
+        step = max(1, slice_entries // wide)
+        found = []
+        for lo in range(0, len(qid), step):
+            mine = slice(lo, lo + step)
+            parts = [slice_top(qm[mine], qn[mine], qid[mine], cm[at:at + wide], cn[at:at + wide], cid[at:at + wide])
+                     for at in range(0, len(cid), wide)]
+            rows, ids, scores = parts[0] if len(parts) == 1 else best(*(np.concatenate(x) for x in zip(*parts)))
+            found.append((qid[mine][rows], ids, scores))
+        ids, docs, scores = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": ids, "doc_id": docs, "score": scores})
     return fn
 
 

@@ -111,6 +111,36 @@ def test_evaluation_agrees_with_mllib(spark):
     assert got["log loss"]["f1"] == pytest.approx(ask("logLoss"), abs=1e-6) and got["log loss"]["support"] == 300
 
 
+def test_neighbours_hold_few_scores_at_once(monkeypatch):
+    """A block pair is multiplied in slices: the same neighbours, whatever the slices, and bounded memory."""
+    import tracemalloc
+    import pandas as pd
+    from civicflow.operators import vectors
+    rng = np.random.default_rng(3)
+    near = rng.integers(-2, 3, size=(900, 4)).astype(float)  # many ties, some vectors of zeros
+    frames = lambda v: (pd.DataFrame({"query_id": np.arange(len(v)), "vec": list(v)}), pd.DataFrame({"doc_id": np.arange(len(v)), "vec": list(v)}))
+    rows = lambda d: [(q, c, round(s, 9)) for q, c, s in d.itertuples(index=False)]
+    whole = rows(vectors._local_top_k(5, True)(None, *frames(near)))
+    monkeypatch.setattr(vectors, "SLICE_ENTRIES", 1000)
+    monkeypatch.setattr(vectors, "SLICE_COLUMNS", 70)
+    assert rows(vectors._local_top_k(5, True)(None, *frames(near))) == whole
+    monkeypatch.undo()
+    q, c = frames(rng.normal(size=(6000, 8)))
+    tracemalloc.start()
+    vectors._local_top_k(5, True)(None, q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # a product of the whole blocks alone is 288 MB
+
+
+def test_encoder_takes_the_norm_once_a_row(spark):
+    texts = spark.createDataFrame([(1, "knife knife rent"), (2, ""), (3, "a b")], "id long, text string")
+    coded = encoder.hashed_encoder(texts, "text")
+    assert "lambdafunction" not in coded._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: sorted(x for x in r["embedding"] if x) for r in coded.collect()}
+    assert got[1] == pytest.approx([1 / 5 ** 0.5, 2 / 5 ** 0.5]) and got[2] == got[3] == []
+
+
 def test_cache_moves_only_new_texts(spark, tmp_path):
     texts = spark.createDataFrame([(i, f"text number {i % 40}" if i % 11 else None) for i in range(100)], "id long, text string")
     cache = VectorCache(spark, str(tmp_path / "c"), buckets=8)
