@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +28,9 @@ DEFAULT_DIM = 1 << 10
 def hashed_encoder(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
     """Native default: hashed token counts, L2-normalised, array<float>."""
     tf = HashingTF(inputCol="_enc_tok", outputCol="_enc_tf", numFeatures=dim)
-    arr = vector_to_array(F.col("_enc_tf"))
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))
-    out = tf.transform(df.withColumn("_enc_tok", tokens(text_col)))
-    return (out.withColumn(out_col, F.transform(arr, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))
-                                                .cast("float")))
-            .drop("_enc_tok", "_enc_tf"))
+    unit = Normalizer(inputCol="_enc_tf", outputCol="_enc_unit", p=2.0)  # once a row; a zero vector stays
+    out = unit.transform(tf.transform(df.withColumn("_enc_tok", tokens(text_col))))
+    return out.withColumn(out_col, vector_to_array("_enc_unit", "float32")).drop("_enc_tok", "_enc_tf", "_enc_unit")
 
 
 def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
