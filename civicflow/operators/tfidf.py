@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.text import tokens
 from civicflow.operators.common import block_partitions, top_k_per_group
+from civicflow.session import cut_lineage
 
 # Scores are ordered after rounding to this many places, so two engines (or two
 # summation orders) that differ only in the last bits still break ties by id.
@@ -82,8 +83,12 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TfidfIndex:
 def transform_queries(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Query postings (term, query_id, w = tf * idf) with the index's IDF;
     unknown terms dropped (so the norm covers known terms only)."""
-    tf = term_counts(queries, id_col, text_col).withColumnRenamed("doc_id", "query_id")
-    return tf.join(index.vocab, "term").select("term", "query_id", (F.col("tf") * F.col("idf")).alias("w"))
+    return weigh_queries(index, term_counts(queries, id_col, text_col).withColumnRenamed("doc_id", "query_id"))
+
+
+def weigh_queries(index: TfidfIndex, counts: DataFrame) -> DataFrame:
+    """Query postings of term counts (query_id, term, tf)."""
+    return counts.join(index.vocab, "term").select("term", "query_id", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def cosine_scores(index: TfidfIndex, query_postings: DataFrame) -> DataFrame:
@@ -105,15 +110,16 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 # Block sizes bound the postings a task receives; inside a task the doc block
 # is scored in slices of SLICE_ENTRIES scores, expanding at most EXPAND_CHUNK
 # (query posting, doc posting) products at once.
-MAX_QUERY_BLOCK = 4_000
+MAX_QUERY_BLOCK = 100_000   # documents' postings are sent once per query block
 MAX_DOC_BLOCK = 20_000
+SLICE_QUERIES = 4_000       # queries of a block that are scored at once
 SLICE_ENTRIES = 8_000_000   # score-matrix entries held at once inside a task
 EXPAND_CHUNK = 4_000_000
 # A shared term is "hot" when expanding its pairs would cost more than one
 # dense rank-1 update of the block (numpy expansion ~ this many times a flop).
 DENSE_COST_RATIO = 64
 DENSE_COLUMNS = 512
-SCORE_SCHEMA = "query_id string, doc_id long, score double"
+NORM_CODE = -1              # in place of a term's number: the row holds a document's norm
 
 
 def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tasks: int) -> tuple[int, int]:
@@ -125,10 +131,10 @@ def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tas
     return q_blocks, c_blocks
 
 
-def _block_top_k(k: int, unit_docs: bool = False, unit_queries: bool = False):
+def _block_top_k(k: int):
     # Self-contained closure (numpy/pandas only): executors need not import us.
-    order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
-    dense_ratio, dense_cols, slice_entries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES
+    order_decimals, expand_chunk, norm_code = ORDER_DECIMALS, EXPAND_CHUNK, NORM_CODE
+    dense_ratio, dense_cols, slice_entries, slice_queries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES, SLICE_QUERIES
 
     def top_rows(s, qids, dids, kk):
         r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
@@ -183,82 +189,102 @@ def _block_top_k(k: int, unit_docs: bool = False, unit_queries: bool = False):
             flat += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
         return scores
 
-    def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or dp.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="object"),
-                                 "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        qids, qi = np.unique(qp["query_id"].to_numpy(), return_inverse=True)
-        dids, di = np.unique(dp["doc_id"].to_numpy(np.int64), return_inverse=True)
-        codes, uniq = pd.factorize(pd.concat([qp["term"], dp["term"]], ignore_index=True))
-        nt = len(uniq)
-        qc, dc = codes[:len(qp)], codes[len(qp):]
-        qo, do = np.argsort(qc, kind="stable"), np.argsort(dc, kind="stable")
-        qc, qi, qw = qc[qo], qi[qo], qp["w"].to_numpy(np.float64)[qo]
-        dc, di, dw = dc[do], di[do], dp["w"].to_numpy(np.float64)[do]
-        # L2 norms: every posting of a query/doc is in this block, unless its weights came divided
-        if not unit_queries:
-            qw = qw / np.sqrt(np.bincount(qi, weights=qw * qw))[qi]
-        if not unit_docs:
-            dw = dw / np.sqrt(np.bincount(di, weights=dw * dw))[di]
+    def score_queries(nt, qids, qc, qi, qw, doc_slices):
+        """Best documents of the block for some of its queries: each slice keeps its own top-k, merged (exact)."""
         q_cnt = np.bincount(qc, minlength=nt)
         q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
-        nq, nd = len(qids), len(dids)
-        # Score the doc block in slices so memory stays ~ slice_entries doubles;
-        # each slice keeps its own top-k, merged below (exact).
-        step = max(1, slice_entries // nq)
-        parts = []
-        for s0 in range(0, nd, step):
-            m = (di >= s0) & (di < s0 + step)
-            ns = min(step, nd - s0)
-            sc = slice_scores(nq, nt, qc, qi, qw, q_cnt, q_start, dc[m], di[m] - s0, dw[m], ns)
-            parts.append(top_rows(sc, qids, dids[s0:s0 + ns], k))
-        qrow = np.concatenate([p[0] for p in parts])
-        drow = np.concatenate([p[1] for p in parts])
-        srow = np.concatenate([p[2] for p in parts])
+        parts = [top_rows(slice_scores(len(qids), nt, qc, qi, qw, q_cnt, q_start, dc, di, dw, len(dids)), qids, dids, k)
+                 for dids, dc, di, dw in doc_slices]
+        qrow, drow, srow = (np.concatenate(x) for x in zip(*parts))
         if len(parts) > 1:
             order = np.lexsort((drow, -np.round(srow, order_decimals), qrow))
             qrow, drow, srow = qrow[order], drow[order], srow[order]
-            rank = np.arange(len(qrow)) - np.searchsorted(qrow, qrow, side="left")
-            keep = rank < k
+            keep = np.arange(len(qrow)) - np.searchsorted(qrow, qrow, side="left") < k
             qrow, drow, srow = qrow[keep], drow[keep], srow[keep]
-        return pd.DataFrame({"query_id": qids[qrow], "doc_id": drow, "score": srow})
+        return qids[qrow], drow, srow
+
+    def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": qp["query_id"].iloc[:0], "doc_id": pd.Series([], dtype="int64"),
+                              "score": pd.Series([], dtype="float64")})
+        terms = dp["code"].to_numpy(np.int64) != norm_code
+        if qp.empty or not terms.any():
+            return empty
+        dids, di = np.unique(dp["doc_id"].to_numpy(np.int64)[terms], return_inverse=True)
+        dw = dp["w"].to_numpy(np.float64)[terms]
+        if not terms.all():  # divide the norms out
+            ids, norms = dp["doc_id"].to_numpy(np.int64)[~terms], dp["w"].to_numpy(np.float64)[~terms]
+            order = np.argsort(ids)
+            dw = dw / norms[order][np.searchsorted(ids[order], dids)][di]
+        uniq, dc = np.unique(dp["code"].to_numpy(np.int64)[terms], return_inverse=True)
+        nt = len(uniq)
+        codes = qp["code"].to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(uniq, codes), nt - 1)
+        met = uniq[at] == codes
+        qids, qi = np.unique(qp["query_id"].to_numpy()[met], return_inverse=True)
+        qc, qw = at[met], qp["w"].to_numpy(np.float64)[met]
+        if not len(qids):
+            return empty
+        # Both sides are cut into slices, postings sorted by (slice, term), so that memory stays ~ slice_entries doubles.
+        nq = min(len(qids), slice_queries)
+        nd = max(1, min(len(dids), slice_entries // nq))
+
+        def cut(n, size, c, i, w):
+            order = np.lexsort((c, i // size))
+            c, i, w = c[order], i[order], w[order]
+            edges = np.searchsorted(i // size, np.arange(-(-n // size) + 1))
+            return [(lo * size, slice(edges[lo], edges[lo + 1])) for lo in range(len(edges) - 1)], c, i, w
+
+        q_cuts, qc, qi, qw = cut(len(qids), nq, qc, qi, qw)
+        d_cuts, dc, di, dw = cut(len(dids), nd, dc, di, dw)
+        doc_slices = [(dids[lo:lo + nd], dc[m], di[m] - lo, dw[m]) for lo, m in d_cuts]
+        found = [score_queries(nt, qids[lo:lo + nq], qc[m], qi[m] - lo, qw[m], doc_slices) for lo, m in q_cuts]
+        ids, docs, scores = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"query_id": ids, "doc_id": docs, "score": scores})
     return fn
 
 
-def block_sides(index: TfidfIndex, query_postings: DataFrame, q_blocks: int, c_blocks: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(query postings, document postings, are both normalised?) with the blocks (qb, cb) that each is sent to.
+def block_sides(index: TfidfIndex, query_postings: DataFrame, q_blocks: int,
+                c_blocks: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(normalised query postings, document postings, document norms) with the blocks (qb, cb) that each is sent to;
+    no norms if the documents' weights are divided by them already.
 
-    With one query block every posting goes to one block pair a side anyway, and norms are taken in the task. With
-    more, a posting is sent only where its term is met: a document's posting to the query blocks that have the
-    term, a query's posting to the document blocks that have it. A product needs both, so no score changes; norms,
-    for which a task then lacks postings, are divided out before.
+    A posting is sent only where its term is met: a document's posting to the query blocks that have the term, a
+    query's posting to the document blocks that have it. A product needs both, so no score changes. The documents'
+    norms, for which a task then lacks postings, go to it as rows of their own: postings stay as they lie, by
+    term, until they are dealt to the blocks.
     """
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    whole = q_blocks == 1
-    queries = query_postings if whole else _normalise(query_postings, "query_id")
-    documents = index.postings if whole else index.normalised()
-    qp = queries.select(F.col("query_id").cast("string"), "term", "w").withColumn("qb", block("query_id", q_blocks))
-    dp = documents.select(F.col("doc_id").cast("long"), "term", "w").withColumn("cb", block("doc_id", c_blocks))
-    if whole:
-        return qp.withColumn("cb", every(c_blocks)), dp.withColumn("qb", every(q_blocks)), False
+    qp = _normalise(query_postings, "query_id").select("query_id", "term", "w").withColumn("qb", block("query_id", q_blocks))
+    dp = index.postings.select(F.col("doc_id").cast("long"), "term", "w").withColumn("cb", block("doc_id", c_blocks))
+
     def meet(side, keep, other, b):  # renamed throughout: each side's blocks come from the other
         there = other.select(F.col("term").alias("_term"), F.col(b).alias("_block")).distinct()
         return (side.join(there, F.col("term") == F.col("_term"))
                 .select(F.col(keep[0]).alias(keep[0]), F.col("term").alias("term"), F.col("w").alias("w"),
                         F.col(keep[1]).alias(keep[1]), F.col("_block").alias(b)))
-    return meet(qp, ("query_id", "qb"), dp, "cb"), meet(dp, ("doc_id", "cb"), qp, "qb"), True
+    norms = None
+    if not index.unit_docs:
+        norms = (dp.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w"))
+                 .withColumn("cb", block("doc_id", c_blocks)).withColumn("qb", every(q_blocks)))
+    return meet(qp, ("query_id", "qb"), dp, "cb"), meet(dp, ("doc_id", "cb"), qp, "qb"), norms
 
 
-def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, k: int, n_queries: int,
+def blocked_top_k(index: TfidfIndex, query_postings: DataFrame, codes: DataFrame, k: int, n_queries: int,
                   n_docs: int) -> DataFrame:
-    """Exact top-k cosine per query (pairs sharing no term are not scored)."""
+    """Exact top-k cosine per query (pairs sharing no term are not scored).
+
+    ``codes``: a number (``code``) for every term of the queries, from a table that stays as it is when read again.
+    """
     q_blocks, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK,
                                       3 * query_postings.sparkSession.sparkContext.defaultParallelism)
-    qp, dp, normalised = block_sides(index, query_postings, q_blocks, c_blocks)
+    qp, dp, norms = block_sides(index, query_postings, q_blocks, c_blocks)
+    qp, dp = (side.join(codes, "term").select(id_col, "code", "w", "qb", "cb") for side, id_col in ((qp, "query_id"), (dp, "doc_id")))
+    if norms is not None:
+        dp = dp.unionByName(norms.withColumn("code", F.lit(NORM_CODE).cast("long")))
     qp, dp = block_partitions(qp, dp, q_blocks * c_blocks)
-    score = _block_top_k(k, index.unit_docs or normalised, normalised)
-    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(score, SCORE_SCHEMA)
+    schema = f"query_id {query_postings.schema['query_id'].dataType.simpleString()}, doc_id long, score double"
+    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInPandas(_block_top_k(k), schema)
     return top_k(local, k)
 
 
@@ -274,11 +300,14 @@ def search(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str, k:
     """
     if n_docs is None:
         n_docs = index.postings.select("doc_id").distinct().count()
-    distinct = (queries.select(F.col(text_col).alias("_qtext")).where(F.col("_qtext").isNotNull())
-                .distinct().withColumn("_qkey", F.sha2(F.col("_qtext"), 256)))
-    qp = transform_queries(index, distinct, "_qkey", "_qtext")
+    # Numbered once and written: distinct texts, the terms that they have, and their counts are as small as the queries.
+    distinct = cut_lineage(queries.select(F.col(text_col).alias("_qtext")).where(F.col("_qtext").isNotNull()).distinct()
+                           .withColumn("_qid", F.monotonically_increasing_id()))
+    counts = cut_lineage(term_counts(distinct, "_qid", "_qtext").withColumnRenamed("doc_id", "query_id"))
+    codes = cut_lineage(counts.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
     if n_queries is None:
         n_queries = distinct.count()
-    ranked = blocked_top_k(index, qp, k, n_queries, n_docs).withColumnRenamed("query_id", "_qkey")
+    ranked = blocked_top_k(index, weigh_queries(index, counts), codes, k, n_queries, n_docs).withColumnRenamed("query_id", "_qid")
+    keys = distinct.select("_qid", F.sha2("_qtext", 256).alias("_qkey"))
     return (queries.select(F.col(id_col).alias("query_id"), F.sha2(F.col(text_col), 256).alias("_qkey"))
-            .join(ranked, "_qkey").drop("_qkey"))
+            .join(ranked.join(keys, "_qid").drop("_qid"), "_qkey").drop("_qkey"))

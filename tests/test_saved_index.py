@@ -105,6 +105,20 @@ def test_many_query_blocks_send_postings_where_their_terms_are(spark, monkeypatc
     assert q.count() < 8 * tfidf.transform_queries(index, queries, "q", "t").count()
 
 
+def test_one_query_block_sends_only_postings_of_the_queries_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"shared own{i} more{i} words{i}") for i in range(30)] + [(40, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"shared own{i}") for i in range(20)] + [(50, "nothing"), (51, None)], "q long, t string")
+    index = tfidf.build_index(docs, "doc_id", "text")
+    _, sent, norms = tfidf.block_sides(index, tfidf.transform_queries(index, queries, "q", "t"), 1, 4)
+    assert sent.count() == 30 + 20 and norms.count() == 30  # all 120 postings were sent before
+    assert tfidf.block_counts(90_000, 350_000, tfidf.MAX_QUERY_BLOCK, tfidf.MAX_DOC_BLOCK, 36)[0] == 1  # 23 copies of them before
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 8), r["rank"]) for r in df.collect())
+    want = rows(tfidf.top_k(tfidf.cosine_scores(index, tfidf.transform_queries(index, queries, "q", "t")), 3))
+    monkeypatch.setattr(tfidf, "SLICE_QUERIES", 3)
+    monkeypatch.setattr(tfidf, "SLICE_ENTRIES", 12)
+    assert rows(tfidf.search(index, queries, "q", "t", k=3)) == want and len(want) == 60
+
+
 def directory(spark):
     rows = [(i, f"N{i}", f"98{i}", ["Chennai", "Madurai", "Delhi"][i % 3], ["Criminal", "Civil"][i % 2], float(i)) for i in range(9)]
     return spark.createDataFrame(rows, "lawyer_id long, name string, mobile string, location string, practice_area string, "
