@@ -27,6 +27,7 @@ from civicflow.session import cut_lineage
 DEFAULT_MAX_BROADCAST = 20_000
 MAX_PATTERN_BYTES = 4 << 20  # of all patterns of an automaton: some 100 bytes of a task's memory each
 DEFAULT_SALT = 16
+FEW_SEARCHES = 64  # so many search terms at most are tried on every row as it is read
 Q = 3
 
 
@@ -139,11 +140,20 @@ def like_escape(q: Column) -> Column:
 def search_hits(items: DataFrame, item_cols: list[str], queries: DataFrame, query_col: str,
                 salt: int = DEFAULT_SALT) -> DataFrame:
     """Rows of ``items`` where any of ``item_cols`` ILIKE '%q%', per query
-    q (lowercased; empty queries refused). Output: item columns + ``query``."""
-    qs = (queries.select(F.lower(F.col(query_col)).alias("query")).where(F.col("query") != "")
-          .dropDuplicates(["query"]).withColumn("grams", pattern_grams(F.split("query", "[%_]"))))
+    q (lowercased; empty queries refused). Output: item columns + ``query``.
+
+    A few searches are tried on each row where it is read, without a shuffle; more go through the q-gram index."""
+    terms = queries.select(F.lower(F.col(query_col)).alias("query")).where(F.col("query") != "").dropDuplicates(["query"])
+    few = [r["query"] for r in terms.limit(FEW_SEARCHES + 1).collect()]
+    if 0 < len(few) <= FEW_SEARCHES and "query" not in items.columns:
+        met = [F.when(_any_like(item_cols, F.lit(q)), F.lit(q)) for q in few]
+        return items.withColumn("query", F.explode(F.filter(F.array(*met), lambda q: q.isNotNull())))
+    qs = terms.withColumn("grams", pattern_grams(F.split("query", "[%_]")))
     rows = cut_lineage(items.withColumn("_item", F.monotonically_increasing_id()))  # numbers that stay once written
     met = candidates(rows, ["_item"], [F.lower(F.col(c)) for c in item_cols], qs, "query", salt)
-    pattern = F.concat(F.lit("%"), like_escape(F.col("query")), F.lit("%"))
-    cond = reduce(lambda a, b: a | b, [F.coalesce(F.ilike(F.col(c), pattern), F.lit(False)) for c in item_cols])
-    return rows.join(met, "_item").where(cond).drop("_item")
+    return rows.join(met, "_item").where(_any_like(item_cols, F.col("query"))).drop("_item")
+
+
+def _any_like(item_cols: list[str], query: Column) -> Column:
+    pattern = F.concat(F.lit("%"), like_escape(query), F.lit("%"))
+    return reduce(lambda a, b: a | b, [F.coalesce(F.ilike(F.col(c), pattern), F.lit(False)) for c in item_cols])

@@ -119,6 +119,32 @@ def test_one_query_block_sends_only_postings_of_the_queries_terms(spark, monkeyp
     assert rows(tfidf.search(index, queries, "q", "t", k=3)) == want and len(want) == 60
 
 
+def test_few_searches_move_no_rows(spark, monkeypatch):
+    from civicflow.operators import containment
+    items = spark.createDataFrame([(1, "Red anvil", "x"), (1, "Red anvil", "x"), (2, None, "SM_ALL%"), (3, "back\\slash", None), (4, None, None)],
+                                  "id long, a string, b string")
+    searches = spark.createDataFrame([(q,) for q in ("red", "RED", "l_", "%", "", None, "\\", "none")], "q string")
+    found = lambda: containment.search_hits(items, ["a", "b"], searches, "q")
+    rows = lambda df: sorted(map(str, df.select("id", "a", "b", "query").collect()))
+    assert "Exchange" not in found()._jdf.queryExecution().sparkPlan().toString() and "Join" not in found()._jdf.queryExecution().sparkPlan().toString()
+    few = rows(found())
+    monkeypatch.setattr(containment, "FEW_SEARCHES", 0)
+    assert rows(found()) == few and len(few) == 2 + 2 + 4 + 1
+
+
+def test_a_key_is_drawn_by_one_task(spark, tmp_path):
+    from civicflow.operators.keys import KeyTable
+    sc = spark.sparkContext
+    sc.setJobGroup("keys-test", "one key")
+    try:
+        KeyTable(spark, str(tmp_path / "keys")).add_version(1)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("keys-test") for s in told.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) == 1
+
+
 def directory(spark):
     rows = [(i, f"N{i}", f"98{i}", ["Chennai", "Madurai", "Delhi"][i % 3], ["Criminal", "Civil"][i % 2], float(i)) for i in range(9)]
     return spark.createDataFrame(rows, "lawyer_id long, name string, mobile string, location string, practice_area string, "
