@@ -37,7 +37,7 @@ class KeyTable:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([os.urandom(n_bytes) for _ in range(batch.num_rows)], pa.binary())],
                                                  names=["version", "key"])
 
-        one = self.spark.range(1).select(F.lit(version).alias("version"))
+        one = self.spark.range(0, 1, 1, 1).select(F.lit(version).alias("version"))
         return self.table.append(one.mapInArrow(draw, KEYS), version)
 
     def newest(self) -> int:
