@@ -8,8 +8,10 @@ vocabulary's word mark. All units of a chunk are handled together, one step of l
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 
 TOKENIZERS = "/opt/tokenizers"  # default folder of the public vocabulary files
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +31,16 @@ class Vocabulary:
     slots: list[np.ndarray]
     longest: int
     crossed: np.ndarray  # (byte, next byte): do they stand side by side in a piece?
+    first: np.ndarray    # node of each byte
+    second: np.ndarray   # node of each byte and next byte
+
+    inner: np.ndarray    # has a node children?
+
+    @cached_property
+    def pieces(self) -> pa.Array:
+        """The bytes of every id."""
+        buffers = [None, pa.py_buffer(self.offsets.astype(np.int32).tobytes()), pa.py_buffer(self.data.tobytes())]
+        return pa.Array.from_buffers(pa.binary(), self.size, buffers)
 
     @property
     def size(self) -> int:
@@ -42,12 +54,14 @@ class Vocabulary:
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The child of each node by its byte, -1 where there is none."""
-        key = (node.astype(np.uint64) << np.uint64(8)) | byte.astype(np.uint64)
-        out = np.full(len(key), -1, np.int64)
+        key = (node << 8 | byte).view(np.uint64)
+        out, rest = np.full(len(key), -1, np.int64), np.arange(len(key))
         for salt, table in enumerate(self.slots):
             at = table[_place(key, salt, len(table))]
             hit = self.keys[at] == key
-            out[hit] = self.children[at[hit]]
+            out[rest[hit]] = self.children[at[hit]]
+            more = np.flatnonzero(~hit & (at < len(self.keys) - 1))  # only a key whose slot another one took stands in the next
+            key, rest = key[more], rest[more]
         return out
 
 
@@ -100,8 +114,15 @@ def build_vocabulary(texts: list[bytes], usable: list[int], byte_ids: np.ndarray
         slots.append(table)
         rest = rest[table[place] != rest]
         size = max(1 << 10, size >> 3)
+    first, second = np.full(256, -1, np.int64), np.full((256, 256), -1, np.int64)
+    for byte in range(256):
+        first[byte] = trie.get(byte, -1)
+        if first[byte] >= 0:
+            second[byte] = [trie.get(int(first[byte]) << 8 | after, -1) for after in range(256)]
+    inner = np.zeros(len(piece_of), bool)
+    inner[[key >> 8 for key in trie]] = True
     return Vocabulary(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]),
-                      byte_ids, keys, children, np.array(piece_of), slots, max(map(len, texts)), crossed)
+                      byte_ids, keys, children, np.array(piece_of), slots, max(map(len, texts)), crossed, first, second, inner)
 
 
 _CHAR_BYTES = np.ones(256, np.int64)
@@ -127,28 +148,33 @@ def build_lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Latti
     end = offsets[1:][unit] if n else np.zeros(0, np.int64)
     one_char = np.minimum(_CHAR_BYTES[data], end - np.arange(n))
     covered = np.zeros(n, bool)
-    at, node = np.arange(n), np.zeros(n, np.int64)
-    src, length, piece = [], [], []
+    at, node, left = np.arange(n), v.first[data], end - np.arange(n)
+    number, found = np.zeros(n, np.int64), []
     for k in range(1, v.longest + 1):
-        live = at + k <= end[at]
-        at, node = at[live], node[live]
-        if not len(at):
+        if k > 1:
+            live = np.flatnonzero(v.inner[node] & (left >= k))
+            at, left = at[live], left[live]
+            node = v.second[data[at], data[at + 1]] if k == 2 else v.step(node[live], data[at + k - 1])
+        live = np.flatnonzero(node >= 0)
+        if not len(live):
             break
-        node = v.step(node, data[at + k - 1])
-        at, node = at[node >= 0], node[node >= 0]
+        at, node, left = at[live], node[live], left[live]
         got = v.piece_of[node]
-        here = at[got >= 0]
-        src.append(here)
-        length.append(np.full(len(here), k))
-        piece.append(got[got >= 0])
-        covered[here[one_char[here] == k]] = True
+        whole = np.flatnonzero(got >= 0)
+        here = at[whole]
+        number[here] += 1
+        found.append((here, k, got[whole]))
+        if k <= 4:  # no character has more bytes
+            covered[here[one_char[here] == k]] = True
     bare = np.flatnonzero(~covered)
-    src.append(bare)
-    length.append(one_char[bare])
-    piece.append(np.full(len(bare), -1))
-    src, length, piece = (np.concatenate(x[::-1]) for x in (src, length, piece))  # long pieces first
-    order = np.argsort(src, kind="stable")
-    src, length, piece = src[order], length[order], piece[order]
+    number[bare] += 1
+    found.append((bare, one_char[bare], -1))
+    place = np.cumsum(number) - number  # of each byte's next edge
+    src = np.repeat(np.arange(n), number)
+    length, piece = np.empty(len(src), np.int64), np.empty(len(src), np.int64)
+    for here, size, ids in found[::-1]:  # long pieces first
+        length[place[here]], piece[place[here]] = size, ids
+        place[here] += 1
     numbers = np.arange(len(offsets) - 1)
     return Lattice(src + unit[src], src + unit[src] + length, piece, offsets[:-1] + numbers, offsets[1:] + numbers,
                    src - offsets[:-1][unit[src]], end[src] - src)
@@ -156,8 +182,9 @@ def build_lattice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Latti
 
 def by_step(step: np.ndarray) -> list[np.ndarray]:
     """Edge numbers grouped by ``step``, ascending."""
-    order = np.argsort(step, kind="stable")
-    cuts = np.searchsorted(step[order], np.arange(step.max(initial=-1) + 2))
+    most = step.max(initial=-1)
+    order = np.argsort(step.astype(np.uint16) if most < 1 << 16 else step, kind="stable")  # two bytes: sorted by digits
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=most + 1))])
     return [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
@@ -176,8 +203,9 @@ def backward(lat: Lattice, weight: np.ndarray) -> np.ndarray:
     beta[lat.last_node] = 1
     for e in by_step(lat.to_end):
         if len(e):
-            starts = np.flatnonzero(np.append(True, lat.src[e][1:] != lat.src[e][:-1]))
-            beta[lat.src[e][starts]] = np.add.reduceat(weight[e] * beta[lat.dst[e]], starts, axis=0)
+            src = lat.src[e]
+            starts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+            beta[src[starts]] = np.add.reduceat(weight[e] * beta[lat.dst[e]], starts, axis=0)
     return beta
 
 
@@ -187,6 +215,7 @@ def log_backward(lat: Lattice, log_weight: np.ndarray) -> np.ndarray:
     beta[lat.last_node] = 0
     for e in by_step(lat.to_end):
         if len(e):
-            starts = np.flatnonzero(np.append(True, lat.src[e][1:] != lat.src[e][:-1]))
-            beta[lat.src[e][starts]] = np.logaddexp.reduceat(log_weight[e] + beta[lat.dst[e]], starts)
+            src = lat.src[e]
+            starts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+            beta[src[starts]] = np.logaddexp.reduceat(log_weight[e] + beta[lat.dst[e]], starts)
     return beta

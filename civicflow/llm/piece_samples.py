@@ -139,7 +139,8 @@ class ChunkSampler:
         beta = log_backward(lat, log_w)
         self.lat, self.log_chance = lat, np.minimum(log_w + beta[lat.dst] - beta[lat.src], 0)
         self.chance = np.exp(self.log_chance)
-        self.edge_ptr = np.searchsorted(self.lat.src, np.arange(lat.last_node.max(initial=-1) + 2))
+        nodes = lat.last_node.max(initial=-1) + 1
+        self.edge_ptr = np.concatenate([[0], np.cumsum(np.bincount(lat.src, minlength=nodes))])
         total = np.concatenate([[0], np.cumsum(self.chance)])
         self.upto = total[1:] - total[self.edge_ptr[self.lat.src]]
         self.upto[self.edge_ptr[1:][np.diff(self.edge_ptr) > 0] - 1] = 2  # the last edge takes what is left
@@ -156,23 +157,24 @@ class ChunkSampler:
         """Free draws from ``nodes`` to the end of each unit: (edges one unit after another, start of each)."""
         keys, goal = self.keys[self.row[units]], self.lat.last_node[self.unit[units]]
         base = self.begin[units] - self.lat.first_node[self.unit[units]]
-        live, node = np.flatnonzero(nodes < goal), nodes.copy()
+        live = np.flatnonzero(nodes < goal)
         steps, number = [], np.zeros(len(units), np.int64)
+        here, keys, goal, base = nodes[live], keys[live], goal[live], base[live]
         while len(live):
-            here = node[live]
-            u = uniform(keys[live], sample, base[live] + here)
+            u = uniform(keys, sample, base + here)
             edge = self.edge_ptr[here]
             open_ = np.flatnonzero(u >= self.upto[edge])
             while len(open_):
                 edge[open_] += 1
                 open_ = open_[u[open_] >= self.upto[edge[open_]]]
-            steps.append((live, number[live], edge))
+            steps.append((live, edge))
             number[live] += 1
-            node[live] = self.lat.dst[edge]
-            live = live[node[live] < goal[live]]
+            here = self.lat.dst[edge]
+            on = np.flatnonzero(here < goal)
+            live, here, keys, goal, base = live[on], here[on], keys[on], goal[on], base[on]
         starts = np.concatenate([[0], np.cumsum(number)])
         edges = np.empty(starts[-1], np.int64)
-        for who, nth, edge in steps:
+        for nth, (who, edge) in enumerate(steps):
             edges[starts[who] + nth] = edge
         return edges, starts
 
@@ -184,17 +186,23 @@ class ChunkSampler:
         log_p = np.add.reduceat(np.append(self.log_chance[edges], 0.0), np.minimum(starts[:-1], len(edges)))
         log_p[starts[:-1] == starts[1:]] = 0
         upto = np.cumsum(log_p)
-        rows, head = np.unique(row_of, return_index=True)
+        head = np.flatnonzero(np.append(True, row_of[1:] != row_of[:-1]))
+        size = np.diff(np.append(head, len(row_of)))
+        nth = np.repeat(np.arange(len(head)), size)
         ahead = upto - log_p
-        ahead += (before - ahead[head])[np.searchsorted(rows, row_of)]
+        ahead += np.repeat(before - ahead[head], size)
         mass = ahead + log_rest(log_p)
-        value = gumbel_below(mass, bound[np.searchsorted(rows, row_of)],
-                             uniform(self.keys[row_of], sample + 1000, self.begin[units]))
-        possible = np.flatnonzero(mass > -np.inf)
-        order = possible[np.lexsort((-value[possible], row_of[possible]))]
-        r = row_of[order]
-        best = np.arange(len(r)) - np.searchsorted(r, r) < k
-        return r[best], value[order][best], order[best], ahead, log_p
+        value = gumbel_below(mass, np.repeat(bound, size), uniform(self.keys[row_of], sample + 1000, self.begin[units]))
+        left, best = np.where(mass > -np.inf, value, -np.inf), []
+        for _ in range(k):  # each row's greatest, the first of equal ones
+            at = np.flatnonzero((left == np.repeat(np.maximum.reduceat(left, head), size)) & (left > -np.inf))
+            if not len(at):
+                break
+            best.append(at[np.append(True, nth[at[1:]] != nth[at[:-1]])])
+            left[best[-1]] = -np.inf
+        best = np.concatenate(best) if best else np.zeros(0, np.int64)
+        best = best[np.argsort(nth[best], kind="stable")]
+        return row_of[best], value[best], best, ahead, log_p
 
     def samples(self, k: int) -> list[list[Path]]:
         """Up to ``k`` paths a row, and after them the (k + 1)-th perturbed value as ``self.kappa``."""
@@ -293,7 +301,8 @@ class ChunkSampler:
 
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of piece ids: their bytes without the first blank."""
-    return gather_spans(v.data, v.offsets[:-1][ids], v.offsets[1:][ids])[0].tobytes()[1:]
+    found = v.pieces.take(pa.array(ids)).buffers()[2]
+    return found.to_pybytes()[1:] if found is not None else b""
 
 
 def sampled_rows(v: Vocabulary, weights: np.ndarray, column, row_ids, k: int, seed: int):

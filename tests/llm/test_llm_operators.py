@@ -1,5 +1,6 @@
 """The ten operators against brute force, and their defined results on awkward rows."""
 
+import dataclasses
 import itertools
 import random
 import re
@@ -458,6 +459,35 @@ def test_long_units_keep_the_whole_lattice():
     assert set(run) & set(drawn)
 
 
+def test_lattice_steps_look_at_rows_that_may_go_on_only():
+    """Edges stand as in a plain search of the pieces; a trie node without children is not looked up again."""
+    v = lattice.load_vocabulary()
+    pieces = {x: i for i, x in enumerate(v.pieces.to_pylist()) if i not in set(v.byte_ids.tolist()) and x}
+    units = [b" the", "日本語 naïve".encode(), b"x", b"  12345", "😀z".encode(), b""]
+    data, offsets = np.frombuffer(b"".join(units), np.uint8), np.cumsum([0, *map(len, units)])
+    looked = []
+
+    class Counted(lattice.Vocabulary):
+        def step(self, node, byte):
+            looked.extend(self.inner[node].tolist())
+            return super().step(node, byte)
+
+    lat = lattice.build_lattice(Counted(**{f.name: getattr(v, f.name) for f in dataclasses.fields(v)}),
+                                data, offsets)
+    want = []
+    for u, (unit, first) in enumerate(zip(units, (offsets[:-1] + np.arange(len(units))).tolist())):
+        for i in range(len(unit)):
+            ends = [j for j in range(len(unit), i, -1) if unit[i:j] in pieces]
+            size = min({0xC: 2, 0xD: 2, 0xE: 3, 0xF: 4}.get(unit[i] >> 4, 1), len(unit) - i)
+            bare = [] if i + size in ends else [(first + i, first + i + size, -1)]
+            want += bare + [(first + i, first + j, pieces[unit[i:j]]) for j in ends]
+    assert list(zip(lat.src.tolist(), lat.dst.tolist(), lat.piece.tolist())) == want
+    assert looked and all(looked)
+    ids = np.array([i for i in range(v.size) if i % 97 == 0])
+    assert piece_samples.decode(v, ids) == b"".join(v.pieces.to_pylist()[i] for i in ids)[1:]
+    assert piece_samples.decode(v, ids[:0]) == b""
+
+
 def test_query_draws_three_samples_a_document(spark):
     got = piece_samples.op7_piece_samples(spark, "/root/testdata/sf0.001").where(F.col("n_pieces") > 20)
     assert {r[0] for r in got.groupBy("doc_id").count().select("count").distinct().collect()} == {3}
