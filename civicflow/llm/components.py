@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from civicflow.llm.frames import stored
+from civicflow.llm.frames import files_for, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,22 +29,25 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("u") > F.col("v")).distinct()
 
 
-def _stored_with_state(links: DataFrame) -> tuple[DataFrame, tuple]:
+def _stored_with_state(links: DataFrame, files: int | None = None) -> tuple[DataFrame, tuple]:
     """The links written out, with their number and a checksum taken while writing."""
     seen = Observation()
     h = F.xxhash64("u", "v")
     out = stored(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
-                               F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")))
+                               F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")), files)
     return out, tuple(seen.get[k] for k in ("n", "x", "s"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, comp): every id of a link with the smallest id reachable from it. Null and self links are ignored."""
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
+    """(id, comp): every id of a link with the smallest id reachable from it. Null and self links are ignored.
+
+    ``files``: of the links as they are first written; later ones follow the number of links.
+    """
     edges, state = _stored_with_state(links.where(F.col(a) != F.col(b))
-                                      .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+                                      .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), files)
     while state[0]:
         before = state
-        edges, state = _stored_with_state(_star(_star(edges, True), False))
+        edges, state = _stored_with_state(_star(_star(edges, True), False), files_for(edges.sparkSession, state[0]))
         if state == before:
             break
     return (edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))

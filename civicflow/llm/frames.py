@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from civicflow.session import ensure_checkpoint_dir
 
+FILE_ROWS, FILE_BYTES = 4000, 2 << 20  # what makes a stored file worth its while; more files than that are not needed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,13 +22,30 @@ def split_remainder(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod)).cast("int")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def files_for(spark: SparkSession, rows: int, size: int | None = None) -> int:
+    """Files that ``rows`` rows of ``size`` bytes in all are worth: at least some a core, so that no core waits."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS), -(-(size or 0) // FILE_BYTES))
+
+
+def in_files(df: DataFrame, files: int | None) -> DataFrame:
+    """``df`` written by at most ``files`` tasks (see ``files_for``) if that is below the number of shuffle partitions.
+
+    A file costs a few calls to its store (on a local one each is a process that the executor starts), which exceed
+    the work where a partition holds a few rows.
+    """
+    if files is None or files >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.coalesce(files)
+
+
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
     Cuts the lineage like ``checkpoint()``, but keeps columnar files with pruning, and the rows of a
-    recomputed task cannot change between two uses.
+    recomputed task cannot change between two uses. ``files``: see ``in_files``.
     """
     spark = df.sparkSession
+    df = in_files(df, files)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

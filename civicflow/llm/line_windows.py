@@ -156,17 +156,17 @@ def signed_windows(docs: DataFrame, id_col: str, text_col: str, fine: bool = Fal
 
 
 def covering_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False,
-                     groups: DataFrame | None = None) -> DataFrame:
-    """(id, key, covered): the numbers of each document's windows that are later occurrences."""
+                     groups: DataFrame | None = None, files: int | None = None) -> DataFrame:
+    """(id, key, covered): the numbers of each document's windows that are later occurrences. ``files``: see ``frames.in_files``."""
     signed = signed_windows(docs, id_col, text_col, fine)
     who = F.struct("id", "key")  # one document; or its group, or a number for documents that have none
     if groups is not None:
         named = groups.toDF("_of", "group").where(F.col("group").isNotNull()).distinct()
         signed = signed.join(named, F.col("id") == F.col("_of"), "left").withColumn("group", F.coalesce("group", F.xxhash64("key")))
         who = F.col("group")
-    signed = stored(signed.select("id", "key", "windows", who.alias("who")))
+    signed = stored(signed.select("id", "key", "windows", who.alias("who")), files)
     windows = signed.select("id", "key", "who", F.posexplode("windows").alias("at", "w")).select("id", "key", "who", "at", "w.h", "w.g")
-    counts = stored(windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    counts = stored(windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), files)
     total = signed.agg(F.sum(F.size("windows")).alias("n")).first()["n"] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = max(HOT_LEAST, total // (HOT * partitions))  # fewer than HOT * partitions windows can occur more often
@@ -217,12 +217,12 @@ def without_covered(text: pa.Array, covered: pa.Array, fine: bool) -> pa.StructA
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False,
-                          groups: DataFrame | None = None) -> DataFrame:
+                          groups: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """``docs`` with covered lines removed, plus ``_lines`` (number of lines) and ``_removed`` (of lines, or parts).
 
     Only texts with covered windows go through Python.
     """
-    covered = covering_windows(docs, id_col, text_col, fine, groups).select(
+    covered = covering_windows(docs, id_col, text_col, fine, groups, files).select(
         F.col("id").alias(_ID), F.col("key").alias(_KEY), F.col("covered").alias(_COVERED))
     text = F.col(text_col)
 

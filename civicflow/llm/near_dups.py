@@ -30,11 +30,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.llm.components import components
-from civicflow.llm.frames import stored, table
+from civicflow.llm.frames import files_for, stored, table
 from civicflow.llm.words import chunks, mix, odd_constants, run_hashes, text_buffer, word_hashes, word_spans
 
 SHINGLE = 5
@@ -236,42 +236,46 @@ def _block_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; a component's smallest id is kept."""
-    signed = stored(signatures(docs, id_col, text_col, threshold))
+    seen = Observation()
+    signed = stored(signatures(docs.select(id_col, text_col).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_col)).alias("size")), id_col, text_col, threshold))
+    # no more files than the documents are worth: frames of links are small, and many partitions of them hold a few rows
+    files = files_for(docs.sparkSession, seen.get["rows"], seen.get["size"])
     # a class: all rows with one set; its smallest id, and the text of one row with that id
     classes = (signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
                .groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.min_by("th", "id").alias("t")))
     reps = stored(signed.join(classes, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least")) & (F.col("th") == F.col("t")))
                   .dropDuplicates(["digest"])
                   .select(F.monotonically_increasing_id().alias("rep"), "digest", "id", "th",
-                          F.col("n_shingles").alias("size"), "bands", "sketch", "full"))
+                          F.col("n_shingles").alias("size"), "bands", "sketch", "full"), files)
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead0"),
                                         F.max("rep").alias("lead1")).where(F.col("n") > 1))
-    members = stored(keyed.join(buckets, "key"))  # buckets of at least two classes, with two leaders
+    members = stored(keyed.join(buckets, "key"), files)  # buckets of at least two classes, with two leaders
     # texts of classes that share a bucket: the one shuffle of texts, by merge join at every size
     wanted = (reps.select("rep", "id", "th").join(members.select("rep").distinct(), "rep")
               .select("rep", F.col("id").alias("of_id"), F.col("th").alias("of_th")))
     texts = stored(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
                    .join(wanted.hint("merge"), (F.col("doc") == F.col("of_id")) & (F.col("h") == F.col("of_th")))
-                   .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"))
+                   .dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"), files)
     sketches = reps.select("rep", "size", "sketch", "full")
     side = lambda x: sketches.select(F.col("rep").alias(x), F.col("size").alias(f"n{x}"),
                                      F.col("sketch").alias(f"s{x}"), F.col("full").alias(f"f{x}"))
     pairs = (members.select(F.explode(F.array("lead0", "lead1")).alias("l"), "rep").where(F.col("l") != F.col("rep"))
              .select(F.greatest("l", "rep").alias("b"), F.least("l", "rep").alias("a")).distinct())
-    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(threshold)).select("a", "b"))
-    links = stored(confirm(near, texts, threshold).unionByName(_shared_ids(signed, reps)))
+    near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(threshold)).select("a", "b"), files)
+    links = stored(confirm(near, texts, threshold).unionByName(_shared_ids(signed, reps)), files)
     # buckets of two were settled by their leader; others are compared on while they hold several components
-    comp = components(links).select(F.col("id").alias("c_rep"), "comp")
+    comp = components(links, files=files).select(F.col("id").alias("c_rep"), "comp")
     with_comp = (members.where(F.col("n") > 2).join(comp, F.col("rep") == F.col("c_rep"), "left")
                  .select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
     mixed = (with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
     rows = (with_comp.join(mixed, "key").join(sketches, "rep")
             .select("key", F.col("rep").alias("id"), "comp", "sketch", "full", "size", "n"))
-    rest = stored(_block_pairs(rows, threshold).join(near, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(confirm(rest, texts, threshold)))
-    comp = stored(components(links).select(F.col("id").alias("c_rep"), "comp"))
+    rest = stored(_block_pairs(rows, threshold).join(near, ["a", "b"], "left_anti"), files)
+    links = stored(links.unionByName(confirm(rest, texts, threshold)), files)
+    comp = stored(components(links, files=files).select(F.col("id").alias("c_rep"), "comp"), files)
     least = (comp.join(reps.select("rep", "id"), F.col("c_rep") == F.col("rep")).groupBy(F.col("comp").alias("c"))
              .agg(F.min("id").alias("component")))
     linked = comp.join(least, F.col("comp") == F.col("c")).select("c_rep", "component")

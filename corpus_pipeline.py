@@ -15,13 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.llm import decontaminate, line_windows, near_dups, piece_samples, quality
-from civicflow.llm.frames import stored, table
+from civicflow.llm.frames import files_for, in_files, stored, table
 from civicflow.llm.lattice import load_vocabulary
 
 SAMPLES = 2  # segmentations of each document
 NEAR = (4, 5)  # near-duplicates: linked if 5 * intersection >= 4 * union
 
 
+def _files(docs: DataFrame) -> int:
+    """Files that the documents are worth: partitions of a few rows are written together."""
+    return files_for(docs.sparkSession, *docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first())
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives ``quality.CUT`` or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
@@ -36,18 +41,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tell the fragments that cutting would leave.
     """
     copies = near_dups.near_duplicates(docs, threshold=NEAR).select("doc_id", "component_id")
-    out = line_windows.remove_repeated_lines(docs, fine=True, groups=stored(copies))
+    files = _files(docs)
+    out = line_windows.remove_repeated_lines(docs, fine=True, groups=stored(copies, files), files=files)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     lost = (F.col("_removed") > 0) & (F.trim("text") == "")
-    return out.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns)
+    return in_files(out.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns), files)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate component."""
     dropped = near_dups.near_duplicates(docs, threshold=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    return in_files(docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti"), _files(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     hit = hit.select(F.col("id").alias("_hit"), F.col("key").alias("_hit_key"))
     text_key = F.unhex(F.md5(F.col("text").cast("binary")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & (text_key == hit["_hit_key"]), "left_anti")
+    return in_files(docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & (text_key == hit["_hit_key"]), "left_anti"), _files(docs))
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near copies through the pipeline's stages, rows that share ids, and long texts."""
 
+import pathlib
 import random
 import re
 import time
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from civicflow.llm import decontaminate, line_windows, near_dups, topk, words
+from civicflow.llm import decontaminate, frames, line_windows, near_dups, topk, words
 
 WORDS = [f"w{i}x" for i in range(3000)]
 DOCS = "doc_id long, text string"
@@ -159,3 +160,40 @@ def test_pipeline_tells_rows_without_an_id_apart(spark, tmp_path):
     kept = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)), str(tmp_path))
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted(
         (str(i), str(t)) for i, t in rows if t is None or item not in t) and kept.columns == ["doc_id", "text", "key"]
+
+
+def test_many_partitions_of_few_rows_are_written_in_few_files(spark, tmp_path):
+    """Each file a task writes costs the executor a few processes on a local store, so 150 partitions must not give 150."""
+    rng = random.Random(7)
+    docs = []
+    for i in range(400):
+        text = prose(rng, 60)
+        docs += [(2 * i, text), (2 * i + 1, text + " edited")]
+    docs += [(900, None), (901, ""), (902, docs[0][1])]
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    table = spark.createDataFrame(docs, DOCS).repartition(8)
+    expected = {tuple(r) for r in near_dups.near_duplicates(table).collect()}
+    lines = {tuple(r) for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
+    before = {k: spark.conf.get(k) for k in held}
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old = set(folder.glob("stored-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in near_dups.near_duplicates(table).collect()} == expected
+        cut = corpus_pipeline.line_dedup(spark, table, "")
+        cut.write.parquet(str(tmp_path / "out"))
+        assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == lines
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    written = [len(list(x.glob("part-*"))) for x in (*set(folder.glob("stored-*")) - old, tmp_path / "out")]
+    assert len(written) > 20 and max(written) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_files_follow_rows_and_bytes(spark):
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert frames.files_for(spark, 0) == least and frames.files_for(spark, 10, None) == least
+    assert frames.files_for(spark, 1_000_000) == 250 and frames.files_for(spark, 10, 1 << 30) == 512
+    df = spark.range(100).repartition(40)
+    assert frames.in_files(df, least) is df  # as many as the shuffle partitions or more: the plan stays
