@@ -134,11 +134,11 @@ def _key(text):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _items(benchmark: DataFrame, id_col: str, text_col: str, files: int | None = None) -> DataFrame:
     """(item, item_id, item_text): the distinct items, each with a number."""
     return stored(benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text"))
                   .where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct()
-                  .select(F.monotonically_increasing_id().alias("item"), "item_id", "item_text"))
+                  .select(F.monotonically_increasing_id().alias("item"), "item_id", "item_text"), files)
 
 
 def _seeds(items: DataFrame) -> DataFrame:
@@ -205,10 +205,10 @@ def shared_seed_pairs(docs: DataFrame, seeds: DataFrame, id_col: str, text_col:
 
 
 def tiled_coverage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, key, item_id, coverage, n_tiles, longest) of every pair that shares a seed."""
-    items = _items(benchmark, item_col, item_text)
-    pairs = stored(shared_seed_pairs(docs, _seeds(items), id_col, text_col))
+                   item_col: str = "item_id", item_text: str = "text", files: int | None = None) -> DataFrame:
+    """(id, key, item_id, coverage, n_tiles, longest) of every pair that shares a seed. ``files``: see ``frames.in_files``."""
+    items = _items(benchmark, item_col, item_text, files)
+    pairs = stored(shared_seed_pairs(docs, _seeds(items), id_col, text_col), files)
     named = pairs.join(items, "item").select("id", "key", "item_id", "item_text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), _key(text_col).alias("h"), F.col(text_col).alias("text"))
     texts = (texts.join(pairs.select("id", "key").distinct(), F.col("doc").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")))
@@ -232,9 +232,9 @@ def tiled_coverage(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  coverage: float = COVERAGE) -> DataFrame:
+                  coverage: float = COVERAGE, files: int | None = None) -> DataFrame:
     """One row a contaminated document: id and key, its most covered item (ties: smallest id) and that coverage."""
-    found = tiled_coverage(docs, benchmark, id_col, text_col).where(F.col("coverage") >= coverage)
+    found = tiled_coverage(docs, benchmark, id_col, text_col, files=files).where(F.col("coverage") >= coverage)
     best = found.groupBy("id", "key").agg(
         F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item_id"))).alias("best"),
         F.countDistinct("item_id").alias("n_items"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civicflow.session import ensure_checkpoint_dir
 
-FILE_ROWS, FILE_BYTES = 4000, 2 << 20  # what makes a stored file worth its while; more files than that are not needed
+FILE_ROWS, FILE_BYTES = 8000, 4 << 20  # what makes a stored file worth its while; more files than that are not needed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -23,8 +23,8 @@ def split_remainder(id_col: str, mod: int) -> Column:
 
 
 def files_for(spark: SparkSession, rows: int, size: int | None = None) -> int:
-    """Files that ``rows`` rows of ``size`` bytes in all are worth: at least some a core, so that no core waits."""
-    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS), -(-(size or 0) // FILE_BYTES))
+    """Files that ``rows`` rows of ``size`` bytes in all are worth: at least one a core, so that no core waits."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS), -(-(size or 0) // FILE_BYTES))
 
 
 def in_files(df: DataFrame, files: int | None) -> DataFrame:

@@ -58,10 +58,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    benchmark, files = table(spark, sf_dir, "benchmark", ["item_id", "text"]), _files(docs)
+    hit = decontaminate.contamination(docs, benchmark, files=max(files, _files(benchmark)))
     hit = hit.select(F.col("id").alias("_hit"), F.col("key").alias("_hit_key"))
     text_key = F.unhex(F.md5(F.col("text").cast("binary")))
-    return in_files(docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & (text_key == hit["_hit_key"]), "left_anti"), _files(docs))
+    return in_files(docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]) & (text_key == hit["_hit_key"]), "left_anti"), files)
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
