@@ -230,6 +230,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return without_covered(text, covered, fine)
 
     cut = F.arrow_udf(cut_lines, T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
+    cut = cut.asNondeterministic()  # else a caller's filter on the columns below cuts every text a second time
     hit = F.col(_COVERED).isNotNull()
     return (docs.join(covered, F.col(id_col).eqNullSafe(F.col(_ID)) & (_key(text) == F.col(_KEY)), "left")
             .withColumn(_CUT, cut(F.when(hit, text), F.col(_COVERED)))
