@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.frames import stored, table
+from civicflow.llm.frames import in_files, stored, table
 from civicflow.llm.words import chunks, mix, run_hashes, text_buffer, word_hashes, word_spans
 
 MIN_TILE = 5
@@ -136,9 +136,9 @@ def _key(text):
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, files: int | None = None) -> DataFrame:
     """(item, item_id, item_text): the distinct items, each with a number."""
-    return stored(benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text"))
-                  .where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct()
-                  .select(F.monotonically_increasing_id().alias("item"), "item_id", "item_text"), files)
+    items = (benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text"))
+             .where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct())
+    return stored(in_files(items, files).select(F.monotonically_increasing_id().alias("item"), "item_id", "item_text"))
 
 
 def _seeds(items: DataFrame) -> DataFrame:

@@ -31,11 +31,12 @@ def in_files(df: DataFrame, files: int | None) -> DataFrame:
     """``df`` written by at most ``files`` tasks (see ``files_for``) if that is below the number of shuffle partitions.
 
     A file costs a few calls to its store (on a local one each is a process that the executor starts), which exceed
-    the work where a partition holds a few rows.
+    the work where a partition holds a few rows. The rows are dealt anew: to coalesce would run the small partitions one
+    after another in a task, with the memory of all their sorts.
     """
     if files is None or files >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return df
-    return df.coalesce(files)
+    return df.repartition(files)
 
 
 def stored(df: DataFrame, files: int | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.llm.components import components
-from civicflow.llm.frames import files_for, stored, table
+from civicflow.llm.frames import files_for, in_files, stored, table
 from civicflow.llm.words import chunks, mix, odd_constants, run_hashes, text_buffer, word_hashes, word_spans
 
 SHINGLE = 5
@@ -244,10 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class: all rows with one set; its smallest id, and the text of one row with that id
     classes = (signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
                .groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.min_by("th", "id").alias("t")))
-    reps = stored(signed.join(classes, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least")) & (F.col("th") == F.col("t")))
-                  .dropDuplicates(["digest"])
+    reps = stored(in_files(signed.join(classes, (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least")) & (F.col("th") == F.col("t")))
+                           .dropDuplicates(["digest"]), files)
                   .select(F.monotonically_increasing_id().alias("rep"), "digest", "id", "th",
-                          F.col("n_shingles").alias("size"), "bands", "sketch", "full"), files)
+                          F.col("n_shingles").alias("size"), "bands", "sketch", "full"))
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead0"),
                                         F.max("rep").alias("lead1")).where(F.col("n") > 1))
