@@ -28,6 +28,8 @@ from civicflow.sources.readers import read_table
 
 NUM_FEATURES = 1 << 16
 HOLDOUT_BUCKETS = 10  # bucket 0 of 10 = 10 % validation
+PART_BYTES = 32 << 20  # of training text a partition: its term vectors take about three times as much memory
+PARTS_PER_CORE = 2
 
 
 def split(df: DataFrame, id_col: str, seed: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +73,16 @@ def text_classifier(text_col: str = "text", label_col: str = "label", max_iter:
     ])
 
 
+def training_parts(texts: DataFrame, text_col: str = "text") -> int:
+    """Partitions for training on ``texts``: as many as their bytes are worth, and equally many for each core. The
+    classifier reads its rows some thirty times, and each time waits for the largest partition."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return cores * max(PARTS_PER_CORE, -(-size // (PART_BYTES * cores)))
+
+
 def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                        max_iter: int = 25, reg: float = 0.01) -> PipelineModel:
+                        max_iter: int = 25, reg: float = 0.01, parts: int | None = None) -> PipelineModel:
     """The same model as ``text_classifier().fit(train)``, with each text
     tokenised once.
 
@@ -82,9 +92,12 @@ def fit_text_classifier(train: DataFrame, text_col: str = "text", label_col: str
     MEMORY_AND_DISK so large training sets spill instead of failing; a lost
     block is recomputed from its lineage. The IDF and the classifier are then
     fitted from that frame, and the fitted stages are assembled into one
-    PipelineModel for scoring.
+    PipelineModel for scoring. With ``parts`` (see ``training_parts``) the
+    texts are first dealt evenly: files and joins leave unlike partitions.
     """
     stages = _feature_stages(text_col)
+    if parts:
+        train = train.select(text_col, label_col).repartition(parts)
     for st in stages:  # all transformers: no data pass
         train = st.transform(train)
     tf = train.select(label_col, "_tf").persist(StorageLevel.MEMORY_AND_DISK)
@@ -112,7 +125,7 @@ def severity_job(spark: SparkSession, sf: str) -> DataFrame:
     labels = read_table(spark, sf, "labels", ["doc_id", "toxic"])
     data = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
     train, valid = split(data, "doc_id")
-    model = fit_text_classifier(train)
+    model = fit_text_classifier(train, parts=training_parts(docs))
     p = F.element_at(vector_to_array(F.col("probability")), 2)
     return (model.transform(valid)
             .select("doc_id", F.round(p, 6).alias("p_severe"), (p > F.lit(SEVERITY_GATE)).alias("is_severe")))
@@ -122,12 +135,13 @@ def complaint_type_job(spark: SparkSession, sf: str) -> DataFrame:
     """Multinomial classifier of a document's type (its language
     tag), labels numbered by first appearance and mapped back for output."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang"]).dropna(subset=["text", "lang"])
-    index = dense_index(first_appearance(docs, "lang", "doc_id"), "first_row", "label_id")
+    firsts = first_appearance(docs, "lang", "doc_id").cache()  # label-sized; counted before it is numbered
+    index = dense_index(firsts, "first_row", "label_id")
     index = index.cache()  # label-sized; used twice (both directions of the map)
     idx = broadcast_checked(index.select("lang", F.col("label_id").cast("double").alias("label")))
     data = docs.join(idx, "lang")
     train, valid = split(data, "doc_id")
-    model = fit_text_classifier(train)
+    model = fit_text_classifier(train, parts=training_parts(docs))
     back = broadcast_checked(index.select(F.col("label_id").cast("double").alias("prediction"),
                                           F.col("lang").alias("predicted_lang")))
     return (model.transform(valid).join(back, "prediction", "left")

@@ -69,6 +69,31 @@ def test_classifiers_score_after_an_observation(spark):
     assert all((r["p"] > 0.5) == (r["label"] > 0) for r in calibrated_model.score(data).collect())
 
 
+def test_classifier_trains_on_even_partitions(spark, tmp_path, monkeypatch):
+    """The classifier goes over its rows in every iteration: one large file among small ones is not one task's work."""
+    from civicflow.operators import models
+    words = {"en": "the rent is due", "de": "die miete ist hoch", "fr": "le loyer est cher"}
+    rows = [(i, f"{words[lang]} {i % 7} {i}", lang) for i in range(400) for lang in [sorted(words)[i % 3]]]
+    docs = spark.createDataFrame(rows + [(900, None, "en"), (901, "no language", None)], "doc_id long, text string, lang string")
+    path = str(tmp_path / "documents.parquet")
+    docs.where("doc_id < 370 or doc_id >= 900").coalesce(1).write.parquet(path)
+    docs.where("doc_id >= 370 and doc_id < 900").repartition(7).write.mode("append").parquet(path)
+    seen, fit = [], models.IDF.fit
+
+    def counted(self, tf):
+        seen.extend(r["count"] for r in tf.groupBy(F.spark_partition_id()).count().collect())
+        return fit(self, tf)
+    monkeypatch.setattr(models.IDF, "fit", counted)
+    got = models.complaint_type_job(spark, str(tmp_path)).collect()
+    assert sum(seen) + len(got) == 400 and len(got) > 20 and all(r["lang"] == r["predicted_lang"] for r in got)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen) == models.PARTS_PER_CORE * cores and max(seen) < 1.5 * min(seen)
+    size = sum(len(t) for _, t, _ in rows) + len("no language")
+    monkeypatch.setattr(models, "PART_BYTES", 100)  # more text, more partitions
+    assert size <= 100 * models.training_parts(docs) < size + 100 * cores
+    assert models.training_parts(docs.where("doc_id = 900")) == models.PARTS_PER_CORE * cores
+
+
 def test_dialogue_uses_the_model_and_another_matcher(spark, severe):
     _, model = severe
     corpus = spark.createDataFrame([(1, "landlord keeps the deposit money", "IPC 354"), (2, "salary was not paid at all", "IT Act 66E")],
