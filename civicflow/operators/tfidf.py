@@ -15,17 +15,24 @@ terms ("the", "de") is every pair in the group; here no pair row is ever
 shuffled, and every task's memory is bounded by the block sizes. A final
 ``row_number() <= k`` merges the ``cb`` local lists per query.
 
+An index that was built from texts is packed for the search (``pack``): a
+task turns its texts into compressed arrays of numbers, one piece a document
+block, so that texts are tokenised once and a posting takes some two bytes
+instead of a row each time it moves. Only a block's distinct terms go through
+a shuffle by term, to get their document frequencies.
+
 ``cosine_scores`` keeps the plain join form as a small brute-force reference.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions.text import tokens
@@ -43,6 +50,8 @@ class TfidfIndex:
     vocab: DataFrame      # term, idf
     n_docs: DataFrame     # one row: n
     unit_docs: bool = False  # are the weights divided by the documents' norms already?
+    texts: DataFrame | None = None   # doc_id, terms: what the postings were built from, a row a text
+    blocks: DataFrame | None = None  # the texts packed (see ``pack``)
 
     def normalised(self) -> DataFrame:
         """Postings with L2-normalised weights (term, doc_id, w)."""
@@ -77,7 +86,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> TfidfIndex:
     weighted = tf.join(vocab, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
     # Normalisation happens where the weights are used: the blocked scorer
     # holds every posting of a document in one task, so it needs no shuffle.
-    return TfidfIndex(weighted, vocab, n_docs)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("terms"))
+    return TfidfIndex(weighted, vocab, n_docs, texts=texts)
 
 
 def transform_queries(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,13 +121,14 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 # is scored in slices of SLICE_ENTRIES scores, expanding at most EXPAND_CHUNK
 # (query posting, doc posting) products at once.
 MAX_QUERY_BLOCK = 100_000   # documents' postings are sent once per query block
-MAX_DOC_BLOCK = 20_000
+MAX_DOC_BLOCK = 10_000
 SLICE_QUERIES = 4_000       # queries of a block that are scored at once
-SLICE_ENTRIES = 8_000_000   # score-matrix entries held at once inside a task
-EXPAND_CHUNK = 4_000_000
+SLICE_ENTRIES = 4_000_000   # score-matrix entries held at once inside a task
+EXPAND_CHUNK = 1_000_000
 # A shared term is "hot" when expanding its pairs would cost more than one
-# dense rank-1 update of the block (numpy expansion ~ this many times a flop).
-DENSE_COST_RATIO = 64
+# dense rank-1 update of the block (an expanded pair takes some 25 ns, a dense
+# one 0.03 ns where it was measured).
+DENSE_COST_RATIO = 600
 DENSE_COLUMNS = 512
 NORM_CODE = -1              # in place of a term's number: the row holds a document's norm
 
@@ -131,18 +142,19 @@ def block_counts(n_queries: int, n_docs: int, max_q: int, max_d: int, target_tas
     return q_blocks, c_blocks
 
 
-def _block_top_k(k: int):
-    # Self-contained closure (numpy/pandas only): executors need not import us.
-    order_decimals, expand_chunk, norm_code = ORDER_DECIMALS, EXPAND_CHUNK, NORM_CODE
+def _scorer(k: int):
+    """The best ``k`` documents of a block for each of its queries, from both sides' postings as arrays."""
+    # Self-contained closure (numpy only): executors need not import us.
+    order_decimals, expand_chunk = ORDER_DECIMALS, EXPAND_CHUNK
     dense_ratio, dense_cols, slice_entries, slice_queries = DENSE_COST_RATIO, DENSE_COLUMNS, SLICE_ENTRIES, SLICE_QUERIES
 
     def top_rows(s, qids, dids, kk):
-        r = np.where(s > 0, np.round(s, order_decimals), -np.inf)
         kk = min(kk, s.shape[1])
-        thr = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-        # candidates: at or above the row's k-th best (ties included), scored
-        qi_c, dj_c = np.nonzero((r >= thr[:, None]) & np.isfinite(r))
-        rc = r[qi_c, dj_c]
+        thr = s.max(axis=1) if kk == 1 else np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        # candidates: what may round to the row's k-th best or above (ties included), scored
+        least = np.maximum(thr - 1.5 * 10.0 ** -order_decimals, np.nextafter(0, 1))
+        qi_c, dj_c = np.nonzero(s >= least[:, None])
+        rc = np.round(s[qi_c, dj_c], order_decimals)
         order = np.lexsort((dids[dj_c], -rc, qi_c))    # row, score desc, doc id
         qi_c, dj_c = qi_c[order], dj_c[order]
         rank = np.arange(len(qi_c)) - np.searchsorted(qi_c, qi_c, side="left")
@@ -150,17 +162,15 @@ def _block_top_k(k: int):
         qi_c, dj_c = qi_c[keep], dj_c[keep]
         return qi_c.astype(np.int64), dids[dj_c], s[qi_c, dj_c]
 
-    def slice_scores(nq, nt, qc, qi, qw, q_cnt, q_start, dc, di, dw, nd):
+    def slice_scores(nq, nt, qc, qi, qw, q_cnt, dc, di, dw, nd):
         """Dense (nq, nd) cosine block; postings sorted by term code."""
-        scores = np.zeros((nq, nd))
+        scores = None
         d_cnt = np.bincount(dc, minlength=nt)
-        d_start = np.concatenate([[0], np.cumsum(d_cnt)[:-1]])
-        shared = np.nonzero((q_cnt > 0) & (d_cnt > 0))[0]
-        sizes = q_cnt[shared] * d_cnt[shared]
+        d_start = np.cumsum(d_cnt) - d_cnt
         # Hot terms (many postings on both sides) go through a dense BLAS
-        # product: cost nq*nd per term instead of ~100x that per expanded pair.
-        hot = sizes * dense_ratio > nq * nd
-        hot_terms, shared, sizes = shared[hot], shared[~hot], sizes[~hot]
+        # product: cost nq*nd per term instead of far more per expanded pair.
+        hot = q_cnt * d_cnt * dense_ratio > nq * nd
+        hot_terms = np.nonzero(hot)[0]
         if len(hot_terms):
             col = np.full(nt, -1, dtype=np.int64)
             for lo in range(0, len(hot_terms), dense_cols):
@@ -172,28 +182,32 @@ def _block_top_k(k: int):
                 dd = np.zeros((len(chunk), nd))
                 qd[qi[qm], col[qc[qm]]] = qw[qm]
                 dd[col[dc[dm]], di[dm]] = dw[dm]
-                scores += qd @ dd
+                scores = qd @ dd if scores is None else np.add(scores, qd @ dd, out=scores)
+        scores = np.zeros((nq, nd)) if scores is None else scores
+        # the others: every query posting meets the run of its term's document postings
         flat = scores.reshape(-1)
+        rare = np.nonzero(~hot[qc] & (d_cnt[qc] > 0))[0]
+        sizes = d_cnt[qc[rare]]
         cum = np.cumsum(sizes)
         lo = 0
-        while lo < len(shared):
+        while lo < len(rare):
             base = cum[lo - 1] if lo else 0
             hi = max(int(np.searchsorted(cum, base + expand_chunk, side="right")), lo + 1)
-            t, sz = shared[lo:hi], sizes[lo:hi]
+            p, sz, ends = rare[lo:hi], sizes[lo:hi], cum[lo:hi] - base
             lo = hi
-            off = np.repeat(np.cumsum(sz) - sz, sz)
-            c = np.arange(int(sz.sum()), dtype=np.int64) - off
-            ndt = np.repeat(d_cnt[t], sz)
-            qpost = np.repeat(q_start[t], sz) + c // ndt
-            dpost = np.repeat(d_start[t], sz) + c % ndt
-            flat += np.bincount(qi[qpost] * nd + di[dpost], weights=qw[qpost] * dw[dpost], minlength=nq * nd)
+            dpost = np.repeat(d_start[qc[p]] - (ends - sz), sz)
+            dpost += np.arange(len(dpost))
+            at = np.repeat(qi[p].astype(np.int64) * nd, sz)
+            at += di[dpost]
+            w = np.repeat(qw[p], sz)
+            w *= dw[dpost]
+            np.add.at(flat, at, w)
         return scores
 
     def score_queries(nt, qids, qc, qi, qw, doc_slices):
         """Best documents of the block for some of its queries: each slice keeps its own top-k, merged (exact)."""
         q_cnt = np.bincount(qc, minlength=nt)
-        q_start = np.concatenate([[0], np.cumsum(q_cnt)[:-1]])
-        parts = [top_rows(slice_scores(len(qids), nt, qc, qi, qw, q_cnt, q_start, dc, di, dw, len(dids)), qids, dids, k)
+        parts = [top_rows(slice_scores(len(qids), nt, qc, qi, qw, q_cnt, dc, di, dw, len(dids)), qids, dids, k)
                  for dids, dc, di, dw in doc_slices]
         qrow, drow, srow = (np.concatenate(x) for x in zip(*parts))
         if len(parts) > 1:
@@ -203,6 +217,30 @@ def _block_top_k(k: int):
             qrow, drow, srow = qrow[keep], drow[keep], srow[keep]
         return qids[qrow], drow, srow
 
+    def score(nt, qids, qc, qi, qw, dids, dc, di, dw):
+        """(query ids, document ids, scores). Postings name their term (below ``nt``) and the place of their id."""
+        # Both sides are cut into slices, postings sorted by (slice, term), so that memory stays ~ slice_entries doubles.
+        nq = min(len(qids), slice_queries)
+        nd = max(1, min(len(dids), slice_entries // nq))
+
+        def cut(n, size, c, i, w):
+            of = (i // size).astype(np.int32)
+            order = np.lexsort((c, of))
+            c, i, w, of = c[order], i[order], w[order], of[order]
+            edges = np.searchsorted(of, np.arange(-(-n // size) + 1))
+            return [(lo * size, slice(edges[lo], edges[lo + 1])) for lo in range(len(edges) - 1)], c, i, w
+
+        q_cuts, qc, qi, qw = cut(len(qids), nq, qc, qi, qw)
+        d_cuts, dc, di, dw = cut(len(dids), nd, dc, di, dw)
+        doc_slices = [(dids[lo:lo + nd], dc[m], di[m] - lo, dw[m]) for lo, m in d_cuts]
+        found = [score_queries(nt, qids[lo:lo + nq], qc[m], qi[m] - lo, qw[m], doc_slices) for lo, m in q_cuts]
+        return tuple(np.concatenate(x) for x in zip(*found))
+    return score
+
+
+def _block_top_k(k: int):
+    score, norm_code = _scorer(k), NORM_CODE
+
     def fn(key, qp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": qp["query_id"].iloc[:0], "doc_id": pd.Series([], dtype="int64"),
                               "score": pd.Series([], dtype="float64")})
@@ -224,25 +262,267 @@ def _block_top_k(k: int):
         qc, qw = at[met], qp["w"].to_numpy(np.float64)[met]
         if not len(qids):
             return empty
-        # Both sides are cut into slices, postings sorted by (slice, term), so that memory stays ~ slice_entries doubles.
-        nq = min(len(qids), slice_queries)
-        nd = max(1, min(len(dids), slice_entries // nq))
+        ids, docs, scores = score(nt, qids, qc, qi, qw, dids, dc, di, dw)
+        return pd.DataFrame({"query_id": ids, "doc_id": docs, "score": scores})
+    return fn
 
-        def cut(n, size, c, i, w):
-            order = np.lexsort((c, i // size))
-            c, i, w = c[order], i[order], w[order]
-            edges = np.searchsorted(i // size, np.arange(-(-n // size) + 1))
-            return [(lo * size, slice(edges[lo], edges[lo + 1])) for lo in range(len(edges) - 1)], c, i, w
 
-        q_cuts, qc, qi, qw = cut(len(qids), nq, qc, qi, qw)
-        d_cuts, dc, di, dw = cut(len(dids), nd, dc, di, dw)
-        doc_slices = [(dids[lo:lo + nd], dc[m], di[m] - lo, dw[m]) for lo, m in d_cuts]
-        found = [score_queries(nt, qids[lo:lo + nq], qc[m], qi[m] - lo, qw[m], doc_slices) for lo, m in q_cuts]
-        ids, docs, scores = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"query_id": ids, "doc_id": docs, "score": scores})
+# Packed postings: a row a block (or a piece of one) with three columns of compressed Arrow batches.
+#   docs: doc_id (ascending), and the norms once they are known
+#   terms: term and its number n of postings; once weighed, the queries' code and the idf in place of the term
+#   posts: by term, then by document: place of the document (as a difference within the term), tf
+PIECES = "cb int, n_rows long, docs binary, terms binary, posts binary"
+WEIGHED = "cb int, docs binary, terms binary, posts binary"
+
+
+def _codec():
+    """Functions that pack arrays into bytes and back, and postings into the three columns."""
+    # Self-contained closures (numpy and pyarrow only): executors need not import us.
+    def dump(**arrays) -> bytes:
+        batch = pa.record_batch(list(arrays.values()), names=list(arrays))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+    def load(raw) -> dict:
+        batch = pa.ipc.open_stream(raw).read_next_batch()
+        return dict(zip(batch.schema.names, batch.columns))
+
+    def small(x):  # whole numbers, and tf that are whole, as short ones
+        return x.astype(np.int32) if np.array_equal(x, x.astype(np.int32)) else x
+
+    def dump_posts(n, di, tf) -> bytes:
+        step = np.diff(di, prepend=0).astype(np.int32)
+        starts = (np.cumsum(n) - n)[n > 0]
+        step[starts] = di[starts]
+        return dump(step=step, tf=small(tf))
+
+    def load_posts(raw, n):
+        """(term, document, tf) of every posting, by their places."""
+        posts = load(raw)
+        step, total = posts["step"].to_numpy(), np.cumsum(posts["step"].to_numpy(), dtype=np.int64)
+        starts = (np.cumsum(n) - n)[n > 0]
+        total -= np.repeat(total[starts] - step[starts], n[n > 0])
+        return np.repeat(np.arange(len(n), dtype=np.int32), n), total.astype(np.int32), posts["tf"].to_numpy().astype(np.float64)
+    return dump, load, dump_posts, load_posts
+
+
+def _pack_pieces():
+    """Rows (cb, doc_id, terms) to pieces: one for each block that a batch has documents of."""
+    dump, _, dump_posts, _ = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            cb = batch.column("cb").to_numpy().astype(np.int64)
+            if not len(cb):
+                continue
+            ids, row_doc = np.unique(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), return_inverse=True)
+            lists = batch.column("terms")
+            sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            nt, nd = max(len(names), 1), len(ids)
+            # (block, term, document) as one number; a token each, then a posting each
+            key = np.sort((np.repeat(cb, sizes) * nt + code) * nd + np.repeat(row_doc, sizes))
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            tf, key = np.diff(first, append=len(key)), key[first]
+            for b in np.unique(cb):
+                rows = cb == b
+                mine = slice(*np.searchsorted(key, [b * nt * nd, (b + 1) * nt * nd]))
+                of_term, doc = np.divmod(key[mine] - b * nt * nd, nd)
+                present, n = np.unique(of_term, return_counts=True)
+                docs = np.unique(row_doc[rows])
+                yield pa.record_batch([
+                    pa.array([b], pa.int32()), pa.array([int(rows.sum())], pa.int64()), pa.array([dump(doc_id=ids[docs])]),
+                    pa.array([dump(term=names.take(pa.array(present)), n=n.astype(np.int32))]),
+                    pa.array([dump_posts(n, np.searchsorted(docs, doc), tf[mine])])],
+                    names=["cb", "n_rows", "docs", "terms", "posts"])
+    return fn
+
+
+def _merge_pieces():
+    """The pieces of a block to one row; what several pieces have of a document is added up."""
+    dump, load, dump_posts, load_posts = _codec()
+
+    def fn(table):
+        pieces = [(load(r["docs"])["doc_id"].to_numpy(), load(r["terms"]), r["posts"]) for r in table.select(["docs", "terms", "posts"]).to_pylist()]
+        ids, place = np.unique(np.concatenate([d for d, _, _ in pieces]), return_inverse=True)
+        coded = pa.concat_arrays([t["term"] for _, t, _ in pieces]).dictionary_encode()
+        names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        nd, keys, tfs, at, to = len(ids), [], [], 0, 0
+        for d, t, posts in pieces:
+            term, doc, tf = load_posts(posts, t["n"].to_numpy().astype(np.int64))
+            keys.append(code[at:at + len(t["n"])][term] * nd + place[to:to + len(d)][doc])
+            tfs.append(tf)
+            at, to = at + len(t["n"]), to + len(d)
+        key, tf = np.concatenate(keys), np.concatenate(tfs)
+        del keys, tfs
+        order = np.argsort(key)
+        key, tf = key[order], tf[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
+        term, doc = np.divmod(key, nd)
+        n = np.bincount(term, minlength=len(names))
+        return pa.table({"cb": pa.array([table["cb"][0].as_py()], pa.int32()), "n_rows": pa.array([sum(table["n_rows"].to_pylist())], pa.int64()),
+                         "docs": [dump(doc_id=ids)], "terms": [dump(term=names, n=n.astype(np.int32))], "posts": [dump_posts(n, doc, tf)]})
+    return fn
+
+
+def _list_terms():
+    """Block rows to (cb, place of the term in it, term, n)."""
+    _, load, _, _ = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                terms = load(r["terms"])
+                size = len(terms["n"])
+                for lo in range(0, size, 100_000):
+                    part = slice(lo, min(lo + 100_000, size))
+                    yield pa.record_batch([pa.array(np.full(part.stop - lo, r["cb"], np.int32)), pa.array(np.arange(lo, part.stop, dtype=np.int32)),
+                                           terms["term"][part], terms["n"][part].cast(pa.int64())], names=["cb", "place", "term", "n"])
+    return fn
+
+
+def _weigh_block(n_docs: float):
+    """A block and its terms' (place, df, code) to the block with norms, of which only the queries' terms are kept."""
+    dump, load, dump_posts, load_posts = _codec()
+
+    def fn(block, seen):
+        r = block.to_pylist()[0]
+        docs, n = load(r["docs"])["doc_id"].to_numpy(), load(r["terms"])["n"].to_numpy().astype(np.int64)
+        place = seen["place"].to_numpy()
+        df, code = np.zeros(len(n)), np.full(len(n), -1, np.int64)
+        df[place], code[place] = seen["df"].to_numpy(), seen["code"].fill_null(-1).to_numpy()
+        idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+        term, doc, tf = load_posts(r["posts"], n)
+        norm = np.sqrt(np.bincount(doc, weights=(tf * idf[term]) ** 2, minlength=len(docs)))
+        kept, mine = code >= 0, (code >= 0)[term]
+        return pa.table({"cb": pa.array([r["cb"]], pa.int32()), "docs": [dump(doc_id=docs, norm=norm)],
+                         "terms": [dump(code=code[kept], n=n[kept].astype(np.int32), idf=idf[kept])], "posts": [dump_posts(n[kept], doc[mine], tf[mine])]})
     return fn
 
 
+def _list_idf():
+    """Weighed block rows to (code, idf)."""
+    _, load, _, _ = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            for raw in batch.column("terms").to_pylist():
+                terms = load(raw)
+                yield pa.record_batch([terms["code"], terms["idf"]], names=["code", "idf"])
+    return fn
+
+
+def _pack_queries():
+    """Rows (qb, query_id, norm, code, tf) to packs of a query block's postings: one for each block that a batch has queries of."""
+    dump, _, dump_posts, _ = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            qb, code, tf = (batch.column(c).to_numpy() for c in ("qb", "code", "tf"))
+            for b in np.unique(qb):
+                m = np.flatnonzero(qb == b)
+                ids, at, i = np.unique(batch.column("query_id").to_numpy()[m], return_index=True, return_inverse=True)
+                m, i = m[order := np.lexsort((i, code[m]))], i[order]
+                codes, n = np.unique(code[m], return_counts=True)
+                norm = batch.column("norm").to_numpy()[np.flatnonzero(qb == b)][at]
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([dump(query_id=ids, norm=norm)]),
+                                       pa.array([dump(code=codes, n=n.astype(np.int32))]), pa.array([dump_posts(n, i, tf[m])])],
+                                      names=["qb", "queries", "terms", "posts"])
+    return fn
+
+
+def _packed_top_k(k: int):
+    score = _scorer(k)
+    _, load, _, load_posts = _codec()
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def fn(packs, block):
+        none = schema.empty_table()
+        if not packs.num_rows or not block.num_rows:
+            return none
+        r = block.to_pylist()[0]
+        docs, terms = load(r["docs"]), load(r["terms"])
+        term, doc, tf = load_posts(r["posts"], terms["n"].to_numpy().astype(np.int64))
+        codes = terms["code"].to_numpy()
+        if not len(codes):
+            return none
+        dw = tf * terms["idf"].to_numpy()[term]
+        dw /= docs["norm"].to_numpy()[doc]
+        idf, by_code = terms["idf"].to_numpy(), np.argsort(codes)
+        ids, qi, qc, qw, known = [], [], [], [], 0
+        for p in packs.select(["queries", "terms", "posts"]).to_pylist():
+            mine, asked = load(p["queries"]), load(p["terms"])
+            code = asked["code"].to_numpy()
+            at = by_code[np.minimum(np.searchsorted(codes, code, sorter=by_code), len(codes) - 1)]
+            of_code, query, times = load_posts(p["posts"], asked["n"].to_numpy().astype(np.int64))
+            met = (codes[at] == code)[of_code]
+            at, query = at[of_code[met]], query[met]
+            ids.append(mine["query_id"].to_numpy())
+            qi.append(query.astype(np.int64) + known)
+            qc.append(at.astype(np.int32))
+            qw.append(times[met] * idf[at] / mine["norm"].to_numpy()[query])
+            known += len(ids[-1])
+        ids, qi, qc, qw = (np.concatenate(x) for x in (ids, qi, qc, qw))
+        if not len(qi):
+            return none
+        qids, own = np.unique(ids, return_inverse=True)  # a query's postings may be in several packs
+        qi = own[qi]
+        met = np.bincount(qi, minlength=len(qids)) > 0
+        qi = (np.cumsum(met) - 1).astype(np.int32)[qi]
+        found = score(len(codes), qids[met], qc, qi, qw, docs["doc_id"].to_numpy(), term, doc, dw)
+        return pa.table(dict(zip(schema.names, found)), schema=schema)
+    return fn
+
+
+def pack(index: TfidfIndex, n_queries: int, n_docs: int | None = None) -> TfidfIndex:
+    """The index with its texts packed into document blocks, in the shared checkpoint folder: tokenised once.
+
+    Numbers of documents and queries (upper bounds) only size the blocks. An index without texts stays as it is."""
+    if index.blocks is not None or index.texts is None:
+        return index
+    spark = index.texts.sparkSession
+    if n_docs is None:
+        n_docs = index.texts.select("doc_id").count()
+    _, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK, 3 * spark.sparkContext.defaultParallelism)
+    keyed = index.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int").alias("cb"), "doc_id", "terms")
+    pieces = keyed.mapInArrow(_pack_pieces(), PIECES).repartition(c_blocks, "cb")
+    blocks = cut_lineage(pieces.groupBy("cb").applyInArrow(_merge_pieces(), PIECES))
+    return replace(index, blocks=blocks, n_docs=blocks.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("double").alias("n")))
+
+
+def weighed_blocks(index: TfidfIndex, codes: DataFrame) -> DataFrame:
+    """A packed index's blocks with the documents' norms and the postings of the terms of ``codes`` (term, code)."""
+    n_docs = index.n_docs.first()["n"]
+    listed = index.blocks.select("cb", "terms").mapInArrow(_list_terms(), "cb int, place int, term string, n long")
+    seen = (listed.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).join(codes, "term", "left")
+            .select("cb", "place", "df", "code"))
+    both = index.blocks.select("cb", "docs", "terms", "posts").groupBy("cb").cogroup(seen.groupBy("cb"))
+    return cut_lineage(both.applyInArrow(_weigh_block(n_docs), WEIGHED))
+
+
+def packed_top_k(index: TfidfIndex, counts: DataFrame, codes: DataFrame, k: int, n_queries: int) -> DataFrame:
+    """``blocked_top_k`` over a packed index, for term counts (query_id, term, tf)."""
+    blocks = weighed_blocks(index, codes)
+    # as many blocks as there are, not as were planned: few documents leave some empty
+    c_numbers = [r["cb"] for r in blocks.select("cb").collect()] or [0]
+    q_blocks = max(1, math.ceil(n_queries / MAX_QUERY_BLOCK))
+    idf = blocks.select("terms").mapInArrow(_list_idf(), "code long, idf double").groupBy("code").agg(F.max("idf").alias("idf"))
+    asked = counts.join(codes, "term").join(idf, "code")
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    qp = (asked.join(norms, "query_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+          .select("qb", "query_id", "norm", "code", "tf")
+          .mapInArrow(_pack_queries(), "qb int, queries binary, terms binary, posts binary")
+          .withColumn("cb", F.explode(F.array(*[F.lit(c) for c in c_numbers]))))
+    dp = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    qp, dp = block_partitions(qp, dp, q_blocks * len(c_numbers))
+    local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInArrow(_packed_top_k(k), "query_id long, doc_id long, score double")
+    return top_k(local, k)
+
+
 def block_sides(index: TfidfIndex, query_postings: DataFrame, q_blocks: int,
                 c_blocks: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(normalised query postings, document postings, document norms) with the blocks (qb, cb) that each is sent to;
@@ -298,16 +578,20 @@ def search(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str, k:
     counts come from ``n_docs`` / ``n_queries`` (upper bounds are fine; they
     only size the blocks), or from count jobs when not given.
     """
-    if n_docs is None:
-        n_docs = index.postings.select("doc_id").distinct().count()
     # Numbered once and written: distinct texts, the terms that they have, and their counts are as small as the queries.
     distinct = cut_lineage(queries.select(F.col(text_col).alias("_qtext")).where(F.col("_qtext").isNotNull()).distinct()
                            .withColumn("_qid", F.monotonically_increasing_id()))
     counts = cut_lineage(term_counts(distinct, "_qid", "_qtext").withColumnRenamed("doc_id", "query_id"))
     codes = cut_lineage(counts.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
-    if n_queries is None:
-        n_queries = distinct.count()
-    ranked = blocked_top_k(index, weigh_queries(index, counts), codes, k, n_queries, n_docs).withColumnRenamed("query_id", "_qid")
+    n_queries = distinct.count()  # at most what was given
+    index = pack(index, n_queries, n_docs)
+    if index.blocks is not None:
+        ranked = packed_top_k(index, counts, codes, k, n_queries)
+    else:
+        if n_docs is None:
+            n_docs = index.postings.select("doc_id").distinct().count()
+        ranked = blocked_top_k(index, weigh_queries(index, counts), codes, k, n_queries, n_docs)
+    ranked = ranked.withColumnRenamed("query_id", "_qid")
     keys = distinct.select("_qid", F.sha2("_qtext", 256).alias("_qkey"))
     return (queries.select(F.col(id_col).alias("query_id"), F.sha2(F.col(text_col), 256).alias("_qkey"))
             .join(ranked.join(keys, "_qid").drop("_qid"), "_qkey").drop("_qkey"))

@@ -48,7 +48,7 @@ def nearest_example(turns: DataFrame, corpus: DataFrame, index: tfidf.TfidfIndex
     T6), hit_doc, hit_law. Emptiness is a broadcast one-row scalar, not an
     action, so the plan stays lazy.
     """
-    idx = index or tfidf.build_index(corpus, "doc_id", "text")
+    idx = tfidf.pack(index or tfidf.build_index(corpus, "doc_id", "text"), n_queries or 1, n_docs)
     keyed = turns.withColumn("_tkey", F.struct("conv_id", "turn"))
     top = tfidf.search(idx, keyed, "_tkey", "text", k=1, n_docs=n_docs, n_queries=n_queries)
     hits = (top.join(corpus.select(F.col("doc_id"), F.col("law").alias("_law")), "doc_id")

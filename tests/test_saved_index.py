@@ -211,3 +211,29 @@ def test_conversations_expire(spark):
     assert got[(1, 2)] == ("start", "greet") and got[(1, 3)] == ("investigating", "legal")  # 45 idle minutes
     assert got[(3, 1)] == ("investigating", "legal") and len(got) == 7
     assert states == 1  # conversations 1 and 2 were removed
+
+
+def test_texts_move_as_packed_blocks(spark, monkeypatch):
+    import random
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(600)]
+    text = lambda n: " ".join(words[min(int(rng.expovariate(0.01)), 599)] for _ in range(n))
+    rows = [(i, text(rng.randrange(40, 200))) for i in range(300)]
+    rows += [(7, rows[7][1]), (7, text(60)), (11, "a b"), (400, ""), (401, None)]  # ids with several texts, texts without terms
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(i, text(rng.randrange(1, 9))) for i in range(40)] + [(50, "nothing known"), (51, None)], "q long, t string")
+    index = tfidf.build_index(docs, "doc_id", "text")
+    packed = tfidf.pack(index, 40, 310)
+    assert packed.n_docs.first()["n"] == index.n_docs.first()["n"] == 305.0
+    moved = packed.blocks.agg(F.sum(F.octet_length("docs") + F.octet_length("terms") + F.octet_length("posts"))).first()[0]
+    assert packed.blocks.count() <= 12 and moved < 6 * index.postings.count()  # a row of numbers and a text each before
+    found = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 8), r["rank"]) for r in df.collect())
+    scores = tfidf.cosine_scores(index, tfidf.transform_queries(index, queries, "q", "t"))
+    for k in (1, 4):
+        want = found(tfidf.top_k(scores, k))
+        assert found(tfidf.search(packed, queries, "q", "t", k=k)) == want and len(want) > 39 * k
+    monkeypatch.setattr(tfidf, "SLICE_QUERIES", 7)
+    monkeypatch.setattr(tfidf, "SLICE_ENTRIES", 70)
+    monkeypatch.setattr(tfidf, "EXPAND_CHUNK", 5)
+    monkeypatch.setattr(tfidf, "MAX_QUERY_BLOCK", 9)
+    assert found(tfidf.search(packed, queries, "q", "t", k=4)) == want
