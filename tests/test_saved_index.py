@@ -237,3 +237,13 @@ def test_texts_move_as_packed_blocks(spark, monkeypatch):
     monkeypatch.setattr(tfidf, "EXPAND_CHUNK", 5)
     monkeypatch.setattr(tfidf, "MAX_QUERY_BLOCK", 9)
     assert found(tfidf.search(packed, queries, "q", "t", k=4)) == want
+
+
+def test_blocks_follow_the_distinct_texts(spark):
+    docs = spark.createDataFrame([(i, f"shared own{i}") for i in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"shared own{i % 4}") for i in range(40)], "q long, t string")
+    index = tfidf.build_index(docs, "doc_id", "text")
+    found = tfidf.search(index, queries, "q", "t", n_docs=30, n_queries=5_000_000)  # 50 query blocks for four texts before
+    sides = re.findall(r"hashpartitioning\(qb#\d+, cb#\d+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().sparkPlan().toString())
+    assert len(sides) == 2 and max(map(int, sides)) <= 12
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(i, i % 4) for i in range(40)]
