@@ -53,6 +53,16 @@ def keep_first(df: DataFrame, key: Column, order_col: str) -> DataFrame:
     return keyed.join(firsts, on=["_dedupe_key", order_col], how="left_semi").drop("_dedupe_key")
 
 
+def keep_first_in_place(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """``keep_first`` for wide rows, which stay where they are read: (key, order) pairs alone tell which rows are
+    left out, and if those are few they are broadcast (else the rows are shuffled as there). Runs a job at once."""
+    slim = df.select(key.alias("_dedupe_key"), order_col)
+    firsts = slim.groupBy("_dedupe_key").agg(F.min(order_col).alias("_first"))
+    later = cut_lineage(slim.join(firsts, "_dedupe_key").where(F.col(order_col) > F.col("_first")).select("_dedupe_key", order_col).distinct())
+    keyed = df.withColumn("_dedupe_key", key).where(F.col("_dedupe_key").isNotNull() & F.col(order_col).isNotNull())
+    return keyed.join(broadcast_checked(later), ["_dedupe_key", order_col], "left_anti").drop("_dedupe_key")
+
+
 def first_appearance(df: DataFrame, value_col: str, order_col: str, out_rank: str = "first_row",
                      count_col: str | None = None) -> DataFrame:
     """Distinct values with the order key of their first appearance.

@@ -7,20 +7,27 @@ rebuilt; idf is applied when the index is read, from the merged counts of one ve
 of a batch count only once its size is committed, so a stopped append leaves no trace and a repeated one adds
 nothing.
 
+Postings are kept as packed blocks (``tfidf.pack``), each with all postings of some documents: an append packs its
+texts where they are read, and moves none of them.
+
 A reader that scores few texts at a time (a stream's micro-batch) loads the postings of their terms only; the
-documents' norms, which depend on all terms and on the version's idf, are computed once a version and kept.
+documents' norms, which depend on all terms and on the version's idf, are computed once a version and kept. So are
+the blocks with norms and idf, for readers of many texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.operators.common import broadcast_checked
-from civicflow.operators.tfidf import TfidfIndex, term_counts
+from civicflow.functions.text import tokens
+from civicflow.operators import tfidf
+from civicflow.operators.tfidf import TfidfIndex
 from civicflow.session import cut_lineage
 from civicflow.sources.batch_table import BatchTable
 
@@ -52,13 +59,38 @@ class Version:
         return hashlib.sha256("\n".join(sorted(self.live())).encode()).hexdigest()[:32]
 
 
+class PackedPostings(BatchTable):
+    """Postings that are written and read as rows (term, doc_id, tf), and stand in packed blocks of whole documents."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, POSTINGS)
+
+    def stage(self, df: DataFrame) -> str:
+        return self.stage_blocks(tfidf.packed_rows(df))
+
+    def stage_blocks(self, blocks: DataFrame) -> str:
+        folder = f"parts/{uuid.uuid4().hex}"
+        blocks.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def staged(self, *folders: str) -> DataFrame:
+        return self.spark.read.schema(tfidf.PIECES).parquet(*folders) if folders else self.spark.createDataFrame([], tfidf.PIECES)
+
+    def blocks(self, snapshot: dict[str, dict]) -> DataFrame:
+        return self.staged(*self.folders(snapshot))
+
+    def read(self, snapshot: dict[str, dict] | None = None) -> DataFrame:
+        return tfidf.listed_postings(self.staged(*self.folders(snapshot)))
+
+
 class SavedIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.postings = BatchTable(spark, f"{path}/postings", POSTINGS)
+        self.postings = PackedPostings(spark, f"{path}/postings")
         self.frequencies = BatchTable(spark, f"{path}/frequencies", FREQUENCIES)
         self.sizes = BatchTable(spark, f"{path}/sizes", SIZES)
         self.norms = BatchTable(spark, f"{path}/norms", NORMS)
+        self.packs = BatchTable(spark, f"{path}/packs", tfidf.WEIGHED)
 
     def version(self) -> Version:
         """The index as committed now; later appends do not change what is read through it."""
@@ -73,40 +105,46 @@ class SavedIndex:
             return False
         now = self.version()
         rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-                .groupBy("doc_id").agg(F.min("text").alias("text")))
+                .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
+        # the ids alone tell what is new, so that texts need not move: few ids that are to be left out are broadcast
+        ids = cut_lineage(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+        if not ids.where(F.col("n") > 1).isEmpty():
+            rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
         if now.sizes:
-            rows = rows.join(self._counts(now).select("doc_id").distinct(), "doc_id", "left_anti")
-        rows = cut_lineage(rows)
-        counts = term_counts(rows, "doc_id", "text")
-        return self._add(counts, counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), rows.count(), batch, [])
+            known = ids.select("doc_id").join(tfidf.listed_docs(self._blocks(now)), "doc_id", "left_semi")
+            rows = rows.join(broadcast_checked(cut_lineage(known)), "doc_id", "left_anti")
+        return self._add(tfidf.packed_where_read(rows.select("doc_id", tokens("text").alias("terms"))), batch, [])
 
     def compact(self, batch: str) -> bool:
         """Merge all batches into one that replaces them; versions taken before stay readable."""
         now = self.version()
         if self.sizes.is_committed(batch) or len(now.live()) < 2:
             return False
-        return self._add(self._counts(now), self._frequencies(now), now.n_docs, batch, list(now.live()))
+        return self._add(self._blocks(now), batch, list(now.live()))
 
-    def _add(self, counts: DataFrame, frequencies: DataFrame, n_docs: int, batch: str, replaces: list[str]) -> bool:
+    def _add(self, blocks: DataFrame, batch: str, replaces: list[str]) -> bool:
         # parts get names of their own: those of an append that was stopped before its size was committed stay unused
-        parts = {}
-        for name, table, rows in (("postings", self.postings, counts.repartitionByRange("term").sortWithinPartitions("term")),
-                                  ("frequencies", self.frequencies, frequencies)):
-            folder = table.stage(rows)
-            parts[name] = folder.rsplit("/", 1)[1]
+        parts = {"postings": self.postings.stage_blocks(blocks)}
+        written = self.postings.staged(f"{self.postings.path}/{parts['postings']}")
+        n_docs = written.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        parts["frequencies"] = self.frequencies.stage(tfidf.listed_terms(written).groupBy("term").agg(F.sum("n").alias("df")))
+        for name, table in (("postings", self.postings), ("frequencies", self.frequencies)):
+            folder, parts[name] = parts[name], parts[name].rsplit("/", 1)[1]
             table.commit(folder, parts[name])
         size = self.sizes.stage(self.spark.range(1).select(F.lit(n_docs).alias("n_docs")))
         return self.sizes.commit(size, batch, replaces=replaces, n_docs=n_docs, parts=parts)
 
-    def _part(self, table: BatchTable, snapshot: dict, name: str, version: Version) -> DataFrame:
-        return table.read({m["parts"][name]: snapshot[m["parts"][name]] for m in version.live().values()})
+    def _part(self, snapshot: dict, name: str, version: Version) -> dict:
+        return {m["parts"][name]: snapshot[m["parts"][name]] for m in version.live().values()}
+
+    def _blocks(self, version: Version) -> DataFrame:
+        return self.postings.blocks(self._part(version.postings, "postings", version))
 
     def _counts(self, version: Version) -> DataFrame:
-        return self._part(self.postings, version.postings, "postings", version)
+        return self.postings.read(self._part(version.postings, "postings", version))
 
     def _frequencies(self, version: Version) -> DataFrame:
-        return (self._part(self.frequencies, version.frequencies, "frequencies", version)
+        return (self.frequencies.read(self._part(version.frequencies, "frequencies", version))
                 .groupBy("term").agg(F.sum("df").alias("df")))
 
     def load(self, version: Version | None = None, terms: DataFrame | None = None) -> TfidfIndex:
@@ -117,8 +155,7 @@ class SavedIndex:
         """
         version = self.version() if version is None else version
         n = float(version.n_docs)
-        vocab = self._frequencies(version).select(
-            "term", (F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df").cast("double"))) + F.lit(1.0)).alias("idf"))
+        vocab = self._frequencies(version).select("term", tfidf.smooth_idf(n).alias("idf"))
         n_docs = self.spark.range(1).select(F.lit(n).alias("n"))
         counts = self._counts(version)
         if terms is not None:
@@ -138,3 +175,14 @@ class SavedIndex:
             self.norms.append(whole.postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), version.name)
         snapshot = self.norms.snapshot()
         return self.norms.read({version.name: snapshot[version.name]})
+
+    def packed(self, version: Version | None = None) -> TfidfIndex:
+        """The index of a version with its blocks weighed, at its first use: for searches of many texts."""
+        version = self.version() if version is None else version
+        whole = self.load(version)
+        if not self.packs.is_committed(version.name):
+            blocks = self._blocks(version)
+            seen = tfidf.listed_terms(blocks).join(whole.vocab, "term").select("cb", "place", "idf")
+            self.packs.append(tfidf.weighed(blocks, seen), version.name)
+        snapshot = self.packs.snapshot()
+        return replace(whole, weighed=self.packs.read({version.name: snapshot[version.name]}))

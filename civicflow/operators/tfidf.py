@@ -32,7 +32,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions.text import tokens
@@ -52,6 +53,7 @@ class TfidfIndex:
     unit_docs: bool = False  # are the weights divided by the documents' norms already?
     texts: DataFrame | None = None   # doc_id, terms: what the postings were built from, a row a text
     blocks: DataFrame | None = None  # the texts packed (see ``pack``)
+    weighed: DataFrame | None = None  # packed blocks of all terms, by their names, with idf and norms
 
     def normalised(self) -> DataFrame:
         """Postings with L2-normalised weights (term, doc_id, w)."""
@@ -269,10 +271,10 @@ def _block_top_k(k: int):
 
 # Packed postings: a row a block (or a piece of one) with three columns of compressed Arrow batches.
 #   docs: doc_id (ascending), and the norms once they are known
-#   terms: term and its number n of postings; once weighed, the queries' code and the idf in place of the term
+#   terms: term and its number n of postings; once weighed, the idf, and for the terms of given queries their code in place of the term
 #   posts: by term, then by document: place of the document (as a difference within the term), tf
-PIECES = "cb int, n_rows long, docs binary, terms binary, posts binary"
-WEIGHED = "cb int, docs binary, terms binary, posts binary"
+PIECES = "cb long, n_rows long, docs binary, terms binary, posts binary"
+WEIGHED = "cb long, docs binary, terms binary, posts binary"
 
 
 def _codec():
@@ -308,8 +310,10 @@ def _codec():
     return dump, load, dump_posts, load_posts
 
 
-def _pack_pieces():
-    """Rows (cb, doc_id, terms) to pieces: one for each block that a batch has documents of."""
+def _pack_pieces(by_first: bool = False):
+    """Rows (cb, doc_id, terms) to pieces: one for each block that a batch has documents of.
+
+    With ``by_first`` pieces go by their first document (the ids must be distinct): they are whole blocks then."""
     dump, _, dump_posts, _ = _codec()
 
     def fn(batches):
@@ -334,7 +338,7 @@ def _pack_pieces():
                 present, n = np.unique(of_term, return_counts=True)
                 docs = np.unique(row_doc[rows])
                 yield pa.record_batch([
-                    pa.array([b], pa.int32()), pa.array([int(rows.sum())], pa.int64()), pa.array([dump(doc_id=ids[docs])]),
+                    pa.array([ids[docs[0]] if by_first else b], pa.int64()), pa.array([int(rows.sum())], pa.int64()), pa.array([dump(doc_id=ids[docs])]),
                     pa.array([dump(term=names.take(pa.array(present)), n=n.astype(np.int32))]),
                     pa.array([dump_posts(n, np.searchsorted(docs, doc), tf[mine])])],
                     names=["cb", "n_rows", "docs", "terms", "posts"])
@@ -364,7 +368,7 @@ def _merge_pieces():
         key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
         term, doc = np.divmod(key, nd)
         n = np.bincount(term, minlength=len(names))
-        return pa.table({"cb": pa.array([table["cb"][0].as_py()], pa.int32()), "n_rows": pa.array([sum(table["n_rows"].to_pylist())], pa.int64()),
+        return pa.table({"cb": pa.array([table["cb"][0].as_py()], pa.int64()), "n_rows": pa.array([sum(table["n_rows"].to_pylist())], pa.int64()),
                          "docs": [dump(doc_id=ids)], "terms": [dump(term=names, n=n.astype(np.int32))], "posts": [dump_posts(n, doc, tf)]})
     return fn
 
@@ -380,27 +384,58 @@ def _list_terms():
                 size = len(terms["n"])
                 for lo in range(0, size, 100_000):
                     part = slice(lo, min(lo + 100_000, size))
-                    yield pa.record_batch([pa.array(np.full(part.stop - lo, r["cb"], np.int32)), pa.array(np.arange(lo, part.stop, dtype=np.int32)),
+                    yield pa.record_batch([pa.array(np.full(part.stop - lo, r["cb"], np.int64)), pa.array(np.arange(lo, part.stop, dtype=np.int32)),
                                            terms["term"][part], terms["n"][part].cast(pa.int64())], names=["cb", "place", "term", "n"])
     return fn
 
 
-def _weigh_block(n_docs: float):
-    """A block and its terms' (place, df, code) to the block with norms, of which only the queries' terms are kept."""
+def _weigh_block():
+    """A block and its terms' (place, idf, code) to the block with norms; of the terms those with a code are kept, or all if there are no codes."""
     dump, load, dump_posts, load_posts = _codec()
 
     def fn(block, seen):
         r = block.to_pylist()[0]
-        docs, n = load(r["docs"])["doc_id"].to_numpy(), load(r["terms"])["n"].to_numpy().astype(np.int64)
-        place = seen["place"].to_numpy()
-        df, code = np.zeros(len(n)), np.full(len(n), -1, np.int64)
-        df[place], code[place] = seen["df"].to_numpy(), seen["code"].fill_null(-1).to_numpy()
-        idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+        docs, terms = load(r["docs"])["doc_id"].to_numpy(), load(r["terms"])
+        n, place = terms["n"].to_numpy().astype(np.int64), seen["place"].to_numpy()
+        idf = np.zeros(len(n))
+        idf[place] = seen["idf"].to_numpy()
         term, doc, tf = load_posts(r["posts"], n)
         norm = np.sqrt(np.bincount(doc, weights=(tf * idf[term]) ** 2, minlength=len(docs)))
-        kept, mine = code >= 0, (code >= 0)[term]
-        return pa.table({"cb": pa.array([r["cb"]], pa.int32()), "docs": [dump(doc_id=docs, norm=norm)],
-                         "terms": [dump(code=code[kept], n=n[kept].astype(np.int32), idf=idf[kept])], "posts": [dump_posts(n[kept], doc[mine], tf[mine])]})
+        if "code" in seen.column_names:
+            code = np.full(len(n), -1, np.int64)
+            code[place] = seen["code"].fill_null(-1).to_numpy()
+            kept, mine = code >= 0, (code >= 0)[term]
+            terms, posts = dump(code=code[kept], n=n[kept].astype(np.int32), idf=idf[kept]), dump_posts(n[kept], doc[mine], tf[mine])
+        else:
+            terms, posts = dump(code=terms["term"], n=terms["n"], idf=idf), r["posts"]
+        return pa.table({"cb": pa.array([r["cb"]], pa.int64()), "docs": [dump(doc_id=docs, norm=norm)], "terms": [terms], "posts": [posts]})
+    return fn
+
+
+def _list_postings():
+    """Block rows to (term, doc_id, tf)."""
+    _, load, _, load_posts = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                docs, terms = load(r["docs"])["doc_id"].to_numpy(), load(r["terms"])
+                term, doc, tf = load_posts(r["posts"], terms["n"].to_numpy().astype(np.int64))
+                for lo in range(0, len(term), 100_000):
+                    part = slice(lo, lo + 100_000)
+                    yield pa.record_batch([terms["term"].take(pa.array(term[part])), pa.array(docs[doc[part]]), pa.array(tf[part])],
+                                          names=["term", "doc_id", "tf"])
+    return fn
+
+
+def _list_docs():
+    """Block rows to (doc_id)."""
+    _, load, _, _ = _codec()
+
+    def fn(batches):
+        for batch in batches:
+            for raw in batch.column("docs").to_pylist():
+                yield pa.record_batch([load(raw)["doc_id"]], names=["doc_id"])
     return fn
 
 
@@ -417,12 +452,15 @@ def _list_idf():
 
 
 def _pack_queries():
-    """Rows (qb, query_id, norm, code, tf) to packs of a query block's postings: one for each block that a batch has queries of."""
+    """Rows (qb, query_id, norm, code, tf) to packs of a query block's postings: one for each block that a batch has
+    queries of. Codes are numbers or the terms themselves."""
     dump, _, dump_posts, _ = _codec()
 
     def fn(batches):
         for batch in batches:
-            qb, code, tf = (batch.column(c).to_numpy() for c in ("qb", "code", "tf"))
+            qb, tf = batch.column("qb").to_numpy(), batch.column("tf").to_numpy()
+            coded = batch.column("code").dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy()
             for b in np.unique(qb):
                 m = np.flatnonzero(qb == b)
                 ids, at, i = np.unique(batch.column("query_id").to_numpy()[m], return_index=True, return_inverse=True)
@@ -430,7 +468,7 @@ def _pack_queries():
                 codes, n = np.unique(code[m], return_counts=True)
                 norm = batch.column("norm").to_numpy()[np.flatnonzero(qb == b)][at]
                 yield pa.record_batch([pa.array([b], pa.int32()), pa.array([dump(query_id=ids, norm=norm)]),
-                                       pa.array([dump(code=codes, n=n.astype(np.int32))]), pa.array([dump_posts(n, i, tf[m])])],
+                                       pa.array([dump(code=names.take(pa.array(codes)), n=n.astype(np.int32))]), pa.array([dump_posts(n, i, tf[m])])],
                                       names=["qb", "queries", "terms", "posts"])
     return fn
 
@@ -447,19 +485,17 @@ def _packed_top_k(k: int):
         r = block.to_pylist()[0]
         docs, terms = load(r["docs"]), load(r["terms"])
         term, doc, tf = load_posts(r["posts"], terms["n"].to_numpy().astype(np.int64))
-        codes = terms["code"].to_numpy()
-        if not len(codes):
+        if not len(terms["code"]):
             return none
         dw = tf * terms["idf"].to_numpy()[term]
         dw /= docs["norm"].to_numpy()[doc]
-        idf, by_code = terms["idf"].to_numpy(), np.argsort(codes)
+        idf = terms["idf"].to_numpy()
         ids, qi, qc, qw, known = [], [], [], [], 0
         for p in packs.select(["queries", "terms", "posts"]).to_pylist():
             mine, asked = load(p["queries"]), load(p["terms"])
-            code = asked["code"].to_numpy()
-            at = by_code[np.minimum(np.searchsorted(codes, code, sorter=by_code), len(codes) - 1)]
+            at = pc.index_in(asked["code"], value_set=terms["code"]).fill_null(-1).to_numpy()
             of_code, query, times = load_posts(p["posts"], asked["n"].to_numpy().astype(np.int64))
-            met = (codes[at] == code)[of_code]
+            met = (at >= 0)[of_code]
             at, query = at[of_code[met]], query[met]
             ids.append(mine["query_id"].to_numpy())
             qi.append(query.astype(np.int64) + known)
@@ -473,7 +509,7 @@ def _packed_top_k(k: int):
         qi = own[qi]
         met = np.bincount(qi, minlength=len(qids)) > 0
         qi = (np.cumsum(met) - 1).astype(np.int32)[qi]
-        found = score(len(codes), qids[met], qc, qi, qw, docs["doc_id"].to_numpy(), term, doc, dw)
+        found = score(len(terms["code"]), qids[met], qc, qi, qw, docs["doc_id"].to_numpy(), term, doc, dw)
         return pa.table(dict(zip(schema.names, found)), schema=schema)
     return fn
 
@@ -482,41 +518,71 @@ def pack(index: TfidfIndex, n_queries: int, n_docs: int | None = None) -> TfidfI
     """The index with its texts packed into document blocks, in the shared checkpoint folder: tokenised once.
 
     Numbers of documents and queries (upper bounds) only size the blocks. An index without texts stays as it is."""
-    if index.blocks is not None or index.texts is None:
+    if index.blocks is not None or index.weighed is not None or index.texts is None:
         return index
     spark = index.texts.sparkSession
     if n_docs is None:
         n_docs = index.texts.select("doc_id").count()
     _, c_blocks = block_counts(n_queries, n_docs, MAX_QUERY_BLOCK, MAX_DOC_BLOCK, 3 * spark.sparkContext.defaultParallelism)
-    keyed = index.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).cast("int").alias("cb"), "doc_id", "terms")
+    keyed = index.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(c_blocks)).alias("cb"), "doc_id", "terms")
     pieces = keyed.mapInArrow(_pack_pieces(), PIECES).repartition(c_blocks, "cb")
     blocks = cut_lineage(pieces.groupBy("cb").applyInArrow(_merge_pieces(), PIECES))
     return replace(index, blocks=blocks, n_docs=blocks.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("double").alias("n")))
 
 
-def weighed_blocks(index: TfidfIndex, codes: DataFrame) -> DataFrame:
-    """A packed index's blocks with the documents' norms and the postings of the terms of ``codes`` (term, code)."""
-    n_docs = index.n_docs.first()["n"]
-    listed = index.blocks.select("cb", "terms").mapInArrow(_list_terms(), "cb int, place int, term string, n long")
-    seen = (listed.withColumn("df", F.sum("n").over(Window.partitionBy("term"))).join(codes, "term", "left")
-            .select("cb", "place", "df", "code"))
-    both = index.blocks.select("cb", "docs", "terms", "posts").groupBy("cb").cogroup(seen.groupBy("cb"))
-    return cut_lineage(both.applyInArrow(_weigh_block(n_docs), WEIGHED))
+def listed_terms(blocks: DataFrame) -> DataFrame:
+    """(cb, place, term, n): the terms of packed blocks, their place there, and how many documents have them."""
+    return blocks.select("cb", "terms").mapInArrow(_list_terms(), "cb long, place int, term string, n long")
+
+
+def listed_postings(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of packed blocks."""
+    return blocks.select("docs", "terms", "posts").mapInArrow(_list_postings(), "term string, doc_id long, tf double")
+
+
+def listed_docs(blocks: DataFrame) -> DataFrame:
+    return blocks.select("docs").mapInArrow(_list_docs(), "doc_id long")
+
+
+def packed_where_read(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, terms) with distinct ids as packed blocks, each of one task's documents: no row is moved."""
+    return texts.select(F.lit(0).cast("long").alias("cb"), "doc_id", "terms").mapInArrow(_pack_pieces(by_first=True), PIECES)
+
+
+def packed_rows(postings: DataFrame) -> DataFrame:
+    """Postings (term, doc_id, tf) as packed blocks."""
+    lists = (postings.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms")))
+    return packed_where_read(lists)
+
+
+def weighed(blocks: DataFrame, seen: DataFrame) -> DataFrame:
+    """Packed blocks with norms, given (cb, place, idf) of their terms, and for a part of the terms a code."""
+    both = blocks.select("cb", "docs", "terms", "posts").groupBy("cb").cogroup(seen.groupBy("cb"))
+    return both.applyInArrow(_weigh_block(), WEIGHED)
+
+
+def smooth_idf(n: float) -> Column:
+    return F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df").cast("double"))) + F.lit(1.0)
 
 
 def packed_top_k(index: TfidfIndex, counts: DataFrame, codes: DataFrame, k: int, n_queries: int) -> DataFrame:
     """``blocked_top_k`` over a packed index, for term counts (query_id, term, tf)."""
-    blocks = weighed_blocks(index, codes)
+    if index.weighed is not None:  # terms go by their names
+        blocks, asked = index.weighed, counts.join(index.vocab, "term").withColumnRenamed("term", "code")
+    else:
+        seen = (listed_terms(index.blocks).withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+                .withColumn("idf", smooth_idf(index.n_docs.first()["n"])).join(codes, "term", "left").select("cb", "place", "idf", "code"))
+        blocks = cut_lineage(weighed(index.blocks, seen))
+        idf = blocks.select("terms").mapInArrow(_list_idf(), "code long, idf double").groupBy("code").agg(F.max("idf").alias("idf"))
+        asked = counts.join(codes, "term").join(idf, "code")
     # as many blocks as there are, not as were planned: few documents leave some empty
     c_numbers = [r["cb"] for r in blocks.select("cb").collect()] or [0]
     q_blocks = max(1, math.ceil(n_queries / MAX_QUERY_BLOCK))
-    idf = blocks.select("terms").mapInArrow(_list_idf(), "code long, idf double").groupBy("code").agg(F.max("idf").alias("idf"))
-    asked = counts.join(codes, "term").join(idf, "code")
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     qp = (asked.join(norms, "query_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
           .select("qb", "query_id", "norm", "code", "tf")
           .mapInArrow(_pack_queries(), "qb int, queries binary, terms binary, posts binary")
-          .withColumn("cb", F.explode(F.array(*[F.lit(c) for c in c_numbers]))))
+          .withColumn("cb", F.explode(F.array(*[F.lit(c).cast("long") for c in c_numbers]))))
     dp = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     qp, dp = block_partitions(qp, dp, q_blocks * len(c_numbers))
     local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInArrow(_packed_top_k(k), "query_id long, doc_id long, score double")
@@ -585,7 +651,7 @@ def search(index: TfidfIndex, queries: DataFrame, id_col: str, text_col: str, k:
     codes = cut_lineage(counts.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
     n_queries = distinct.count()  # at most what was given
     index = pack(index, n_queries, n_docs)
-    if index.blocks is not None:
+    if index.blocks is not None or index.weighed is not None:
         ranked = packed_top_k(index, counts, codes, k, n_queries)
     else:
         if n_docs is None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.functions.text import is_blank
-from civicflow.operators.common import broadcast_checked, drop_null_rows, keep_first
+from civicflow.operators.common import broadcast_checked, drop_null_rows, keep_first, keep_first_in_place
 from civicflow.sources.readers import read_table
 
 # Our own binding rules (not behaviour being reproduced).
@@ -80,11 +80,13 @@ def user_turns(spark: SparkSession, sf: str) -> DataFrame:
     return conv.where((F.col("role") == "user") & ~is_blank("text")).select("conv_id", "turn", "text")
 
 
-def complaint_corpus(spark: SparkSession, sf: str) -> DataFrame:
+def complaint_corpus(spark: SparkSession, sf: str, in_place: bool = False) -> DataFrame:
     """Labelled complaint corpus: documents with nulls dropped (P1), first
-    copy of each text kept (A1), and a law title "IPC <doc_id>"."""
+    copy of each text kept (A1), and a law title "IPC <doc_id>". With
+    ``in_place`` the copies are looked for at once and no text is moved."""
     docs = read_table(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
-    clean = keep_first(drop_null_rows(docs, ["text", "lang", "source"]), F.sha2(F.col("text"), 256), "doc_id")
+    kept = keep_first_in_place if in_place else keep_first
+    clean = kept(drop_null_rows(docs, ["text", "lang", "source"]), F.sha2(F.col("text"), 256), "doc_id")
     return clean.withColumn("law", F.concat(F.lit("IPC "), F.col("doc_id").cast("string")))
 
 

@@ -231,7 +231,7 @@ def classification_report_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dialogue(spark: SparkSession, sf: str) -> DataFrame:
-    return triage.triage(spark, inputs.user_turns(spark, sf), inputs.complaint_corpus(spark, sf),
+    return triage.triage(spark, inputs.user_turns(spark, sf), inputs.complaint_corpus(spark, sf, in_place=True),
                          inputs.directory(spark, sf), n_docs=table_rows(spark, sf, "documents"))
 
 

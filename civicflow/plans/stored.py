@@ -19,7 +19,7 @@ from civicflow.operators.registry import UserStore
 from civicflow.operators.saved_index import SavedIndex
 from civicflow.operators.vector_cache import VectorCache
 from civicflow.plans import inputs, triage
-from civicflow.session import ensure_checkpoint_dir
+from civicflow.session import cut_lineage, ensure_checkpoint_dir
 from civicflow.sources.batch_table import BatchTable, insert_new
 from civicflow.sources.readers import read_table
 from civicflow.streaming.dialogue_stream import COUNTERS, ProgressTable
@@ -59,11 +59,11 @@ def _in_turn_order(turns: DataFrame) -> list[DataFrame]:
 def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
     """ST-FSM/ST-LOG: the user turns as a stream in several drops, each read by restarted queries, scored against the
     saved index; one reply a turn."""
-    corpus = inputs.complaint_corpus(spark, sf)
+    corpus = inputs.complaint_corpus(spark, sf, in_place=True)
     turns = inputs.user_turns(spark, sf).select("conv_id", "turn", F.col("conv_id").alias("user_id"), "text",
                                                 F.timestamp_seconds(F.col("turn") * 60).alias("ts"))
     index, source, path = saved_index(spark, corpus), _folder(spark, "turns"), _folder(spark, "triage")
-    job = TriageStream(spark, path, path.rsplit("/", 1)[1], index, corpus.select("doc_id", "law"), inputs.directory(spark, sf))
+    job = TriageStream(spark, path, path.rsplit("/", 1)[1], index, cut_lineage(corpus.select("doc_id", "law")), inputs.directory(spark, sf))
     for drop in _in_turn_order(turns):
         drop.write.mode("append").parquet(source)
         job.run(spark.readStream.schema(TURNS).parquet(source))

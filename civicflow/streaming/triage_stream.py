@@ -3,8 +3,8 @@
 Two streaming queries share a folder:
 
 * ``start_scoring``: every micro-batch of raw turns is scored against a version of a saved index by the
-  blocked top-k (``foreachBatch``: a stream cannot be aggregated against a table otherwise); only the postings of
-  the batch's own terms are read. The scored turns go to a folder named after the batch, written once.
+  blocked top-k (``foreachBatch``: a stream cannot be aggregated against a table otherwise); of a batch with few
+  terms only their postings are read, one with many meets the version's packed blocks. The scored turns go to a folder named after the batch, written once.
 * ``start_replies``: the scored turns run through the dialogue's keyed state, conversations expire after
   ``idle_minutes``, and each micro-batch of branches is joined with the directory, rendered, and committed to the
   tables of replies and of chats under its batch id.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from civicflow.functions.text import is_blank, language_tag, tokens
+from civicflow.operators.common import row_count_at_most
 from civicflow.operators.saved_index import SavedIndex
 from civicflow.plans import triage
 from civicflow.plans.render import render_replies
@@ -32,6 +33,7 @@ from civicflow.streaming.dialogue_stream import checkpoint_location, dialogue_st
 
 TURNS = "conv_id long, turn long, user_id long, text string, ts timestamp"
 SCORED = TURNS + ", lang string, score double, hit_doc long, hit_law string, short boolean, legal boolean, severe boolean"
+FEW_TERMS = 2_000  # of a batch's distinct terms: up to so many, postings are picked by term
 KEEP = ("user_id", "text", "ts")
 REPLIES = ("conv_id long, turn long, lang string, stage_in string, branch string, stage_out string, law_key string, "
            "score double, hit_doc long, place string, lawyer_id long, match_kind string, reply_block string, "
@@ -55,7 +57,8 @@ class TriageStream:
         turns = turns.where(~is_blank("text"))
         version = self.index.version()
         terms = cut_lineage(turns.select(F.explode(tokens("text")).alias("term")).distinct())
-        loaded = self.index.load(version, terms)
+        few = row_count_at_most(terms, FEW_TERMS)
+        loaded = self.index.load(version, terms) if few else self.index.packed(version)
         near = triage.nearest_example(turns, self.laws, index=loaded, n_docs=max(version.n_docs, 1))
         return triage.gated(near.withColumn("lang", language_tag("text")))
 

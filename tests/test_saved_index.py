@@ -247,3 +247,43 @@ def test_blocks_follow_the_distinct_texts(spark):
     sides = re.findall(r"hashpartitioning\(qb#\d+, cb#\d+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().sparkPlan().toString())
     assert len(sides) == 2 and max(map(int, sides)) <= 12
     assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(i, i % 4) for i in range(40)]
+
+
+def test_packed_version_scores_like_a_rebuild(spark, monkeypatch):
+    from civicflow.streaming import triage_stream
+    docs = corpus(spark)
+    index = SavedIndex(spark, folder("packed"))
+    index.append(docs.where("doc_id < 30"), "build")
+    index.append(docs.where("doc_id >= 20"), "more")  # 20 to 29 are there already
+    index.append(spark.createDataFrame([(70, "zz later"), (70, "office fraud office"), (71, ""), (None, "x"), (72, None)], docs.schema), "odd")
+    all_docs = docs.union(spark.createDataFrame([(70, "office fraud office"), (71, "")], docs.schema))
+    whole, packed = tfidf.build_index(all_docs, "doc_id", "text"), index.packed()
+    rows = lambda df, *c: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*c).collect())
+    assert index.version().n_docs == 62 and rows(index.load().postings, "doc_id", "term", "w") == rows(whole.postings, "doc_id", "term", "w")
+    queries = spark.createDataFrame([(1, "cyber fraud case3"), (2, "office phone office"), (3, "unknown words"), (4, None), (5, "case1")], "q long, t string")
+    want = rows(tfidf.top_k(tfidf.cosine_scores(whole, tfidf.transform_queries(whole, queries, "q", "t")), 5), "query_id", "doc_id", "score", "rank")
+    assert rows(tfidf.search(packed, queries, "q", "t", k=5), "query_id", "doc_id", "score", "rank") == want and len(want) == 15
+    again = index.packed()  # kept once a version
+    assert again.weighed.inputFiles() == packed.weighed.inputFiles() and len(index.packs.snapshot()) == 1
+    # an append packs texts where they are read, and a stream's batch with many terms takes the packed blocks
+    plan = tfidf.packed_where_read(docs.selectExpr("doc_id", "split(text, ' ') AS terms"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    turns = spark.createDataFrame([(1, 0, 1, "hello there friend"), (1, 1, 1, "cyber fraud case3"), (2, 0, 2, " ")],
+                                  "conv_id long, turn long, user_id long, text string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    laws = all_docs.select("doc_id", F.lit("IPC 354").alias("law"))
+    job = TriageStream(spark, folder("job"), "job", index, laws, directory(spark))
+    few = rows(job.scored(turns), "conv_id", "turn", "score", "legal")
+    monkeypatch.setattr(triage_stream, "FEW_TERMS", 0)
+    monkeypatch.setattr(index, "load", lambda version=None, terms=None, f=index.load: f(version) if terms is None else 1 / 0)
+    assert rows(job.scored(turns), "conv_id", "turn", "score", "legal") == few and len(few) == 2
+
+
+def test_first_copies_are_kept_in_place(spark, monkeypatch):
+    from civicflow.operators import common
+    data = spark.createDataFrame([(5, "a"), (1, "a"), (1, "a"), (1, "b"), (3, "b"), (2, None), (None, "c"), (None, "a"), (9, "d"), (1, "d")], "id long, k string")
+    want = sorted(map(tuple, common.keep_first(data, F.col("k"), "id").collect()))
+    kept = common.keep_first_in_place(data, F.col("k"), "id")
+    assert sorted(map(tuple, kept.collect())) == want == [(1, "a"), (1, "a"), (1, "b"), (1, "d")]
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "broadcast_checked", lambda df: df)
+    assert sorted(map(tuple, common.keep_first_in_place(data, F.col("k"), "id").collect())) == want
