@@ -124,14 +124,15 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 # (query posting, doc posting) products at once.
 MAX_QUERY_BLOCK = 100_000   # documents' postings are sent once per query block
 MAX_DOC_BLOCK = 10_000
-SLICE_QUERIES = 4_000       # queries of a block that are scored at once
-SLICE_ENTRIES = 4_000_000   # score-matrix entries held at once inside a task
-EXPAND_CHUNK = 1_000_000
+SLICE_QUERIES = 2_000       # queries of a block that are scored at once
+SLICE_ENTRIES = 2_000_000   # score-matrix entries held at once inside a task
+EXPAND_CHUNK = 500_000
 # A shared term is "hot" when expanding its pairs would cost more than one
 # dense rank-1 update of the block (an expanded pair takes some 25 ns, a dense
 # one 0.03 ns where it was measured).
 DENSE_COST_RATIO = 600
 DENSE_COLUMNS = 512
+PACK_ROWS = 300_000         # query postings that are packed together
 NORM_CODE = -1              # in place of a term's number: the row holds a document's norm
 
 
@@ -219,8 +220,12 @@ def _scorer(k: int):
             qrow, drow, srow = qrow[keep], drow[keep], srow[keep]
         return qids[qrow], drow, srow
 
-    def score(nt, qids, qc, qi, qw, dids, dc, di, dw):
-        """(query ids, document ids, scores). Postings name their term (below ``nt``) and the place of their id."""
+    def score(nt, queries, docs):
+        """(query ids, document ids, scores). Both sides, which are emptied to free memory: ids, and for every posting
+        its term (below ``nt``), the place of its id and its weight."""
+        (qids, qc, qi, qw), (dids, dc, di, dw) = queries, docs
+        queries.clear()
+        docs.clear()
         # Both sides are cut into slices, postings sorted by (slice, term), so that memory stays ~ slice_entries doubles.
         nq = min(len(qids), slice_queries)
         nd = max(1, min(len(dids), slice_entries // nq))
@@ -264,7 +269,7 @@ def _block_top_k(k: int):
         qc, qw = at[met], qp["w"].to_numpy(np.float64)[met]
         if not len(qids):
             return empty
-        ids, docs, scores = score(nt, qids, qc, qi, qw, dids, dc, di, dw)
+        ids, docs, scores = score(nt, [qids, qc, qi, qw], [dids, dc, di, dw])
         return pd.DataFrame({"query_id": ids, "doc_id": docs, "score": scores})
     return fn
 
@@ -328,8 +333,10 @@ def _pack_pieces(by_first: bool = False):
             names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
             nt, nd = max(len(names), 1), len(ids)
             # (block, term, document) as one number; a token each, then a posting each
-            key = np.sort((np.repeat(cb, sizes) * nt + code) * nd + np.repeat(row_doc, sizes))
-            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key = np.repeat(cb * nt * nd + row_doc, sizes)
+            key += code * nd
+            key.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
             tf, key = np.diff(first, append=len(key)), key[first]
             for b in np.unique(cb):
                 rows = cb == b
@@ -364,7 +371,7 @@ def _merge_pieces():
         del keys, tfs
         order = np.argsort(key)
         key, tf = key[order], tf[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
         key, tf = key[first], np.add.reduceat(tf, first) if len(first) else tf
         term, doc = np.divmod(key, nd)
         n = np.bincount(term, minlength=len(names))
@@ -452,12 +459,23 @@ def _list_idf():
 
 
 def _pack_queries():
-    """Rows (qb, query_id, norm, code, tf) to packs of a query block's postings: one for each block that a batch has
-    queries of. Codes are numbers or the terms themselves."""
+    """Rows (qb, query_id, norm, code, tf) to packs of a query block's postings: one for each block that so many rows
+    of a task have queries of. Codes are numbers or the terms themselves."""
     dump, _, dump_posts, _ = _codec()
+    most = PACK_ROWS
 
-    def fn(batches):
+    def gathered(batches):
+        held, n = [], 0
         for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def fn(batches):
+        for batch in gathered(batches):
             qb, tf = batch.column("qb").to_numpy(), batch.column("tf").to_numpy()
             coded = batch.column("code").dictionary_encode()
             names, code = coded.dictionary, coded.indices.to_numpy()
@@ -487,8 +505,8 @@ def _packed_top_k(k: int):
         term, doc, tf = load_posts(r["posts"], terms["n"].to_numpy().astype(np.int64))
         if not len(terms["code"]):
             return none
-        dw = tf * terms["idf"].to_numpy()[term]
-        dw /= docs["norm"].to_numpy()[doc]
+        tf *= terms["idf"].to_numpy()[term]
+        tf /= docs["norm"].to_numpy()[doc]
         idf = terms["idf"].to_numpy()
         ids, qi, qc, qw, known = [], [], [], [], 0
         for p in packs.select(["queries", "terms", "posts"]).to_pylist():
@@ -498,7 +516,7 @@ def _packed_top_k(k: int):
             met = (at >= 0)[of_code]
             at, query = at[of_code[met]], query[met]
             ids.append(mine["query_id"].to_numpy())
-            qi.append(query.astype(np.int64) + known)
+            qi.append(query + np.int32(known))
             qc.append(at.astype(np.int32))
             qw.append(times[met] * idf[at] / mine["norm"].to_numpy()[query])
             known += len(ids[-1])
@@ -506,10 +524,12 @@ def _packed_top_k(k: int):
         if not len(qi):
             return none
         qids, own = np.unique(ids, return_inverse=True)  # a query's postings may be in several packs
-        qi = own[qi]
-        met = np.bincount(qi, minlength=len(qids)) > 0
-        qi = (np.cumsum(met) - 1).astype(np.int32)[qi]
-        found = score(len(terms["code"]), qids[met], qc, qi, qw, docs["doc_id"].to_numpy(), term, doc, dw)
+        met = np.zeros(len(qids), bool)
+        met[own[qi]] = True
+        qi = (np.cumsum(met) - 1).astype(np.int32)[own][qi]
+        queries, documents = [qids[met], qc, qi, qw], [docs["doc_id"].to_numpy(), term, doc, tf]
+        del qc, qi, qw, term, doc, tf
+        found = score(len(terms["code"]), queries, documents)
         return pa.table(dict(zip(schema.names, found)), schema=schema)
     return fn
 

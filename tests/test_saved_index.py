@@ -236,6 +236,7 @@ def test_texts_move_as_packed_blocks(spark, monkeypatch):
     monkeypatch.setattr(tfidf, "SLICE_ENTRIES", 70)
     monkeypatch.setattr(tfidf, "EXPAND_CHUNK", 5)
     monkeypatch.setattr(tfidf, "MAX_QUERY_BLOCK", 9)
+    monkeypatch.setattr(tfidf, "PACK_ROWS", 1)
     assert found(tfidf.search(packed, queries, "q", "t", k=4)) == want
 
 
