@@ -126,11 +126,11 @@ MAX_QUERY_BLOCK = 100_000   # documents' postings are sent once per query block
 MAX_DOC_BLOCK = 10_000
 SLICE_QUERIES = 2_000       # queries of a block that are scored at once
 SLICE_ENTRIES = 2_000_000   # score-matrix entries held at once inside a task
-EXPAND_CHUNK = 500_000
+EXPAND_CHUNK = 100_000
 # A shared term is "hot" when expanding its pairs would cost more than one
-# dense rank-1 update of the block (an expanded pair takes some 25 ns, a dense
-# one 0.03 ns where it was measured).
-DENSE_COST_RATIO = 600
+# dense rank-1 update of the block (an expanded pair takes some 10 ns, a dense
+# one 0.03 ns where it was measured; 250 to 600 did best over whole blocks).
+DENSE_COST_RATIO = 300
 DENSE_COLUMNS = 512
 PACK_ROWS = 300_000         # query postings that are packed together
 NORM_CODE = -1              # in place of a term's number: the row holds a document's norm
@@ -496,11 +496,12 @@ def _packed_top_k(k: int):
     _, load, _, load_posts = _codec()
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def fn(packs, block):
+    def fn(packs, blocks):
+        found = [best(packs, blocks.slice(i, 1).to_pylist()[0]) for i in range(blocks.num_rows if packs.num_rows else 0)]
+        return pa.concat_tables([schema.empty_table(), *found])
+
+    def best(packs, r):
         none = schema.empty_table()
-        if not packs.num_rows or not block.num_rows:
-            return none
-        r = block.to_pylist()[0]
         docs, terms = load(r["docs"]), load(r["terms"])
         term, doc, tf = load_posts(r["posts"], terms["n"].to_numpy().astype(np.int64))
         if not len(terms["code"]):
@@ -595,16 +596,19 @@ def packed_top_k(index: TfidfIndex, counts: DataFrame, codes: DataFrame, k: int,
         blocks = cut_lineage(weighed(index.blocks, seen))
         idf = blocks.select("terms").mapInArrow(_list_idf(), "code long, idf double").groupBy("code").agg(F.max("idf").alias("idf"))
         asked = counts.join(codes, "term").join(idf, "code")
-    # as many blocks as there are, not as were planned: few documents leave some empty
-    c_numbers = [r["cb"] for r in blocks.select("cb").collect()] or [0]
-    q_blocks = max(1, math.ceil(n_queries / MAX_QUERY_BLOCK))
+    # a task takes as many blocks as together have a planned block's documents: each group is sent all packs of queries
+    numbers = sorted(r["cb"] for r in blocks.select("cb").collect()) or [0]
+    q_blocks, c_blocks = block_counts(n_queries, int(index.n_docs.first()["n"]), MAX_QUERY_BLOCK, MAX_DOC_BLOCK,
+                                      3 * counts.sparkSession.sparkContext.defaultParallelism)
+    c_blocks = min(c_blocks, len(numbers))
+    group = F.pmod(F.array_position(F.array(*[F.lit(c).cast("long") for c in numbers]), F.col("cb")), F.lit(c_blocks)).cast("int")
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     qp = (asked.join(norms, "query_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
           .select("qb", "query_id", "norm", "code", "tf")
           .mapInArrow(_pack_queries(), "qb int, queries binary, terms binary, posts binary")
-          .withColumn("cb", F.explode(F.array(*[F.lit(c).cast("long") for c in c_numbers]))))
-    dp = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    qp, dp = block_partitions(qp, dp, q_blocks * len(c_numbers))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))))
+    dp = blocks.withColumn("cb", group).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    qp, dp = block_partitions(qp, dp, q_blocks * c_blocks)
     local = qp.groupBy("qb", "cb").cogroup(dp.groupBy("qb", "cb")).applyInArrow(_packed_top_k(k), "query_id long, doc_id long, score double")
     return top_k(local, k)
 

@@ -254,7 +254,7 @@ def test_packed_version_scores_like_a_rebuild(spark, monkeypatch):
     from civicflow.streaming import triage_stream
     docs = corpus(spark)
     index = SavedIndex(spark, folder("packed"))
-    index.append(docs.where("doc_id < 30"), "build")
+    index.append(docs.where("doc_id < 30").repartition(20), "build")
     index.append(docs.where("doc_id >= 20"), "more")  # 20 to 29 are there already
     index.append(spark.createDataFrame([(70, "zz later"), (70, "office fraud office"), (71, ""), (None, "x"), (72, None)], docs.schema), "odd")
     all_docs = docs.union(spark.createDataFrame([(70, "office fraud office"), (71, "")], docs.schema))
@@ -264,6 +264,7 @@ def test_packed_version_scores_like_a_rebuild(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "cyber fraud case3"), (2, "office phone office"), (3, "unknown words"), (4, None), (5, "case1")], "q long, t string")
     want = rows(tfidf.top_k(tfidf.cosine_scores(whole, tfidf.transform_queries(whole, queries, "q", "t")), 5), "query_id", "doc_id", "score", "rank")
     assert rows(tfidf.search(packed, queries, "q", "t", k=5), "query_id", "doc_id", "score", "rank") == want and len(want) == 15
+    assert packed.weighed.count() > 12  # more blocks than the scorer has groups of them
     again = index.packed()  # kept once a version
     assert again.weighed.inputFiles() == packed.weighed.inputFiles() and len(index.packs.snapshot()) == 1
     # an append packs texts where they are read, and a stream's batch with many terms takes the packed blocks
