@@ -123,7 +123,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 # is scored in slices of SLICE_ENTRIES scores, expanding at most EXPAND_CHUNK
 # (query posting, doc posting) products at once.
 MAX_QUERY_BLOCK = 100_000   # documents' postings are sent once per query block
-MAX_DOC_BLOCK = 10_000
+MAX_DOC_BLOCK = 7_000
 SLICE_QUERIES = 2_000       # queries of a block that are scored at once
 SLICE_ENTRIES = 2_000_000   # score-matrix entries held at once inside a task
 EXPAND_CHUNK = 100_000
